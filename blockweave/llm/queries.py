@@ -11,6 +11,7 @@ from .bpe_codec import bpe_decode, bpe_encode
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix_sources
+from .quality import quality_score, train_quality
 from .sharding import shard_documents
 from .token_count import token_count
 
@@ -37,6 +38,22 @@ def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def quality_model(docs: DataFrame, labels: DataFrame):
+    """Learned from labelled rows outside the held-out fifth."""
+    return train_quality(docs, labels.filter(held_out() != 0))
+
+
+def held_out():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = docs.select("doc_id", (held_out() == 0).alias("held_out"), quality_score("text", model, docs).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     out = _docs(spark, sf_dir).select("doc_id", bpe_encode("text", path).alias("ids")).withColumn("decoded", bpe_decode("ids", path))
@@ -60,6 +77,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_token_count": op3_token_count,
+    "op4_quality": op4_quality,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_line_dedup": op6_line_dedup,
     "op9_mixing": op9_mixing,
