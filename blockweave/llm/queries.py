@@ -11,6 +11,7 @@ from .bpe_codec import bpe_decode, bpe_encode
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix_sources
+from .ngram_join import ngram_join
 from .quality import quality_score, train_quality
 from .sharding import shard_documents
 from .token_count import token_count
@@ -65,6 +66,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("lines.text", 256).alias("kept_sha256"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_docs(spark, sf_dir), n_words=3, percent=90)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(_docs(spark, sf_dir).select("doc_id", "source"))
     return out.select("doc_id", "mix.*")
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_line_dedup": op6_line_dedup,
+    "op7_ngram_join": op7_ngram_join,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
