@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_codec import bpe_decode, bpe_encode
+from .embed_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix_sources
@@ -34,6 +35,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.98)
+
+
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _docs(spark, sf_dir).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), token_count("text", tokenizer_path()).alias("n_tokens"))
     return out.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -81,6 +86,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_token_count": op3_token_count,
     "op4_quality": op4_quality,
     "op5_bpe_codec": op5_bpe_codec,
