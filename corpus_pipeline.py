@@ -1,10 +1,76 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the one before kept.  All but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from blockweave.llm._shared import materialize
+from blockweave.llm.bpe_codec import bpe_decode, bpe_encode
+from blockweave.llm.line_dedup import line_dedup
+from blockweave.llm.mixing import mix_sources
+from blockweave.llm.ngram_join import ngram_join
+from blockweave.llm.quality import quality_score
+from blockweave.llm.queries import quality_model, tokenizer_path
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+REJECT_BELOW = 0.3
+PART_SLOTS = 1000
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a quality score of REJECT_BELOW or more stay (all do where no label was learned from)."""
+    model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if model is None:
+        return docs.select(*COLUMNS)
+    return docs.withColumn("score", quality_score("text", model, docs)).filter(F.col("score") >= REJECT_BELOW).select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that ten documents or more share go; a document that had text and has none left goes with them.
+
+    A document that loses nothing keeps its text as it was (null too).
+    """
+    out = line_dedup(docs.select(*COLUMNS), min_docs=10, min_chars=1)
+    hit = F.col("lines.n_dropped") > 0
+    kept = out.filter(~hit | (F.trim("lines.text") != ""))
+    return kept.select("doc_id", F.when(hit, F.col("lines.text")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(hit, F.char_length("lines.text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of documents with a five-word shingle similarity of 0.8 or more, the smallest id stays."""
+    classes = ngram_join(docs, n_words=5, percent=80)
+    gone = classes.filter("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order in which the schedule mixes their sources: files and their rows follow it."""
+    order = mix_sources(docs.select("doc_id", "source").distinct())
+    order = materialize(order.select("doc_id", "source", "mix.slot", "mix.block_row"), "mixture")
+    placed = docs.select(*COLUMNS).withColumn("_s", F.coalesce(F.col("source"), F.lit(""))).join(order.select("doc_id", F.coalesce("source", F.lit("")).alias("_s"), "slot", "block_row"), ["doc_id", "_s"])
+    return placed.repartitionByRange("slot", "block_row").sortWithinPartitions("slot", "block_row", "doc_id").select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's packed token ids, their number, and whether decoding gives the text again."""
+    path = tokenizer_path()
+    out = docs.select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text")).withColumn("ids", bpe_encode("text", path)).withColumn("decoded", bpe_decode("ids", path))
+    return out.select("doc_id", "source", "lang", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mixture", mixture), ("tokens", tokens)]
+
+#: A learned score, classes of a similarity join and a tokenizer are beyond SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
