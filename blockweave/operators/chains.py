@@ -280,6 +280,7 @@ def sample_chains(targets: DataFrame, elements: DataFrame, key: str, counts: str
     jobs = targets.select(key, counts, F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memos: dict = {}  # sub-problems by the set of elements that fit
         for pdf in batches:
             rows = []
             for kv, c, chain in zip(pdf[key], pdf[counts], pdf["chain"], strict=True):
@@ -291,7 +292,9 @@ def sample_chains(targets: DataFrame, elements: DataFrame, key: str, counts: str
                     start, _ = search(tuple(c), [(i, tuple(x), math.exp(lp)) for i, (x, lp) in enumerate(zip(v, logp, strict=True))], 1)
                     if not start:
                         continue
-                    x, memo = np.array([start[0][1].get(i, 0) for i in range(len(v))]), {}
+                    x, memo = np.array([start[0][1].get(i, 0) for i in range(len(v))]), memos.setdefault(tuple(names), {})
+                    if len(memo) > 100_000:
+                        memo.clear()
                     for _ in range(steps):
                         x = reduced_step(x, v, logp, k, rng, memo)
                 else:

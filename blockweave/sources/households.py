@@ -55,9 +55,13 @@ def check_ages(households: DataFrame) -> DataFrame:
     return households.filter("n_adults <> size - under_18")
 
 
+def _of(race: int, eth: int):
+    return lambda x: (x["race"] == race) & (x["eth"] == eth)
+
+
 def race_eth_counts() -> Column:
     """14 counts: seven races without, then with Hispanic ethnicity."""
-    return F.array(*[F.size(F.filter("people", lambda x, r=r, e=e: (x["race"] == r) & (x["eth"] == e))) for e in (0, 1) for r in range(1, 8)])
+    return F.array(*[F.size(F.filter("people", _of(r, e))) for e in (0, 1) for r in range(1, 8)])
 
 
 def household_tuple(households: DataFrame) -> DataFrame:
