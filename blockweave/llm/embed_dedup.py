@@ -52,21 +52,27 @@ def _assign(points: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"pid": points["pid"], "centre": centres["pid"].to_numpy()[kept][near], "far": away[np.arange(len(near)), near]})
 
 
+def _block(points: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, weights and unit vectors of a block."""
+    v = points.field("v").flatten().to_numpy(zero_copy_only=False)
+    return points.field("pid").to_numpy(), points.field("m").to_numpy(), unit(v.reshape(len(points), -1))
+
+
 def _meet(threshold: float):
     """Links between two blocks: for each vector the weight of those it links with, and its component's smallest id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                a, b = row["xa"], row["xb"]
-                pa_, pb = (np.array([p["pid"] for p in x]) for x in (a, b))
-                ma, mb = (np.array([p["m"] for p in x]) for x in (a, b))
-                ua, ub = (unit(np.array([p["v"] for p in x])) for x in (a, b))
+            keys = batch.select(["a", "b", "ka", "kb"]).to_pylist()
+            for row, a, b in zip(keys, batch["xa"], batch["xb"], strict=True):
+                (pa_, ma, ua), (pb, mb, ub) = _block(a.values), _block(b.values)
                 own = row["a"] == row["b"] and row["ka"] == row["kb"]
                 linked = ua @ ub.T >= threshold
                 if own:
                     np.fill_diagonal(linked, True)
-                ta, tb = linked @ mb, linked.T @ ma
+                i, j = np.nonzero(linked)
+                ta = np.bincount(i, weights=mb[j], minlength=len(ma)).astype(np.int64)  # whole numbers below 2 ** 53
+                tb = np.bincount(j, weights=ma[i], minlength=len(mb)).astype(np.int64)
                 big = np.iinfo(np.int64).max
                 la, lb = pa_.copy(), pb.copy()
                 ra, rb = np.flatnonzero(ta), np.flatnonzero(tb)
