@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import connected_components, materialize
@@ -112,7 +112,12 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     rows = rows.withColumn("h1", F.xxhash64("label", "v")).withColumn("h2", F.xxhash64(F.lit(7), "v", "label"))
     named = materialize(rows.select("id", "sound", "h1", "h2"), "vectors")
     copies = materialize(named.filter("sound").groupBy("h1", "h2").agg(F.min("id").alias("pid"), F.count(F.lit(1)).alias("m")), "points")
-    points = rows.filter("sound").join(copies, ["h1", "h2"]).filter("id = pid").dropDuplicates(["h1", "h2"])
+    per_id = copies.groupBy("pid").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
+    own_id = f"(pid - pmod(pid, {per_id})) div {per_id}"
+    if per_id > 1:  # an id names several points: number them
+        nth = F.row_number().over(Window.partitionBy("pid").orderBy("h1", "h2")) - 1
+        copies = materialize(copies.withColumn("pid", F.col("pid") * per_id + nth), "points")
+    points = rows.filter("sound").join(copies, ["h1", "h2"]).filter(f"id = {own_id}").dropDuplicates(["h1", "h2"])
     root = F.xxhash64("label", F.size("v"))
     points = materialize(points.select("pid", "m", "v", root.alias("node"), F.array(root).alias("path")), "level")
 
@@ -172,7 +177,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     total = found.groupBy("pid").agg((F.sum("t") - 1).alias("n_links"))
     classes = connected_components(found.select(F.col("pid").alias("u"), F.col("root").alias("v")))
     known = copies.join(total, "pid", "left").join(classes.withColumnRenamed("id", "pid"), "pid", "left")
-    known = materialize(known.select("h1", "h2", F.lit(True).alias("sound"), "n_links", F.coalesce("component_id", "pid").alias("component_id")), "known")
+    known = materialize(known.withColumn("pid", F.coalesce("component_id", "pid")).select("h1", "h2", F.lit(True).alias("sound"), "n_links", F.expr(own_id).alias("component_id")), "known")
     out = named.join(known, ["h1", "h2", "sound"], "left")
     return out.select(
         F.col("id").alias(id_col),

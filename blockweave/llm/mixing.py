@@ -25,7 +25,7 @@ def edf_period(parts: DataFrame) -> DataFrame:
     picks = listed.withColumn(
         "picks",
         F.expr("""
-        aggregate(
+        if(d > 0, aggregate(
           sequence(0, d - 1),
           named_struct('c', array_repeat(0, size(a)), 'out', cast(array() as array<int>)),
           (acc, t) -> transform(
@@ -37,7 +37,7 @@ def edf_period(parts: DataFrame) -> DataFrame:
               x -> x.release <= t)).i),
             p -> named_struct('c', transform(acc.c, (v, i) -> if(i = p, v + 1, v)), 'out', concat(acc.out, array(p)))
           )[0],
-          acc -> acc.out)"""),
+          acc -> acc.out), cast(array() as array<int>))"""),
     )
     rows = picks.select("names", "a", "d", F.posexplode("picks").alias("slot", "i"))
     rows = rows.select(F.col("names")[F.col("i")].alias("stratum"), F.col("a")[F.col("i")].alias("parts"), F.col("d").alias("period"), "slot")
