@@ -24,8 +24,8 @@ from ._hashing import mix
 from ._shared import materialize
 
 STEP = 1 << 16  # bytes fingerprinted at once
-RUN_TUPLES = 600_000  # tuples of a sorted run
-BUCKET_TUPLES = 1_000_000  # tuples that are merged at once
+RUN_TUPLES = 300_000  # tuples of a sorted run
+BUCKET_TUPLES = 500_000  # tuples that are merged at once
 TRAVEL, DECIDED, INDUCE = 0, 1, 2
 FIELDS = [("name", np.uint64), ("whole", np.uint64), ("doc", np.int64), ("start", np.int64), ("length", np.int64), ("state", np.uint8)]
 Tuples = dict[str, np.ndarray]
