@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _own_dir: list[str] = []
 
 
@@ -44,6 +45,12 @@ def materialize(df: DataFrame, what: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of about 8 MB where the session has Spark's default of 64 MB."""
+    if spark.conf.get(BATCH_BYTES) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(BATCH_BYTES, "8m")
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(c, F.lit("")), UPPER, UPPER.lower())

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import connected_components, materialize
+from ._shared import connected_components, materialize, small_batches
 
 LEAF = 1024  # vectors of a node that is not split further, and of a block
 FAN = 32  # children of a node at most
@@ -105,6 +105,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     if not 0.5 <= threshold <= 1:
         raise ValueError("threshold is between 0.5 and 1")
     theta = float(np.sqrt(2 - 2 * threshold))
+    small_batches(vectors.sparkSession)
     v = F.col(vector_col)
     sound = F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0) & F.col(id_col).isNotNull()
     label = F.lit("") if label_col is None else F.col(label_col).cast("string")

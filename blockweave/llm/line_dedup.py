@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import UPPER, materialize
+from ._shared import UPPER, materialize, small_batches
 
 BLANK = " \t\n\x0b\x0c\r"
 _LOWER = str.maketrans(UPPER, UPPER.lower())
@@ -70,6 +70,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     if "lines" in docs.columns:
         raise ValueError("a column is named lines already")
     text = F.coalesce(F.col(text_col), F.lit(""))
+    small_batches(docs.sparkSession)
     # two 64-bit hashes name a row: null ids and ids that repeat need no care
     named = docs.select(F.struct(*docs.columns).alias("_row"), text.alias("_text"), F.xxhash64(F.col(id_col), text).alias("_h1"), F.xxhash64(F.lit(7), text, F.col(id_col)).alias("_h2"))
     lines = materialize(named.select("_h1", "_h2", "_text").mapInArrow(_explode(min_chars), "_h1 long, _h2 long, key binary"), "lines")

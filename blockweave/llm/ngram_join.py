@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import mix, shingles, word_hashes
-from ._shared import connected_components, materialize
+from ._shared import connected_components, materialize, small_batches
 
 #: Counters of the frequency sketch.  It is the only thing sent to the driver and back: 8 bytes a counter.
 SKETCH_LOG2 = 18
@@ -156,6 +156,7 @@ def ngram_join(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str
     if not 50 < percent <= 100:
         raise ValueError("percent is over 50 and at most 100")
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scan = materialize(rows.mapInArrow(_scan(n_words), "id long, n long, digest binary, place int, seen long"), "sets")
     each = scan.filter("place is null").select("id", "n", "digest")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import FOLD, _block_words, mix
-from ._shared import shuffle_key
+from ._shared import shuffle_key, small_batches
 
 BUCKETS_LOG2 = 17
 BUCKETS = 1 << BUCKETS_LOG2
@@ -163,6 +163,7 @@ def quality_score(text: Column | str, model: QualityModel, docs: DataFrame) -> C
     Null and empty texts have the feature of a text's end only.  A text over SEGMENT bytes is read in segments that n-grams do not
     span.  ``docs`` is the frame the column is for.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.margins(), float(model.bias[1] - model.bias[0])))  # 0.5 MB
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

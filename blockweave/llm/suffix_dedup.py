@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import mix
-from ._shared import materialize
+from ._shared import materialize, small_batches
 
 STEP = 1 << 16  # bytes fingerprinted at once
 RUN_TUPLES = 300_000  # tuples of a sorted run
@@ -303,6 +303,7 @@ def suffix_dedup(docs: DataFrame, match: int = 50, gap: int = 24, id_col: str =
     if not 1 <= gap <= match:
         raise ValueError("gap is at least 1 and at most match")
     text = F.coalesce(F.col(text_col), F.lit(""))
+    small_batches(docs.sparkSession)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
     seen = rows.groupBy("id").agg(F.sum(F.octet_length("text")).alias("size"), F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("z"))
     total, clash = seen.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max((F.col("a") != F.col("z")) & F.col("id").isNotNull()), F.lit(False))).first()
