@@ -45,6 +45,15 @@ def materialize(df: DataFrame, what: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*written: DataFrame) -> None:
+    """Delete the files of intermediates that nothing reads any more: all that came of them is written too."""
+    for df in written:
+        spark = df.sparkSession
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Whole texts go to Python in batches of about 8 MB where the session has Spark's default of 64 MB."""
     if spark.conf.get(BATCH_BYTES) in ("67108864b", "64MB", "64m"):

@@ -6,7 +6,10 @@ rare class or a pair of tokens of one part of the frequent class.  Documents wit
 candidates; candidates are verified on their whole sets.
 
 Only the classes of similarity are wanted, so the documents of a signature are not paired with each other: a pivot
-is verified against the others, and only where that leaves several classes are further pairs between classes tried.
+is verified against the others.  Where that leaves several classes, the signature is extended by one more token: one
+in which its documents differ from the pivot.  Two similar documents that the pivot does not link share such tokens,
+and a prefix of each document's differences holds one of them, so near copies with changes of their own part at once.
+Small groups are paired, larger ones of an extended signature take a pivot again.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import mix, shingles, word_hashes
-from ._shared import connected_components, materialize, small_batches
+from ._shared import connected_components, discard, materialize, small_batches
 
 #: Counters of the frequency sketch.  It is the only thing sent to the driver and back: 8 bytes a counter.
 SKETCH_LOG2 = 18
@@ -28,6 +31,11 @@ SKETCH_LOG2 = 18
 FREQUENT_TIMES = 8
 #: Class-2 tokens of a prefix that fall into one part, on average.
 PER_PART = 4
+#: Groups of so many documents at most are paired where the pivot leaves several classes; larger ones are extended.
+PAIRED = 16
+#: Whom a document of an extended signature may be linked with: role 0 with role 1 (it is linked to the pivot), role 1
+#: with role 0, role 2 with role 2 (neither is linked to the pivot).
+LINKED, BESIDE, APART = 0, 1, 2
 
 
 def _sets(texts: list[str | None], n_words: int) -> Iterator[np.ndarray]:
@@ -141,6 +149,71 @@ def _verify(n_words: int, percent: int):
     return run
 
 
+def differences(pivot: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
+    """By role, the tokens of a prefix of the difference between a set and the pivot's (distinct sets).
+
+    With a, b and p the sizes of two similar sets and the pivot's, A and B their differences from it and C that between
+    the two, C <= r * (a + b) where r = (100 - percent) / (100 + percent), and the differences share (A + B - C) / 2
+    tokens.  If b is not linked to the pivot, B > r * (b + p), hence B - C > r * (p - a).  If it is, B is 1 or |b - p|
+    at least, hence B - C >= 1 - r * (a + p + 1).  B >= A - C too, and C <= a * (100 - percent) / percent.
+    """
+    a, p = len(tokens), len(pivot)
+    added = np.setdiff1d(tokens, pivot, assume_unique=True)
+    absent = np.setdiff1d(pivot, tokens, assume_unique=True)
+    size, most = len(added) + len(absent), a * (100 - percent) // percent
+    if not size:
+        return []
+    # the order of all documents around this pivot: what they add, rare tokens first, then what they lack
+    seen = counts[(added >> np.uint64(64 - SKETCH_LOG2)).astype(np.int64)]
+    ordered = np.concatenate([added[np.lexsort((added, seen))], absent[np.argsort(mix(absent))]])
+
+    def prefix(least: int) -> np.ndarray:
+        shared = max(1, -(-(size + max(least, size - 2 * most)) // 2))
+        return ordered[: max(0, size - shared + 1)]
+
+    short = prefix((100 - percent) * (p - a) // (100 + percent) + 1)
+    if size * (100 + percent) <= (100 - percent) * (a + p):
+        return [(LINKED, short)]
+    found = [(APART, short)]
+    if (size - most) * (100 + percent) * percent <= (100 - percent) * (100 * a + percent * p):  # else the other is not linked to the pivot
+        found.append((BESIDE, prefix(1 - (100 - percent) * (a + p + 1) // (100 + percent))))
+    return found
+
+
+def _extend(n_words: int, percent: int, held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, _ = held.value
+        last, pivot = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            for at in range(0, len(batch), 128):
+                part = batch.slice(at, 128)
+                cols: list[list[np.ndarray]] = [[], [], [], []]
+                for a, b, ta, s in zip(part["a"].to_pylist(), part["b"].to_pylist(), part["ta"].to_pylist(), _sets(part["tb"].to_pylist(), n_words), strict=True):
+                    if ta != last:
+                        last, pivot = ta, next(_sets([ta], n_words))
+                    around = mix(np.array([a], np.int64).view(np.uint64))
+                    for role, own in differences(pivot, s, counts, percent):
+                        sig = mix(mix(around + np.uint64(1 + (role == APART))) + own)
+                        for col, x in zip(cols, (b, len(s), sig.view(np.int64), role), strict=True):
+                            col.append(x if isinstance(x, np.ndarray) else np.full(len(own), x, np.int64))
+                if cols[0]:
+                    id_, n, sig, role = (np.concatenate(c) for c in cols)
+                    yield pa.RecordBatch.from_arrays([pa.array(id_), pa.array(n), pa.array(sig), pa.array(role.astype(np.int32))], ["id", "n", "sig", "role"])
+
+    return run
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (id, component_id) after more links: components of the components."""
+    links = materialize(links, "links")
+    old = [labels.select(F.col("id").alias(c), F.col("component_id").alias(f"c{c}")) for c in "uv"]
+    edges = links.join(old[0], "u", "left").join(old[1], "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    merged = materialize(connected_components(edges).withColumnRenamed("component_id", "now"), "merged")
+    kept = labels.join(merged.withColumnRenamed("id", "component_id"), "component_id", "left").select("id", F.coalesce("now", "component_id").alias("component_id"))
+    fresh = merged.join(labels.select("id"), "id", "left_anti").select("id", F.col("now").alias("component_id"))
+    return kept.union(fresh)
+
+
 def ngram_join(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, n_shingles (its set's size), component_id.
 
@@ -179,29 +252,53 @@ def ngram_join(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str
     wanted = members.select("id").distinct()
     texts = materialize(rows.join(wanted, "id"), "candidate-texts")
 
-    links, pivots = None, 0
+    def with_texts(p: DataFrame) -> DataFrame:
+        """The texts of pairs; rows of one pivot follow each other."""
+        p = p.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        return p.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+
+    def paired(m: DataFrame) -> DataFrame:
+        """Members of one group and different classes that may link."""
+        x = m.select("sig", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "role", "label")])
+        y = m.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "role", "label")])
+        p = x.join(y, "sig").filter(f"id_a < id_b and label_a <> label_b and (role_a <> role_b or role_a = {APART})")
+        return p.select(F.col("id_a").alias("a"), F.col("n_a").alias("na"), F.col("id_b").alias("b"), F.col("n_b").alias("nb"))
+
+    def verified(p: DataFrame) -> DataFrame:
+        return with_texts(p).mapInArrow(_verify(n_words, percent), "u long, v long")
+
+    links = materialize(verified(pairs), "links")
+    labels = materialize(connected_components(links), "labels")
+    # members of large groups that still hold several classes are told apart by their differences from the pivot
+    named = members.filter("size > 2").withColumn("role", F.lit(APART)).join(labels, "id", "left").withColumn("label", F.coalesce("component_id", "id"))
+    named = materialize(named.select("sig", "id", "n", "role", "size", "pivot", "pivot_n", "label"), "named")
+    discard(signed, groups, members, pairs)
+    extra = materialize(paired(named.filter((F.col("size") <= PAIRED) & (F.col("id") != F.col("pivot")))).filter(close).select("a", "b").distinct(), "paired")
+    named = named.filter(F.col("size") > PAIRED)
     while True:
-        tried = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        good = tried.select("a", "b", "ta", "tb").mapInArrow(_verify(n_words, percent), "u long, v long")
-        links = materialize(good if links is None else links.union(good), "links")
-        labels = materialize(connected_components(links), "labels")
-        # Groups that still hold several classes and pairs not tried yet.  In each turn four times as many members
-        # as before, picked by a hash, are tried against the members of other classes; a group that has no more
-        # members than that is done.
-        named = members.filter((F.col("size") > 2) & (F.col("size") > pivots)).join(labels, "id", "left")
-        named = materialize(named.select("sig", "id", "n", "size", "pivot", F.coalesce("component_id", "id").alias("label")), "named")
-        mixed = materialize(named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig"), "mixed")
-        if mixed.isEmpty():
+        mixed = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
+        around = named.filter("id <> pivot").join(mixed, "sig", "left_semi").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+        around = materialize(around, "around")
+        if around.isEmpty():
+            if extra is not None and not extra.isEmpty():
+                labels = materialize(_joined(labels, verified(extra)), "labels")
             break
-        before, pivots = pivots, max(4, 4 * pivots)
-        left = named.filter("id <> pivot").join(mixed, "sig", "left_semi")
-        left = materialize(left.withColumn("u", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 30)) / float(1 << 30) * F.col("size")), "left")
-        side = left.filter((F.col("u") >= before) & (F.col("u") < pivots))
-        p = side.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("u").alias("ua"))
-        m = left.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("u").alias("ub"))
-        pairs = p.join(m, "sig").filter("la <> lb and (ua < ub or (ua = ub and a < b))").filter(close)  # in the turn of its smaller hash
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialize(pairs, "pairs")
+        apart = materialize(with_texts(around).mapInArrow(_extend(n_words, percent, held), "id long, n long, sig long, role int"), "extended")
+        apart = apart.join(labels, "id", "left").withColumn("label", F.coalesce("component_id", "id"))
+        groups = apart.groupBy("sig").agg(
+            F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("pivot"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("role").alias("r0"), F.max("role").alias("r1")
+        )
+        groups = groups.filter(f"lo <> hi and (r0 = {APART} or r0 = {LINKED} and r1 >= {BESIDE})")
+        members = apart.join(groups.select("sig", "size", "pivot"), "sig").select("sig", "id", "n", "role", "label", "size", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n"))
+        members = materialize(members, "members")
+        many = members.filter((F.col("size") > PAIRED) & (F.col("id") != F.col("pivot")))
+        pairs = paired(members.filter(F.col("size") <= PAIRED)).union(many.select(F.col("pivot").alias("a"), F.col("pivot_n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb")))
+        pairs = pairs.filter(close).select("a", "b")
+        pairs = materialize((pairs if extra is None else pairs.union(extra)).distinct(), "pairs")
+        extra = None
+        labels = materialize(_joined(labels, verified(pairs)), "labels")
+        named = members.filter(F.col("size") > PAIRED).drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("component_id", "id"))
+        named = materialize(named.select("sig", "id", "pivot", "label"), "named")
     classes = copies.join(labels.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("class"))
     out = each.join(classes, "digest", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("component_id"))

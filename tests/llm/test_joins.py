@@ -122,6 +122,32 @@ def test_ngram_join(spark, n, percent):
     assert ngram_join(df.limit(0), n_words=n, percent=percent).count() == 0
 
 
+def near_group(seed, n, size, edits):
+    """A chain of near copies: each changes some words of the first text, of an earlier copy, or drops or adds a run."""
+    rnd = np.random.default_rng(seed)
+    first = [f"b{i}" for i in range(size)]
+    rows = [first]
+    for i in range(n - 1):
+        own = list(first if rnd.random() < 0.6 else rows[rnd.integers(len(rows))])
+        for _ in range(rnd.integers(edits) + 1):
+            own[rnd.integers(len(own))] = f"n{i}x{rnd.integers(4)}"
+        if rnd.random() < 0.3:
+            at = rnd.integers(size // 2)
+            own[at : at + 5] = [] if rnd.random() < 0.5 else ["one", "line", "that", "many", "share", "here"]
+        rows.append(own)
+    return [(i, " ".join(r)) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("n,percent,size,edits,paired", [(3, 90, 150, 4, 2), (3, 90, 40, 2, 16), (5, 80, 100, 5, 2)])
+def test_near_copies_that_the_pivot_does_not_link(spark, monkeypatch, n, percent, size, edits, paired):
+    import blockweave.llm.ngram_join as module
+
+    monkeypatch.setattr(module, "PAIRED", paired)
+    rows = near_group(size, 140, size, edits)
+    got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), n_words=n, percent=percent).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_join(rows, n, percent)
+
+
 def test_ngram_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = QUERIES["op7_ngram_join"](spark, sf).collect()
