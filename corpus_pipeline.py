@@ -42,18 +42,33 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents with a five-word shingle similarity of 0.8 or more, the smallest id stays."""
-    classes = ngram_join(docs, n_words=5, percent=80)
-    gone = classes.filter("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each class of documents with a five-word shingle similarity of 0.8 or more, the smallest id stays.
+
+    Every row is a document of its own, also with a null id (such rows count as the largest ids) or one that occurs
+    again: of these the least hash of the row stays.  Where there are any, the rows are numbered in that order.
+    """
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("doc_id is null or n > 1")
+    if odd.isEmpty():
+        rows = docs.withColumn("_row", F.col("doc_id"))
+    else:
+        order = [F.col("doc_id").asc_nulls_last(), F.col("_hash"), F.col("_at")]
+        rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_hash"), F.monotonically_increasing_id().alias("_at"))
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+        rows = materialize(rows.select(*COLUMNS, "_row"), "numbered")
+    classes = ngram_join(rows.select("_row", "text"), n_words=5, percent=80, id_col="_row")
+    gone = classes.filter("component_id is not null and _row <> component_id").select("_row").distinct()
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which the schedule mixes their sources: files and their rows follow it."""
-    order = mix_sources(docs.select("doc_id", "source").distinct())
-    order = materialize(order.select("doc_id", "source", "mix.slot", "mix.block_row"), "mixture")
-    placed = docs.select(*COLUMNS).withColumn("_s", F.coalesce(F.col("source"), F.lit(""))).join(order.select("doc_id", F.coalesce("source", F.lit("")).alias("_s"), "slot", "block_row"), ["doc_id", "_s"])
-    return placed.repartitionByRange("slot", "block_row").sortWithinPartitions("slot", "block_row", "doc_id").select(*COLUMNS)
+    """All documents, in the order in which the schedule mixes their sources: files and their rows follow it.
+
+    Every row has a place of its own, whether its id or source is null or occurs again.
+    """
+    place = F.concat_ws("|", F.col("doc_id").cast("string"), F.xxhash64(*COLUMNS).cast("string"))
+    order = mix_sources(docs.select(*COLUMNS, place.alias("_place")), id_col="_place")
+    placed = order.select(*COLUMNS, "mix.slot", "mix.block_row")
+    return placed.repartitionByRange("slot", "block_row").sortWithinPartitions("slot", "block_row").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
