@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from blockweave.sources.scratch import written
 
-from .solve import element_list, search
+from .solve import MAX_NODES, element_list, search
 
 MAX_STATES = 20_000
 EDGES = "src int, dst int, weight double"
@@ -33,8 +33,11 @@ def eligible(counts: np.ndarray, elements: list) -> tuple[np.ndarray, np.ndarray
     return np.array([v for v, _ in fit]).reshape(len(fit), len(counts)), np.array([lp for _, lp in fit])
 
 
-def exact_states(counts: np.ndarray, v: np.ndarray, logp: np.ndarray) -> list[tuple[int, ...]]:
-    best, _ = search(tuple(counts), [(i, tuple(x), math.exp(lp)) for i, (x, lp) in enumerate(zip(v, logp, strict=True))], MAX_STATES)
+def exact_states(counts: np.ndarray, v: np.ndarray, logp: np.ndarray, max_nodes: int = MAX_NODES) -> list[tuple[int, ...]]:
+    """All exact solutions; an error where they fill the pool or the search was cut off."""
+    best, ended = search(tuple(counts), [(i, tuple(x), math.exp(lp)) for i, (x, lp) in enumerate(zip(v, logp, strict=True))], MAX_STATES, max_nodes)
+    if not ended or len(best) >= MAX_STATES:
+        raise OverflowError("too many states")
     return sorted(tuple(sol.get(i, 0) for i in range(len(v))) for _, sol in best)
 
 
@@ -269,11 +272,11 @@ def gibbs_step(x: np.ndarray, counts: np.ndarray, v: np.ndarray, logp: np.ndarra
     return x
 
 
-def sample_chains(targets: DataFrame, elements: DataFrame, key: str, counts: str, kind: str = "reduced", steps: int = 10_000, k: int = 3, gamma: float = 0.8, chains: int = 1, seed: int = 0) -> DataFrame:
+def sample_chains(targets: DataFrame, elements: DataFrame, key: str, counts: str, kind: str = "reduced", steps: int = 10_000, k: int = 3, gamma: float = 0.8, chains: int = 1, seed: int = 0, max_nodes: int = MAX_NODES) -> DataFrame:
     """(key, chain, elems, exact): the state of each chain after ``steps`` steps, as elements with their multiplicities.
 
     The chain advances from its own last state.  The gibbs kind goes on until it is exact, for at most ten times the steps.
-    An area without an exact solution has no rows in the reduced kind.
+    An area without an exact solution has no rows in the reduced kind; one whose search for a start was cut off is an error.
     """
     held = element_list(elements)
     kind_ = targets.schema[key].dataType.simpleString()
@@ -289,7 +292,9 @@ def sample_chains(targets: DataFrame, elements: DataFrame, key: str, counts: str
                 names = [e for e, x, _ in held if all(np.array(x) <= c)]
                 rng = chain_rng(seed, f"{kv}|{chain}")
                 if kind == "reduced":
-                    start, _ = search(tuple(c), [(i, tuple(x), math.exp(lp)) for i, (x, lp) in enumerate(zip(v, logp, strict=True))], 1)
+                    start, ended = search(tuple(c), [(i, tuple(x), math.exp(lp)) for i, (x, lp) in enumerate(zip(v, logp, strict=True))], 1, max_nodes)
+                    if not start and not ended:
+                        raise OverflowError(f"the search for a solution of {kv} was cut off")
                     if not start:
                         continue
                     x, memo = np.array([start[0][1].get(i, 0) for i in range(len(v))]), memos.setdefault(tuple(names), {})

@@ -75,6 +75,8 @@ SOLUTION = "sol_rank int, elems array<struct<elem_id:int,n:int>>, cost double, l
 def enumerate_solutions(targets: DataFrame, elements: DataFrame, key: str, counts: str, n_best: int = 5000, max_nodes: int = MAX_NODES) -> DataFrame:
     """(key, sol_rank from 1, elems, cost, log_w, complete) of every area; an area without a solution has no rows.
 
+    Where the search stopped before it found any, the area is undecided: one row that has nulls and is not complete.
+
     log_w is the multiset's log-likelihood with the number of its orders.  ``complete`` is false where the pool was
     full or the search stopped.  Null counts have no solution.
     """
@@ -88,11 +90,13 @@ def enumerate_solutions(targets: DataFrame, elements: DataFrame, key: str, count
                 if c is None:
                     continue
                 best, ended = search(tuple(int(x) for x in c), held, n_best, max_nodes)
+                if not best and not ended:
+                    rows.append((k, None, None, None, None, False))
                 for rank, (cost, sol) in enumerate(best, 1):
                     n = sum(sol.values())
                     log_w = sum(m * logp[e] for e, m in sol.items()) + math.lgamma(n + 1) - sum(math.lgamma(m + 1) for m in sol.values())
                     rows.append((k, rank, [{"elem_id": e, "n": m} for e, m in sorted(sol.items())], cost, log_w, ended and len(best) < n_best))
-            yield pd.DataFrame(rows, columns=[key, "sol_rank", "elems", "cost", "log_w", "complete"])
+            yield pd.DataFrame(rows, columns=[key, "sol_rank", "elems", "cost", "log_w", "complete"]).astype({"sol_rank": "Int32", "cost": "Float64", "log_w": "Float64"})
 
     kind = targets.schema[key].dataType.simpleString()
     return targets.select(key, counts).mapInPandas(run, f"{key} {kind}, {SOLUTION}")
@@ -106,11 +110,14 @@ def solution_probs(solutions: DataFrame, key: str, gamma_slack: tuple[float, str
     return top.withColumn("p", F.col("_e") / F.sum("_e").over(w)).drop("_l", "_e")
 
 
-def relax(targets: DataFrame, levels: list[tuple[int, str, DataFrame]], key: str, n_best: int = 5000) -> DataFrame:
-    """Solve at the first level (number, counts column, elements) that has a solution; areas that none solves have level null."""
+def relax(targets: DataFrame, levels: list[tuple[int, str, DataFrame]], key: str, n_best: int = 5000, max_nodes: int = MAX_NODES) -> DataFrame:
+    """Solve at the first level (number, counts column, elements) that has a solution; areas that none solves have level null.
+
+    An undecided area (null elems) stays at the level whose search was cut off: that one may have a solution.
+    """
     left, out = targets, None
     for level, counts, elements in levels:
-        got = enumerate_solutions(left, elements, key, counts, n_best).withColumn("level", F.lit(level))
+        got = enumerate_solutions(left, elements, key, counts, n_best, max_nodes).withColumn("level", F.lit(level))
         out = got if out is None else out.unionByName(got)
         left = left.join(got.select(key).distinct(), key, "left_anti")
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in out.schema if f.name != key]

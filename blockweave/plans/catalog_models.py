@@ -213,7 +213,7 @@ def _parcels(t: Tables) -> DataFrame:
 
 
 def _n(i: int):
-    return F.coalesce(F.element_at(F.map_from_entries("elems"), i), F.lit(0)).cast("long")
+    return F.when(F.col("elems").isNotNull(), F.coalesce(F.element_at(F.map_from_entries("elems"), i), F.lit(0)).cast("long"))
 
 
 @query(f"SELECT block, CAST(rank AS INT) AS sol_rank, x, y, z, round(cost, 6) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY round(cost, 9), x DESC, y DESC) AS rank FROM ({COST_SQL})) WHERE rank <= 2")
@@ -246,7 +246,8 @@ def level_relaxation(t):
     e2 = solve.lexicographic(spark.createDataFrame([([1, 0], 0.5), ([1, 1], 0.5)], "v array<int>, p double"))
     e3 = solve.lexicographic(spark.createDataFrame([([1], 1.0)], "v array<int>, p double"))
     got = solve.relax(d, [(1, "k1", e1), (2, "k2", e2), (3, "k3", e3)], "block")
-    return got.select("block", "level").distinct()
+    undecided = F.col("level").isNotNull() & F.col("elems").isNull()
+    return got.select("block", F.when(undecided, F.raise_error(F.lit("a search was cut off")).cast("int")).otherwise(F.col("level")).alias("level")).distinct()
 
 
 # -- chains
