@@ -349,7 +349,7 @@ def mixing_bounds(t):
 
 @query(None)
 def mcmc_reduced(t):
-    got = chains.sample_chains(_areas(t).filter("counts[0] >= 4 and counts[1] >= 1"), _parcels(t), "block", "counts", steps=30, k=3, seed=4)
+    got = chains.sample_chains(_areas(t), _parcels(t), "block", "counts", seed=4)
     return got.select("block", "chain", "exact", F.to_json("elems").alias("elems"))
 
 

@@ -85,7 +85,7 @@ def blocks_of(members: DataFrame) -> DataFrame:
 def demo_microdata(spark: SparkSession, customer: DataFrame) -> DataFrame:
     """Each customer is a household of the sample; blocks are small cells of customers of one nation."""
     members = customer.select(F.col("c_nationkey").alias("COUNTYA"), (F.col("c_custkey") % 50).cast("int").alias("TRACTA"), F.floor(F.col("c_custkey") / 500).cast("int").alias("BLOCKA"), F.pmod(F.hash("c_custkey"), F.lit(len(SAMPLE))).alias("kind"))
-    rows, unsolved = generate(blocks_of(members), sample_households(spark), n_best=200, refine_steps=20)
+    rows, unsolved = generate(blocks_of(members), sample_households(spark))
     lost = unsolved.limit(5).collect()
     if lost:
         raise RuntimeError(f"blocks without a solution, or (level given) whose search was cut off: {[tuple(x) for x in lost]}")
