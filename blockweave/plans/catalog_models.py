@@ -157,9 +157,8 @@ def forward_fill_groups(t):
 def household_struct(t):
     w = Window.partitionBy("conv_id").orderBy("turn")
     d = t.conversations.withColumn("grp", F.sum((F.col("role") == "user").cast("int")).over(w))
-    g = d.groupBy("conv_id", "grp").agg(F.collect_list(F.struct("role", F.char_length("text").alias("n"))).alias("p"))
-    people = F.size(F.filter("p", lambda x: x["role"] != "user"))
-    return g.select("conv_id", "grp", people.cast("long").alias("people"), F.least(F.size("p"), F.lit(7)).cast("long").alias("size"), F.array_max(F.transform("p", lambda x: x["n"])).cast("long").alias("longest")).filter("people > 0")
+    g = d.groupBy("conv_id", "grp").agg(F.count_if(F.col("role") != "user").alias("people"), F.least(F.count(F.lit(1)), F.lit(7)).alias("size"), F.max(F.char_length("text")).cast("long").alias("longest"))
+    return g.filter("people > 0")
 
 
 @query("SELECT l_orderkey, l_linenumber, i AS hh_num FROM lineitem, LATERAL (SELECT unnest(range(0, CAST(l_quantity AS BIGINT) // 10))::INT AS i)")
