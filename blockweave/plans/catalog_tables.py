@@ -91,7 +91,10 @@ def consistency_check(t):
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
 def unpivot_positive(t):
     kinds = ["click", "error", "purchase", "signup", "view"]
-    found = [x[0] for x in t.events.select("event_type").distinct().orderBy("event_type").limit(50).collect()]
+    most = int(t.spark.conf.get("spark.sql.pivotMaxValues"))
+    found = [x[0] for x in t.events.select("event_type").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError("more event types than a pivot takes")
     wide = t.events.groupBy("user_id").pivot("event_type", sorted({*kinds, *found})).count().na.fill(0)
     return wide.unpivot("user_id", wide.columns[1:], "event_type", "n").filter("n > 0")
 
