@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+DEFAULT_BATCH = ("67108864b", "64MB", "64m")
 _own_dir: list[str] = []
 
 
@@ -30,15 +31,19 @@ def materialize(df: DataFrame, what: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends in a file that outlives executors.
 
     The write's shuffle files go with it, as nothing reads them again; the Parquet files go when the driver's JVM ends.
+    Whole texts go to Python in batches of about 8 MB meanwhile where the session has Spark's default of 64 MB.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    held = {CLEANUP: "true"} | ({BATCH_BYTES: "8m"} if spark.conf.get(BATCH_BYTES) in DEFAULT_BATCH else {})
+    before = {key: spark.conf.get(key, None) for key in held}
+    for key, value in held.items():
+        spark.conf.set(key, value)
     try:
         df.write.options(**options).parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
@@ -56,7 +61,7 @@ def discard(*written: DataFrame) -> None:
 
 def small_batches(spark: SparkSession) -> None:
     """Whole texts go to Python in batches of about 8 MB where the session has Spark's default of 64 MB."""
-    if spark.conf.get(BATCH_BYTES) in ("67108864b", "64MB", "64m"):
+    if spark.conf.get(BATCH_BYTES) in DEFAULT_BATCH:
         spark.conf.set(BATCH_BYTES, "8m")
 
 

@@ -1,15 +1,16 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-Tokens are hashed word shingles.  All documents order them alike, rare ones first; a document's prefix is extended
-until, whichever tokens another similar document lacks, the two still share a signature: a single token of the
-rare class or a pair of tokens of one part of the frequent class.  Documents with a common signature are
-candidates; candidates are verified on their whole sets.
+Tokens are hashed word shingles.  A token that no other set holds is a miss in every pair, so a set with more of
+these than it may miss has no partner; most sets go by this, which a part of their tokens shows.  The others order
+their tokens alike, rare ones first.  A set's prefix is extended until, whichever tokens another similar set
+lacks, the two still share a signature: a single token of the rare class or a pair of tokens of one part of the
+frequent class.  Sets with a common signature are candidates; candidates are verified on their whole sets.
 
-Only the classes of similarity are wanted, so the documents of a signature are not paired with each other: a pivot
+Only the classes of similarity are wanted, so the sets of a large signature are not paired with each other: a pivot
 is verified against the others.  Where that leaves several classes, the signature is extended by one more token: one
-in which its documents differ from the pivot.  Two similar documents that the pivot does not link share such tokens,
-and a prefix of each document's differences holds one of them, so near copies with changes of their own part at once.
-Small groups are paired, larger ones of an extended signature take a pivot again.
+in which its sets differ from the pivot.  Two similar sets that the pivot does not link share such tokens, and a
+prefix of each set's differences, those that few sets around this pivot have first, holds one of them.  So near
+copies with changes of their own part at once.  Small groups are paired, larger ones take a pivot again.
 """
 
 from __future__ import annotations
@@ -19,21 +20,19 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import mix, shingles, word_hashes
-from ._shared import connected_components, discard, materialize, small_batches
+from ._shared import connected_components, discard, materialize
 
-#: Counters of the frequency sketch.  It is the only thing sent to the driver and back: 8 bytes a counter.
-SKETCH_LOG2 = 18
-#: A token is frequent if its counter is over so many times the mean counter (and 16).  This decides cost, never results.
-FREQUENT_TIMES = 8
-#: Class-2 tokens of a prefix that fall into one part, on average.
+#: A token is frequent if so many sets or more hold it.  This decides cost, never results.
+FREQUENT = 64
+#: Frequent tokens of a prefix that fall into one part, on average.
 PER_PART = 4
-#: Groups of so many documents at most are paired where the pivot leaves several classes; larger ones are extended.
-PAIRED = 16
-#: Whom a document of an extended signature may be linked with: role 0 with role 1 (it is linked to the pivot), role 1
+#: Groups of so many sets at most are paired where the pivot leaves several classes; larger ones are extended.
+PAIRED = 32
+#: Whom a set of an extended signature may be linked with: role 0 with role 1 (it is linked to the pivot), role 1
 #: with role 0, role 2 with role 2 (neither is linked to the pivot).
 LINKED, BESIDE, APART = 0, 1, 2
 
@@ -43,28 +42,37 @@ def _sets(texts: list[str | None], n_words: int) -> Iterator[np.ndarray]:
         yield shingles(words, n_words)
 
 
-def _scan(n_words: int):
-    """Per document its set's size and digest; per task the counters of all its tokens."""
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, values)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64)))
+
+
+def _scan(n_words: int, every: int):
+    """Per document its set's size and two halves of its digest, and the tokens divisible by ``every``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n", "digest", "place", "seen"]
-        sketch = np.zeros(1 << SKETCH_LOG2, np.int64)
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                size, digest, all_sets = [], [], [np.zeros(0, np.uint64)]
+                size, digest, sample = [], [], []
                 for s in _sets(part["text"].to_pylist(), n_words):
                     size.append(len(s))
-                    digest.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    all_sets.append(s)
-                sketch += np.bincount((np.concatenate(all_sets) >> np.uint64(64 - SKETCH_LOG2)).astype(np.int64), minlength=len(sketch))
-                none = pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.int64())
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), *none], names)
-        place = np.flatnonzero(sketch)
-        for at in range(0, len(place), 1 << 16):
-            p = place[at : at + (1 << 16)]
-            none = [pa.nulls(len(p), t) for t in (pa.int64(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(p.astype(np.int32)), pa.array(sketch[p])], names)
+                    digest.append(blake2b(s.tobytes(), digest_size=16).digest())
+                    sample.append(s[s % np.uint64(every) == 0])
+                h = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+                cols = [part["id"], part["at"], pa.array(size, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), _lists(sample)]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "at", "n", "h1", "h2", "sample"])
+
+    return run
+
+
+def _tokens(n_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                sets = list(_sets(part["text"].to_pylist(), n_words))
+                yield pa.RecordBatch.from_arrays([part["sid"], pa.array(list(map(len, sets)), pa.int64()), _lists(sets)], ["sid", "n", "tokens"])
 
     return run
 
@@ -74,18 +82,21 @@ def allowed_misses(n: int, percent: int) -> int:
     return n - -(-n * percent // 100)
 
 
-def signatures(tokens: np.ndarray, counts: np.ndarray, frequent: int, percent: int) -> np.ndarray:
-    """Distinct 64-bit signatures of one set (two tokens at least); ``counts`` is the sketch.
+def signatures(n: int, tokens: np.ndarray, held_by: np.ndarray, percent: int) -> np.ndarray:
+    """Distinct 64-bit signatures of a set of ``n`` tokens, of which ``tokens``, in the order of all sets, are in other sets too.
+
+    ``held_by`` says how many sets hold each.  After any ``allowed_misses`` tokens go, a prefix with that many and one
+    more single tokens, or tokens of a part beyond its first, still has a signature.  Tokens of this set only lie
+    before the others and go first.  Parts depend on the size class of the larger of two sets; a set whose larger
+    partners reach into the next class has the signatures of both.
 
-    After any ``allowed_misses`` tokens go, a prefix with that many and one more single tokens, or tokens of a part
-    beyond its first, still has a signature.  Parts depend on the size class of the larger of two sets; a set whose
-    larger partners reach into the next class has the signatures of both.
+    A prefix is always long enough: parts are n / 4 at most (one for n < 4) as percent is over 50, so the tokens
+    have 3n / 4 useful ones or more, less those of this set only, and n / 2 + 1 less those are needed at most.
     """
-    n = len(tokens)
-    seen = counts[(tokens >> np.uint64(64 - SKETCH_LOG2)).astype(np.int64)]
-    order = np.lexsort((tokens, seen))  # the order of all documents: by counter, then by the token itself
-    tokens, common = tokens[order], seen[order] > frequent
-    need = allowed_misses(n, percent) + 1
+    common = held_by >= FREQUENT
+    need = allowed_misses(n, percent) + 1 - (n - len(tokens))
+    if need <= 0:
+        return np.zeros(0, np.uint64)
     level = n.bit_length() - 1
     top = (n * 100 // percent).bit_length() - 1
     found = []
@@ -98,10 +109,7 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, frequent: int, percent: i
             first = np.zeros(len(at), bool)
             first[np.unique(part[at], return_index=True)[1]] = True
             useful[at[~first]] = True
-        total = np.cumsum(useful)
-        if total[-1] < need:
-            raise AssertionError("a prefix cannot be long enough")
-        size = int(np.searchsorted(total, need)) + 1
+        size = int(np.searchsorted(np.cumsum(useful), need)) + 1
         head, head_part = tokens[:size], part[:size]
         found.append(mix(head[head_part < 0]))
         for p in np.unique(head_part[head_part >= 0]):
@@ -111,107 +119,71 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, frequent: int, percent: i
     return np.unique(np.concatenate(found))
 
 
-def _sign(n_words: int, percent: int, held):
+def _sign(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, frequent = held.value
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                ids, sizes, found = [], [], []
-                for i, s in zip(part["id"].to_pylist(), _sets(part["text"].to_pylist(), n_words), strict=True):
-                    if len(s) > 1:  # a set of one token is similar to equal sets only
-                        sig = signatures(s, counts, frequent, percent)
-                        found.append(sig)
-                        ids.append(np.full(len(sig), i, np.int64))
-                        sizes.append(np.full(len(sig), len(s), np.int64))
-                if found:
-                    cols = [np.concatenate(x) for x in (ids, sizes, [f.view(np.int64) for f in found])]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["id", "n", "sig"])
+            for at in range(0, len(batch), 64):
+                part = batch.slice(at, 64)
+                ids, sizes, own, found = [], [], [], []
+                tokens, held = part["tokens"], part["held_by"]
+                for i, (sid, n) in enumerate(zip(part["sid"].to_pylist(), part["n"].to_pylist(), strict=True)):
+                    t = tokens[i].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                    sig = signatures(n, t, held[i].values.to_numpy(zero_copy_only=False), percent)
+                    found.append(sig.view(np.int64))
+                    for col, x in zip((ids, sizes, own), (sid, n, n - len(t)), strict=True):
+                        col.append(np.full(len(sig), x, np.int64))
+                cols = [np.concatenate(x) for x in (ids, sizes, own, found)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["sid", "n", "own", "sig"])
 
     return run
 
 
-def _verify(n_words: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            for at in range(0, len(batch), 128):
-                part = batch.slice(at, 128)
-                good = []
-                for i, (a, s) in enumerate(zip(part["ta"].to_pylist(), _sets(part["tb"].to_pylist(), n_words), strict=True)):
-                    if a != last:
-                        last, last_set = a, next(_sets([a], n_words))
-                    both = len(np.intersect1d(last_set, s, assume_unique=True))
-                    if 100 * both >= percent * (len(last_set) + len(s) - both):
-                        good.append(i)
-                yield pa.RecordBatch.from_arrays([part["a"].take(pa.array(good, pa.int64())), part["b"].take(pa.array(good, pa.int64()))], ["u", "v"])
+def _whole(x: Column, by: int) -> Column:
+    """x divided by ``by``, rounded down, for any sign."""
+    return ((x - F.pmod(x, F.lit(by))) / by).cast("long")
 
-    return run
 
+def _differences(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Extended signatures of the sets b around pivots a: (sig, sid, n, own, label, role).
 
-def differences(pivot: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
-    """By role, the tokens of a prefix of the difference between a set and the pivot's (distinct sets).
+    With p, a and b the sizes of the pivot's and two similar sets, A and B their differences from the pivot and C that
+    between the two, C <= r * (a + b) where r = (100 - percent) / (100 + percent), and the differences share
+    (A + B - C) / 2 tokens.  If b is not linked to the pivot, B > r * (b + p), hence B - C > r * (p - a).  If it is, B is
+    1 or |b - p| at least, hence B - C >= 1 - r * (a + p + 1).  B >= A - C too, and C <= a * (100 - percent) / percent.
 
-    With a, b and p the sizes of two similar sets and the pivot's, A and B their differences from it and C that between
-    the two, C <= r * (a + b) where r = (100 - percent) / (100 + percent), and the differences share (A + B - C) / 2
-    tokens.  If b is not linked to the pivot, B > r * (b + p), hence B - C > r * (p - a).  If it is, B is 1 or |b - p|
-    at least, hence B - C >= 1 - r * (a + p + 1).  B >= A - C too, and C <= a * (100 - percent) / percent.
+    Around a pivot, differences that only one set has come first, then those of two, and so on; the pivot's own
+    tokens, absent from every set, come last and are one difference here (token null).
     """
-    a, p = len(tokens), len(pivot)
-    added = np.setdiff1d(tokens, pivot, assume_unique=True)
-    absent = np.setdiff1d(pivot, tokens, assume_unique=True)
-    size, most = len(added) + len(absent), a * (100 - percent) // percent
-    if not size:
-        return []
-    # the order of all documents around this pivot: what they add, rare tokens first, then what they lack
-    seen = counts[(added >> np.uint64(64 - SKETCH_LOG2)).astype(np.int64)]
-    ordered = np.concatenate([added[np.lexsort((added, seen))], absent[np.argsort(mix(absent))]])
-
-    def prefix(least: int) -> np.ndarray:
-        shared = max(1, -(-(size + max(least, size - 2 * most)) // 2))
-        return ordered[: max(0, size - shared + 1)]
-
-    short = prefix((100 - percent) * (p - a) // (100 + percent) + 1)
-    if size * (100 + percent) <= (100 - percent) * (a + p):
-        return [(LINKED, short)]
-    found = [(APART, short)]
-    if (size - most) * (100 + percent) * percent <= (100 - percent) * (100 * a + percent * p):  # else the other is not linked to the pivot
-        found.append((BESIDE, prefix(1 - (100 - percent) * (a + p + 1) // (100 + percent))))
-    return found
-
-
-def _extend(n_words: int, percent: int, held):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, _ = held.value
-        last, pivot = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            for at in range(0, len(batch), 128):
-                part = batch.slice(at, 128)
-                cols: list[list[np.ndarray]] = [[], [], [], []]
-                for a, b, ta, s in zip(part["a"].to_pylist(), part["b"].to_pylist(), part["ta"].to_pylist(), _sets(part["tb"].to_pylist(), n_words), strict=True):
-                    if ta != last:
-                        last, pivot = ta, next(_sets([ta], n_words))
-                    around = mix(np.array([a], np.int64).view(np.uint64))
-                    for role, own in differences(pivot, s, counts, percent):
-                        sig = mix(mix(around + np.uint64(1 + (role == APART))) + own)
-                        for col, x in zip(cols, (b, len(s), sig.view(np.int64), role), strict=True):
-                            col.append(x if isinstance(x, np.ndarray) else np.full(len(own), x, np.int64))
-                if cols[0]:
-                    id_, n, sig, role = (np.concatenate(c) for c in cols)
-                    yield pa.RecordBatch.from_arrays([pa.array(id_), pa.array(n), pa.array(sig), pa.array(role.astype(np.int32))], ["id", "n", "sig", "role"])
-
-    return run
-
-
-def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (id, component_id) after more links: components of the components."""
-    links = materialize(links, "links")
-    old = [labels.select(F.col("id").alias(c), F.col("component_id").alias(f"c{c}")) for c in "uv"]
-    edges = links.join(old[0], "u", "left").join(old[1], "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-    merged = materialize(connected_components(edges).withColumnRenamed("component_id", "now"), "merged")
-    kept = labels.join(merged.withColumnRenamed("id", "component_id"), "component_id", "left").select("id", F.coalesce("now", "component_id").alias("component_id"))
-    fresh = merged.join(labels.select("id"), "id", "left_anti").select("id", F.col("now").alias("component_id"))
-    return kept.union(fresh)
+    col, low, high = F.col, 100 - percent, 100 + percent
+    p = around.join(sets.select(col("sid").alias("b"), col("n").alias("nb"), col("own").alias("ob"), col("tokens").alias("tb")), "b")
+    p = p.join(sets.select(col("sid").alias("a"), col("n").alias("na"), col("own").alias("oa"), col("tokens").alias("ta")), "a")
+    p = p.withColumn("differ", F.concat(F.array_except("tb", "ta"), F.array_except("ta", "tb"))).withColumn("size", F.size("differ") + col("oa") + col("ob"))
+    p = p.withColumn("most", F.expr(f"nb * {low} div {percent}"))  # C at most
+
+    def prefix(least: Column) -> Column:
+        shared = F.greatest(F.lit(1), _whole(1 + col("size") + F.greatest(least, col("size") - 2 * col("most")), 2))
+        return F.greatest(F.lit(0), col("size") - shared + 1)
+
+    short = prefix(_whole(low * (col("na") - col("nb")), high) + 1)
+    linked = col("size") * high <= low * (col("na") + col("nb"))
+    beside = (col("size") - col("most")) * (high * percent) <= low * (100 * col("nb") + percent * col("na"))
+    long_ = prefix(1 - _whole(low * (col("na") + col("nb") + 1), high))
+    roles = F.when(linked, F.array(F.struct(F.lit(LINKED).alias("role"), short.alias("length")))).otherwise(
+        F.array(F.struct(F.lit(APART).alias("role"), short.alias("length")), F.struct(F.lit(BESIDE).alias("role"), F.when(beside, long_).otherwise(F.lit(0)).alias("length")))
+    )
+    # what lies before the differences that others share too: all of b's own tokens, and later those that prove to be of one set
+    p = p.select("a", "b", "label", col("nb").alias("n"), col("ob").alias("own"), (col("size") - col("oa")).alias("size"), roles.alias("roles"), F.concat("differ", F.when(col("oa") > 0, F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<bigint>"))).alias("differ"))
+    p = materialize(p, "differences")
+    flat = p.select("a", "b", F.explode("differ").alias("token"))
+    count = flat.groupBy("a", "token").agg(F.count(F.lit(1)).alias("held_by")).filter("held_by > 1")
+    count = count.select("a", col("token").alias("t"), F.when(col("token").isNull(), F.lit((1 << 63) - 1)).otherwise(col("held_by")).alias("held_by"))
+    both = flat.join(count.withColumnRenamed("a", "around"), (col("a") == col("around")) & col("token").eqNullSafe(col("t")))
+    order = both.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("held_by", "token"))).alias("order"))
+    out = p.drop("differ").join(order, ["a", "b"]).withColumn("role", F.explode("roles"))
+    shared = F.size(F.filter("order", lambda x: x["token"].isNotNull()))
+    take = F.greatest(F.lit(0), col("role.length") - (col("size") - shared)).cast("int")
+    out = out.select("a", "label", "n", "own", col("b").alias("sid"), col("role.role").alias("role"), F.explode(F.slice("order", F.lit(1), take)).alias("x"))
+    return out.select(F.xxhash64("a", (col("role") == APART).cast("int"), F.coalesce("x.token", F.lit(0)), col("x.token").isNull().cast("int")).alias("sig"), "sid", "n", "own", "label", "role")
 
 
 def ngram_join(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,81 +196,91 @@ def ngram_join(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str
 
     Null, empty and blank texts have no shingles and link with nothing.  A null id has a null component.  Rows that share an id are one
     document, linked by any of their texts; each keeps its row.  Ids are cast to long.  An empty table gives no
-    rows; other columns are ignored.  Tokens are 64-bit hashes of shingles.
+    rows; other columns are ignored.  Tokens are 64-bit hashes of shingles, sets are told apart by 128 bits.
     """
     if not 50 < percent <= 100:
         raise ValueError("percent is over 50 and at most 100")
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scan = materialize(rows.mapInArrow(_scan(n_words), "id long, n long, digest binary, place int, seen long"), "sets")
-    each = scan.filter("place is null").select("id", "n", "digest")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("at"))
+    every = max(1, -(-50 // max(1, 100 - percent)))  # of 100 tokens of one set only, so many still show twice what may be missed
+    each = materialize(rows.mapInArrow(_scan(n_words, every), "id long, at long, n long, h1 long, h2 long, sample array<bigint>"), "sets")
+    known = each.filter("id is not null and n > 0")
     # copies of one set are one from here on: the smallest id stands for them
-    copies = materialize(each.filter("id is not null and n > 0").groupBy("digest").agg(F.min("id").alias("rep")), "copies")
-    seen = scan.filter("place is not null").groupBy("place").agg(F.sum("seen").alias("seen")).toPandas()  # 2 ** SKETCH_LOG2 rows at most
-    counts = np.zeros(1 << SKETCH_LOG2, np.int64)
-    counts[seen["place"]] = seen["seen"]
-    held = spark.sparkContext.broadcast((counts, int(counts.mean() * FREQUENT_TIMES) + 16))
-    alone = rows.join(copies.select(F.col("rep").alias("id")).distinct(), "id")
-    signed = materialize(alone.mapInArrow(_sign(n_words, percent, held), "id long, n long, sig long"), "signatures")
-    groups = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("pivot")).filter("size > 1 and pivot.id is not null")
-    groups = materialize(groups, "groups")
-    members = signed.join(groups, "sig").select("sig", "id", "n", "size", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n"))
-    members = materialize(members, "members")
-
-    close = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    pairs = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("pivot_n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    pairs = materialize(pairs.filter(close).select("a", "b").distinct(), "pairs")
-    wanted = members.select("id").distinct()
-    texts = materialize(rows.join(wanted, "id"), "candidate-texts")
-
-    def with_texts(p: DataFrame) -> DataFrame:
-        """The texts of pairs; rows of one pivot follow each other."""
-        p = p.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        return p.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    copies = materialize(known.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("at", "id").alias("at"), F.min("n").alias("n")), "copies")
+    # sets so small that only equal ones are similar need no more
+    allowed = f"(n - (n * {percent} + 99) div 100)"
+    may = f"({allowed} > 0 or n * 100 div {percent} > n)"
+    once = known.filter(may).select("h1", "h2", F.explode("sample").alias("token"))
+    once = once.groupBy("token").agg(F.min("h1").alias("h1"), F.max("h1").alias("high"), F.min("h2").alias("h2")).filter("h1 = high")
+    once = once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("once"))
+    alive = copies.filter(may).join(once, ["h1", "h2"], "left").filter(f"coalesce(once, 0) <= {allowed}")
+    alive = materialize(alive.select("rep", "at", F.monotonically_increasing_id().alias("sid")), "alive")
+    found = rows.join(alive.withColumnRenamed("rep", "id"), ["id", "at"]).select("sid", "text")
+    tokens = materialize(found.mapInArrow(_tokens(n_words), "sid long, n long, tokens array<bigint>"), "tokens")
+    # a token that one set alone holds matters by its number only
+    flat = tokens.select("sid", "n", F.explode("tokens").alias("token"))
+    held = flat.groupBy("token").agg(F.count(F.lit(1)).alias("held_by")).filter("held_by > 1")
+    sets = flat.join(held, "token").groupBy("sid", "n").agg(F.array_sort(F.collect_set(F.struct("held_by", "token"))).alias("t"))
+    sets = sets.filter(f"n - size(t) <= {allowed}").select("sid", "n", (F.col("n") - F.size("t")).alias("own"), F.col("t.token").alias("tokens"), F.col("t.held_by").alias("held_by"))
+    sets = materialize(sets, "shared-tokens")
+    discard(tokens)
+
+    signed = materialize(sets.mapInArrow(_sign(percent), "sid long, n long, own long, sig long"), "signatures")
+    first = F.min(F.struct("own", "sid", "n")).alias("pivot")  # the set with the fewest tokens of its own is nearest to all
+    groups = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), first).filter("size > 1")
+    members = materialize(signed.join(groups, "sig"), "members")
+
+    def close(p: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose sizes and own tokens allow a link."""
+        wide = f"{percent} * (na + nb) <= {100 + percent} * least(na - oa, nb - ob)"
+        return p.filter(wide).select("a", "b").distinct()
+
+    def pivoted(m: DataFrame) -> DataFrame:
+        m = m.filter("sid <> pivot.sid")
+        return m.select(F.col("pivot.sid").alias("a"), F.col("pivot.n").alias("na"), F.col("pivot.own").alias("oa"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"))
 
     def paired(m: DataFrame) -> DataFrame:
-        """Members of one group and different classes that may link."""
-        x = m.select("sig", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "role", "label")])
-        y = m.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "role", "label")])
-        p = x.join(y, "sig").filter(f"id_a < id_b and label_a <> label_b and (role_a <> role_b or role_a = {APART})")
-        return p.select(F.col("id_a").alias("a"), F.col("n_a").alias("na"), F.col("id_b").alias("b"), F.col("n_b").alias("nb"))
-
-    def verified(p: DataFrame) -> DataFrame:
-        return with_texts(p).mapInArrow(_verify(n_words, percent), "u long, v long")
-
-    links = materialize(verified(pairs), "links")
-    labels = materialize(connected_components(links), "labels")
-    # members of large groups that still hold several classes are told apart by their differences from the pivot
-    named = members.filter("size > 2").withColumn("role", F.lit(APART)).join(labels, "id", "left").withColumn("label", F.coalesce("component_id", "id"))
-    named = materialize(named.select("sig", "id", "n", "role", "size", "pivot", "pivot_n", "label"), "named")
-    discard(signed, groups, members, pairs)
-    extra = materialize(paired(named.filter((F.col("size") <= PAIRED) & (F.col("id") != F.col("pivot")))).filter(close).select("a", "b").distinct(), "paired")
-    named = named.filter(F.col("size") > PAIRED)
+        """Members of one small group and different classes that may link."""
+        cols = {"sid": "", "n": "n", "own": "o", "role": "role_", "label": "label_"}
+        x, y = (m.select("sig", *[F.col(c).alias(f"{short}{side}") for c, short in cols.items()]) for side in "ab")
+        p = x.join(y, "sig").filter(f"a < b and label_a <> label_b and (role_a <> role_b or role_a = {APART})")
+        return p.select("a", "na", "oa", "b", "nb", "ob")
+
+    def linked(p: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are similar."""
+        p = p.join(sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b")
+        p = p.join(sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a")
+        return p.withColumn("both", F.size(F.array_intersect("ta", "tb"))).filter(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
+
+    links = materialize(linked(materialize(close(pivoted(members)), "pairs")), "links")
+    labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("id").alias("sid"), "component_id")
+    all_links = links
+    members = members.filter("size > 2").join(labels, "sid", "left").withColumn("label", F.coalesce("component_id", "sid")).withColumn("role", F.lit(APART))
     while True:
-        mixed = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
-        around = named.filter("id <> pivot").join(mixed, "sig", "left_semi").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+        # groups that still hold several classes: small ones are paired, large ones told apart by differences from the pivot
+        mixed = members.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
+        members = materialize(members.join(mixed, "sig", "left_semi").select("sig", "sid", "n", "own", "label", "role", "size", "pivot"), "mixed")
+        pairs = paired(members.filter((F.col("size") <= PAIRED) & (F.col("sid") != F.col("pivot.sid"))))
+        around = members.filter((F.col("size") > PAIRED) & (F.col("sid") != F.col("pivot.sid"))).groupBy(F.col("pivot.sid").alias("a"), F.col("sid").alias("b")).agg(F.min("label").alias("label"))
         around = materialize(around, "around")
         if around.isEmpty():
-            if extra is not None and not extra.isEmpty():
-                labels = materialize(_joined(labels, verified(extra)), "labels")
+            all_links = all_links.union(materialize(linked(materialize(close(pairs), "pairs")), "links"))
             break
-        apart = materialize(with_texts(around).mapInArrow(_extend(n_words, percent, held), "id long, n long, sig long, role int"), "extended")
-        apart = apart.join(labels, "id", "left").withColumn("label", F.coalesce("component_id", "id"))
-        groups = apart.groupBy("sig").agg(
-            F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("pivot"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("role").alias("r0"), F.max("role").alias("r1")
-        )
-        groups = groups.filter(f"lo <> hi and (r0 = {APART} or r0 = {LINKED} and r1 >= {BESIDE})")
-        members = apart.join(groups.select("sig", "size", "pivot"), "sig").select("sig", "id", "n", "role", "label", "size", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n"))
-        members = materialize(members, "members")
-        many = members.filter((F.col("size") > PAIRED) & (F.col("id") != F.col("pivot")))
-        pairs = paired(members.filter(F.col("size") <= PAIRED)).union(many.select(F.col("pivot").alias("a"), F.col("pivot_n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb")))
-        pairs = pairs.filter(close).select("a", "b")
-        pairs = materialize((pairs if extra is None else pairs.union(extra)).distinct(), "pairs")
-        extra = None
-        labels = materialize(_joined(labels, verified(pairs)), "labels")
-        named = members.filter(F.col("size") > PAIRED).drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("component_id", "id"))
-        named = materialize(named.select("sig", "id", "pivot", "label"), "named")
-    classes = copies.join(labels.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("class"))
-    out = each.join(classes, "digest", "left")
+        extended = materialize(_differences(around, sets, percent), "extended")
+        groups = extended.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("own", "sid", "n", "label")).alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("role").alias("r0"), F.max("role").alias("r1"))
+        groups = groups.filter(f"low <> high and (r0 = {APART} or r0 = {LINKED} and r1 = {BESIDE})").select("sig", "size", "pivot")
+        members = materialize(extended.join(groups, "sig"), "members")
+        links = materialize(linked(materialize(close(pivoted(members).union(pairs)), "pairs")), "links")
+        all_links = all_links.union(links)
+        # for the next turn, a set that this group's pivot links is of the pivot's class
+        mark = members.join(links.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("pivot.sid") == F.col("_a")) & (F.col("sid") == F.col("_b")), "left")
+        members = mark.withColumn("label", F.when(F.col("_b").isNotNull(), F.col("pivot.label")).otherwise(F.col("label")))
+
+    names = alive.select("sid", "rep")
+    edges = all_links.join(names.select(F.col("sid").alias("a"), F.col("rep").alias("u")), "a").join(names.select(F.col("sid").alias("b"), F.col("rep").alias("v")), "b").select("u", "v")
+    # an id that occurs with several sets joins them
+    several = known.groupBy("id").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.min("h2").alias("low2"), F.max("h2").alias("high2")).filter("low <> high or low2 <> high2")
+    joined = known.join(several, "id").select("id", "h1", "h2").distinct().join(copies, ["h1", "h2"]).select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    labels = connected_components(edges.union(joined))
+    classes = copies.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component_id", "rep").alias("class"))
+    out = each.select("id", "n", F.when(F.col("n") > 0, F.col("h1")).alias("h1"), F.when(F.col("n") > 0, F.col("h2")).alias("h2")).join(classes, ["h1", "h2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("component_id"))
