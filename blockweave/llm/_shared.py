@@ -12,6 +12,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 DEFAULT_BATCH = ("67108864b", "64MB", "64m")
+#: Bits of the filter that is broadcast ahead of a join, and of one of Spark's bitmaps.
+FILTER_BITS = 1 << 25
+_PAGE = 32768
 _own_dir: list[str] = []
 
 
@@ -76,6 +79,20 @@ def shuffle_key(seed: int, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+def likely_in(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """Rows of which ``key`` (a long) may be among ``wanted_key``: none that is among them is missing, most others are.
+
+    A bitmap of the wanted keys is broadcast: FILTER_BITS / 8 = 4 MiB at most, whatever the input.  It spares a join
+    that follows the shuffle of rows that have no partner; with far more wanted keys than bits it spares nothing.
+    """
+    page_of = lambda c: (F.pmod(c, F.lit(FILTER_BITS)) / _PAGE).cast("int")
+    bit_of = lambda c: F.pmod(c, F.lit(_PAGE))
+    pages = wanted.select(page_of(wanted_key).alias("_page"), bit_of(wanted_key).alias("_bit")).groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = rows.withColumns({"_page": page_of(key), "_bit": bit_of(key)}).join(F.broadcast(pages), "_page")
+    return found.filter(F.call_function("shiftright", byte, (F.col("_bit") % 8).cast("int")).bitwiseAND(1) == 1).select(*rows.columns)
+
+
 def distributed_rank(df: DataFrame, groups: list[str], bucket: str, order: list[str], rank: str, total: str) -> DataFrame:
     """0-based exact rank of each row in its group, and the group's row count, without one task per group.
 

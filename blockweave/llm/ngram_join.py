@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import mix, shingles, word_hashes
-from ._shared import connected_components, discard, materialize
+from ._shared import connected_components, discard, likely_in, materialize
 
 #: A token is frequent if so many sets or more hold it.  This decides cost, never results.
 FREQUENT = 64
@@ -214,7 +214,8 @@ def ngram_join(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str
     once = once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("once"))
     alive = copies.filter(may).join(once, ["h1", "h2"], "left").filter(f"coalesce(once, 0) <= {allowed}")
     alive = materialize(alive.select("rep", "at", F.monotonically_increasing_id().alias("sid")), "alive")
-    found = rows.join(alive.withColumnRenamed("rep", "id"), ["id", "at"]).select("sid", "text")
+    found = likely_in(rows, F.xxhash64("id", "at"), alive, F.xxhash64("rep", "at"))
+    found = found.join(alive.withColumnRenamed("rep", "id"), ["id", "at"]).select("sid", "text")
     tokens = materialize(found.mapInArrow(_tokens(n_words), "sid long, n long, tokens array<bigint>"), "tokens")
     # a token that one set alone holds matters by its number only
     flat = tokens.select("sid", "n", F.explode("tokens").alias("token"))
