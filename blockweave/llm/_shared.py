@@ -93,6 +93,12 @@ def likely_in(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Colum
     return found.filter(F.call_function("shiftright", byte, (F.col("_bit") % 8).cast("int")).bitwiseAND(1) == 1).select(*rows.columns)
 
 
+def ordered_numbers(keys: DataFrame, key: str, number: str) -> DataFrame:
+    """``keys`` (distinct) with a long that ascends with ``key``, below 2 ** 33 times the number of partitions."""
+    ranges = keys.repartitionByRange(key).sortWithinPartitions(key)
+    return materialize(ranges.withColumn(number, F.monotonically_increasing_id()), "numbers")
+
+
 def distributed_rank(df: DataFrame, groups: list[str], bucket: str, order: list[str], rank: str, total: str) -> DataFrame:
     """0-based exact rank of each row in its group, and the group's row count, without one task per group.
 
@@ -122,16 +128,16 @@ def _fingerprint(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component_id = smallest id reachable) for every id that occurs in ``edges`` (u, v).
 
-    Alternates large-star and small-star; each round is written, so lineage stays short and nothing is collected.
+    Alternates large-star and small-star; each is written, so lineage stays short and nothing is collected.
     """
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     seen = _fingerprint(edges)
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "cc-least")
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = materialize(large, "cc-large")
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         edges = materialize(small, "cc-edges")
@@ -142,3 +148,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return edges.groupBy("u").agg(F.min("v").alias("component_id")).withColumnRenamed("u", "id").union(edges.select("v", "v").distinct()).groupBy("id").agg(F.min("component_id").alias("component_id"))
+
+
+def nearby_least(edges: DataFrame, hops: int = 2) -> DataFrame:
+    """(id, component_id) where component_id is the smallest id within ``hops`` edges: ids that share it are connected."""
+    both = materialize(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "both-ways")
+    label = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    for _ in range(hops - 1):
+        far = both.join(label.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.least("u", F.min("m")).alias("m"))
+        label = materialize(far, "labels")
+    return label.select(F.col("u").alias("id"), F.col("m").alias("component_id"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import connected_components, materialize, small_batches
+from ._shared import connected_components, materialize, ordered_numbers
 
 LEAF = 1024  # vectors of a node that is not split further, and of a block
 FAN = 32  # children of a node at most
@@ -105,7 +105,6 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     if not 0.5 <= threshold <= 1:
         raise ValueError("threshold is between 0.5 and 1")
     theta = float(np.sqrt(2 - 2 * threshold))
-    small_batches(vectors.sparkSession)
     v = F.col(vector_col)
     sound = F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0) & F.col(id_col).isNotNull()
     label = F.lit("") if label_col is None else F.col(label_col).cast("string")
@@ -114,11 +113,12 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     named = materialize(rows.select("id", "sound", "h1", "h2"), "vectors")
     copies = materialize(named.filter("sound").groupBy("h1", "h2").agg(F.min("id").alias("pid"), F.count(F.lit(1)).alias("m")), "points")
     per_id = copies.groupBy("pid").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
-    own_id = f"(pid - pmod(pid, {per_id})) div {per_id}"
-    if per_id > 1:  # an id names several points: number them
+    copies = copies.withColumn("own", F.col("pid"))
+    if per_id > 1:  # an id names several points: number the ids in their order and the points of each
         nth = F.row_number().over(Window.partitionBy("pid").orderBy("h1", "h2")) - 1
-        copies = materialize(copies.withColumn("pid", F.col("pid") * per_id + nth), "points")
-    points = rows.filter("sound").join(copies, ["h1", "h2"]).filter(f"id = {own_id}").dropDuplicates(["h1", "h2"])
+        numbers = ordered_numbers(copies.select("pid").distinct(), "pid", "number")
+        copies = materialize(copies.withColumn("nth", nth).join(numbers, "pid").withColumn("pid", F.col("number") * per_id + F.col("nth")).drop("number", "nth"), "points")
+    points = rows.filter("sound").join(copies, ["h1", "h2"]).filter("id = own").dropDuplicates(["h1", "h2"])
     root = F.xxhash64("label", F.size("v"))
     points = materialize(points.select("pid", "m", "v", root.alias("node"), F.array(root).alias("path")), "level")
 
@@ -178,7 +178,10 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     total = found.groupBy("pid").agg((F.sum("t") - 1).alias("n_links"))
     classes = connected_components(found.select(F.col("pid").alias("u"), F.col("root").alias("v")))
     known = copies.join(total, "pid", "left").join(classes.withColumnRenamed("id", "pid"), "pid", "left")
-    known = materialize(known.withColumn("pid", F.coalesce("component_id", "pid")).select("h1", "h2", F.lit(True).alias("sound"), "n_links", F.expr(own_id).alias("component_id")), "known")
+    known = known.select("h1", "h2", F.lit(True).alias("sound"), "n_links", F.coalesce("component_id", "pid").alias("component_id"))
+    if per_id > 1:
+        known = known.join(copies.select(F.col("pid").alias("component_id"), "own"), "component_id").drop("component_id").withColumnRenamed("own", "component_id")
+    known = materialize(known, "known")
     out = named.join(known, ["h1", "h2", "sound"], "left")
     return out.select(
         F.col("id").alias(id_col),

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import mix, shingles, word_hashes
-from ._shared import connected_components, discard, likely_in, materialize
+from ._shared import connected_components, discard, likely_in, materialize, nearby_least
 
 #: A token is frequent if so many sets or more hold it.  This decides cost, never results.
 FREQUENT = 64
@@ -253,7 +253,7 @@ def ngram_join(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str
         return p.withColumn("both", F.size(F.array_intersect("ta", "tb"))).filter(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
 
     links = materialize(linked(materialize(close(pivoted(members)), "pairs")), "links")
-    labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("id").alias("sid"), "component_id")
+    labels = nearby_least(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "sid")  # most of each class
     all_links = links
     members = members.filter("size > 2").join(labels, "sid", "left").withColumn("label", F.coalesce("component_id", "sid")).withColumn("role", F.lit(APART))
     while True:

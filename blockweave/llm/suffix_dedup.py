@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import mix
-from ._shared import materialize, small_batches
+from ._shared import materialize, ordered_numbers, small_batches
 
 STEP = 1 << 16  # bytes fingerprinted at once
 RUN_TUPLES = 300_000  # tuples of a sorted run
@@ -308,12 +308,13 @@ def suffix_dedup(docs: DataFrame, match: int = 50, gap: int = 24, id_col: str =
     seen = rows.groupBy("id").agg(F.sum(F.octet_length("text")).alias("size"), F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("z"))
     total, clash = seen.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max((F.col("a") != F.col("z")) & F.col("id").isNotNull()), F.lit(False))).first()
     per_id = 1
-    if clash:  # number the texts of each id: id * per_id + number names one
+    if clash:  # number the ids in their order and the texts of each: number * per_id + text names one
         texts = rows.filter("id is not null").select("id", F.xxhash64("text").alias("h")).distinct()
         many = texts.join(seen.filter("a <> z").select("id"), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list("h")).alias("hs"))
-        many = materialize(many, "repeated-ids")
+        ids = ordered_numbers(seen.filter("id is not null").select("id"), "id", "number")
+        many = materialize(ids.join(many, "id", "left"), "repeated-ids")
         per_id = many.agg(F.max(F.size("hs"))).first()[0]
-        rows = rows.join(many, "id", "left").withColumn("id", F.col("id") * per_id + F.coalesce(F.array_position("hs", F.xxhash64("text")) - 1, F.lit(0))).drop("hs")
+        rows = rows.join(many, "id", "left").withColumn("id", F.col("number") * per_id + F.coalesce(F.array_position("hs", F.xxhash64("text")) - 1, F.lit(0))).drop("hs", "number")
 
     known = rows.filter(F.col("id").isNotNull() & (F.octet_length("text") >= match)).select("id", "text")
     runs = known.mapInArrow(_sample(match, gap, _buckets(total * 2 // (gap + 1)), per_id), "bucket long, n long, pack binary")

@@ -70,6 +70,13 @@ def test_embedding_dedup(spark, monkeypatch):
         embedding_dedup(df, threshold=0.1)
 
 
+def test_large_ids_that_repeat(spark):
+    big = (1 << 62) + 5
+    rows = [(big, [1.0, 0.0], 1), (big, [0.0, 1.0], 1), (big, [1.0, 0.0], 1), (-big, [1.0, 0.01], 1), (big + 1, [0.01, 1.0], 1), (-big, [1.0, 1.0], 1)]
+    got = embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), threshold=0.98).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=repr) == brute_vectors(rows, 0.98)
+
+
 def test_embedding_query(spark, sf):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     got = QUERIES["op2_embedding_dedup"](spark, sf).collect()
@@ -116,6 +123,7 @@ def texts(seed, n):
 @pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
 def test_ngram_join(spark, n, percent):
     rows = texts(n, 160) + [(900, None), (901, ""), (902, " \n\t"), (None, "w1 w2 w3"), (903, "same same same same same"), (904, "same\x0bsame same same"), (905, "long " * 30_000), (906, "long " * 20_000)]
+    rows += [rows[3], rows[3], (3, rows[9][1]), (3, "a text of its own"), (910, "a text of its own"), (None, rows[3][1])]
     df = spark.createDataFrame([(*r, 1, "") for r in rows], "doc_id long, text string, sig int, size string")
     got = ngram_join(df, n_words=n, percent=percent).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_join(rows, n, percent)

@@ -91,6 +91,12 @@ def test_small_runs_and_chunks(spark, monkeypatch):
     module._powers.cache_clear()
 
 
+def test_large_ids_that_repeat(spark):
+    big = (1 << 62) + 5
+    rows = [(big, "ab" * 40), (big, "other text " * 9), (big, "ab" * 40), (-big, "ab" * 30), (big + 1, "other text " * 9), (-big, "cd" * 40)]
+    assert run(spark, rows, match=12, gap=6) == brute(rows, 12)
+
+
 def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, id int, row string, spans string, c int")
     assert suffix_dedup(df).count() == 0
