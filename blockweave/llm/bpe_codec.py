@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import codecs
 import heapq
-import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -14,6 +13,8 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .token_count import read_spec
+
 WINDOW_CHARS = 1 << 16
 CACHE_PIECES = 200_000
 #: The pattern that splits text before byte-level merges.
@@ -62,8 +63,7 @@ class Bpe:
     """Vocabulary and merges of a byte-level tokenizer file."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = read_spec(path)
         names = byte_names()
         model = spec["model"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -217,7 +217,11 @@ def load_bpe(path: str) -> Bpe:
 
 
 def bpe_encode(text: Column | str, tokenizer_path: str, window_chars: int = WINDOW_CHARS) -> Column:
-    """Ids of the whole text as binary: little-endian unsigned 32-bit numbers.  Null and empty texts: no bytes."""
+    """Ids of the whole text as binary: little-endian unsigned 32-bit numbers.
+
+    Null and empty texts: no bytes.  Of a very long text a window and the lookahead are held beside text and ids.
+    Another kind of tokenizer than plain byte-level BPE raises ValueError.
+    """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load_bpe(tokenizer_path)
@@ -228,7 +232,10 @@ def bpe_encode(text: Column | str, tokenizer_path: str, window_chars: int = WIND
 
 
 def bpe_decode(ids: Column | str, tokenizer_path: str, window_ids: int = WINDOW_CHARS) -> Column:
-    """Text of packed ids, special tokens written out; bytes that are no UTF-8 become U+FFFD.  Null ids: empty text."""
+    """Text of packed ids, special tokens written out; bytes that are no UTF-8 become U+FFFD.
+
+    Null ids: empty text.  An id that the tokenizer has not raises KeyError.
+    """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load_bpe(tokenizer_path)

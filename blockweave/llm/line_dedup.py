@@ -3,57 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import UPPER, materialize, small_batches
+from ._shared import lower_ascii, materialize, small_batches
 
 BLANK = " \t\n\x0b\x0c\r"
-_LOWER = str.maketrans(UPPER, UPPER.lower())
 
 
-def line_key(line: str) -> str:
-    return line.strip(BLANK).translate(_LOWER)
+def line_key(line: Column) -> Column:
+    """The line without blanks at both ends, A-Z lower-cased."""
+    return lower_ascii(F.btrim(line, F.lit(BLANK)))
 
 
-def line_digest(line: str, min_chars: int) -> bytes | None:
-    """128 bits of the line's key; None where the key is too short to count."""
-    key = line_key(line)
-    return blake2b(key.encode(), digest_size=16).digest() if len(key) >= min_chars else None
-
-
-def _explode(min_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, keys = [], [], []
-            for h1, h2, text in zip(batch["_h1"].to_pylist(), batch["_h2"].to_pylist(), batch["_text"].to_pylist(), strict=True):
-                own = {line_digest(line, min_chars) for line in text.split("\n")} - {None}
-                a += [h1] * len(own)
-                b += [h2] * len(own)
-                keys += sorted(own)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.binary())], ["_h1", "_h2", "key"])
-
-    return run
-
-
-def _reassemble(min_chars: int):
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, drops in batches:
-            kept, n_lines, n_dropped = [], [], []
-            for text, drop in zip(texts.to_pylist(), drops.to_pylist(), strict=True):
-                lines = text.split("\n")
-                n_lines.append(len(lines))
-                if drop:
-                    gone = set(drop)
-                    lines = [x for x in lines if line_digest(x, min_chars) not in gone]
-                n_dropped.append(n_lines[-1] - len(lines))
-                kept.append("\n".join(lines))
-            yield pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["text", "n_lines", "n_dropped"])
-
-    return run
+def _reassemble(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, drops in batches:
+        kept, n_lines, n_dropped = [], [], []
+        for text, drop in zip(texts.to_pylist(), drops.to_pylist(), strict=True):
+            lines: list[str | None] = text.split("\n")
+            for at in drop or ():
+                lines[at] = None
+            n_lines.append(len(lines))
+            n_dropped.append(len(drop or ()))
+            kept.append("\n".join(x for x in lines if x is not None))
+        yield pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["text", "n_lines", "n_dropped"])
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,21 +36,27 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
 
     A line's key is the line stripped of blanks at both ends, with A-Z lower-cased.  A key of at least
     ``min_chars`` code points that occurs in at least ``min_docs`` documents loses its lines everywhere; the other
-    lines stay in their order, joined by newlines.
+    lines stay in their order, joined by newlines.  Keys are told apart by 128 bits of hash.
 
-    A null or empty text is one empty line.  A row is a document: repeated rows count once each and get the same
-    result, also where an id repeats or is null.  A text whose lines all go becomes empty.  An empty table gives
-    no rows.  Columns of ``docs`` keep their names; one called ``lines`` is an error.
+    A null or empty text is one empty line.  Rows that share an id are one document and count once, each row with a
+    null id is a document of its own; repeated rows get the same result.  A text whose lines all go becomes
+    empty.  An empty table gives no rows.  Columns of ``docs`` keep their names; one called ``lines`` is an error.
     """
     if "lines" in docs.columns:
         raise ValueError("a column is named lines already")
-    text = F.coalesce(F.col(text_col), F.lit(""))
     small_batches(docs.sparkSession)
-    # two 64-bit hashes name a row: null ids and ids that repeat need no care
-    named = docs.select(F.struct(*docs.columns).alias("_row"), text.alias("_text"), F.xxhash64(F.col(id_col), text).alias("_h1"), F.xxhash64(F.lit(7), text, F.col(id_col)).alias("_h2"))
-    lines = materialize(named.select("_h1", "_h2", "_text").mapInArrow(_explode(min_chars), "_h1 long, _h2 long, key binary"), "lines")
-    shared = materialize(lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("key"), "shared-lines")
-    drops = lines.join(shared, "key", "left_semi").groupBy("_h1", "_h2").agg(F.collect_set("key").alias("_drop"))
+    text, id_ = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col)
+    # two 64-bit hashes name a row's id and text: rows that agree in both have the same result
+    name = [F.xxhash64(id_, text).alias("_h1"), F.xxhash64(F.lit(7), text, id_).alias("_h2")]
+    doc = F.when(id_.isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(id_))
+    lines = docs.select(*name, id_.isNull().alias("_alone"), doc.alias("_doc"), text.alias("_text"))
+    lines = lines.select("_h1", "_h2", "_alone", "_doc", F.posexplode(F.split("_text", "\n")).alias("_at", "_line")).withColumn("_key", line_key(F.col("_line")))
+    lines = lines.filter(F.char_length("_key") >= min_chars).select("_h1", "_h2", "_alone", "_doc", "_at", F.xxhash64("_key").alias("_k1"), F.xxhash64(F.lit(7), "_key").alias("_k2"))
+    lines = materialize(lines, "lines")
+    shared = lines.select("_k1", "_k2", "_alone", "_doc").distinct().groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("n"))
+    shared = materialize(shared.filter(F.col("n") >= min_docs).select("_k1", "_k2"), "shared-lines")
+    drops = lines.join(shared, ["_k1", "_k2"], "left_semi").groupBy("_h1", "_h2").agg(F.collect_set("_at").alias("_drop"))
     drops = materialize(drops, "drops")
-    rebuild = F.arrow_udf(_reassemble(min_chars), "struct<text string, n_lines bigint, n_dropped bigint>", F.ArrowUDFType.SCALAR_ITER)
-    return named.join(drops, ["_h1", "_h2"], "left").withColumn("lines", rebuild("_text", "_drop")).select("_row.*", "lines")
+    rebuild = F.arrow_udf(_reassemble, "struct<text string, n_lines bigint, n_dropped bigint>", F.ArrowUDFType.SCALAR_ITER)
+    out = docs.select(F.struct(*docs.columns).alias("_row"), *name).join(drops, ["_h1", "_h2"], "left")
+    return out.select("_row", rebuild(F.coalesce(F.col("_row")[text_col], F.lit("")), "_drop").alias("lines")).select("_row.*", "lines")

@@ -157,12 +157,14 @@ def score_texts(margin: np.ndarray, bias: float, texts: list[str | None]) -> np.
     return 1 / (1 + np.exp(-(total / count + bias)))
 
 
-def quality_score(text: Column | str, model: QualityModel, docs: DataFrame) -> Column:
-    """Probability (double) that the whole text has label 1.
+def quality_score(text: Column | str, model: QualityModel | None, docs: DataFrame) -> Column:
+    """Probability (double) that the whole text has label 1; 0.5 for every text where no label was learned from (None).
 
     Null and empty texts have the feature of a text's end only.  A text over SEGMENT bytes is read in segments that n-grams do not
     span.  ``docs`` is the frame the column is for.
     """
+    if model is None:
+        return F.lit(0.5)
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.margins(), float(model.bias[1] - model.bias[0])))  # 0.5 MB
 

@@ -19,13 +19,27 @@ CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 256
 
 
+def read_spec(path: str) -> dict:
+    """A tokenizer file's content; ValueError unless it is of the kind that boundaries and merges are proven for here."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    sound = (
+        model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec.get("normalizer") is None,
+        not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")) and not any(STABLE.search(t["content"]) for t in spec["added_tokens"]),
+    )
+    if not all(sound):
+        raise ValueError(f"{path} is not a plain byte-level BPE tokenizer")
+    return spec
+
+
 @lru_cache(maxsize=4)
 def load_tokenizer(path: str):
     """The tokenizers library's model, with truncation, padding and the offset-trimming post-processor off."""
     from tokenizers import Tokenizer
 
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+    spec = read_spec(path)
     spec["truncation"] = spec["padding"] = spec["post_processor"] = None
     return Tokenizer.from_str(json.dumps(spec))
 
@@ -89,7 +103,7 @@ def token_count(text: Column | str, tokenizer_path: str, chunk_chars: int = CHUN
     """Number of tokens (long) of the whole text, as the tokenizers library gives them without special tokens added.
 
     Strings of added tokens inside a text are taken as the library does by default.  Null and empty texts have 0
-    tokens.  Memory beside the text itself is that of a chunk, as long as the text has a blank between two word
+    tokens; rows that repeat count each.  Another kind of tokenizer than plain byte-level BPE raises ValueError.  Memory beside the text itself is that of a chunk, as long as the text has a blank between two word
     characters somewhere; a text without any is encoded whole.  ``tokenizer_path`` has to be readable where
     tasks run.
     """
