@@ -219,17 +219,16 @@ def layer_conductance(edges: DataFrame, group: list[str], product_form: bool = F
     return cut.groupBy(*group).agg(F.min(F.col("q") / base).alias("conductance"))
 
 
-def reachable(edges: DataFrame, start: DataFrame, max_rounds: int = 50) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Nodes reachable from ``start`` (node): the frontier joins the edges until it is empty."""
     seen = start.select("node").distinct()
     front = seen
-    for _ in range(max_rounds):
+    while True:
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         front = written(step.join(seen, "node", "left_anti"))
         if front.isEmpty():
             return seen
         seen = written(seen.union(front))
-    raise RuntimeError("the frontier did not end")
 
 
 def chain_rng(seed: int, key) -> np.random.Generator:

@@ -52,8 +52,11 @@ def simplex_projection(df: DataFrame, group: list[str], value: str, total: str,
     return d.withColumn(out, F.greatest(F.col(value) - F.coalesce("_t", F.lit(0.0)), F.lit(0.0))).drop("_r", "_s", "_t")
 
 
-def dykstra(tot: np.ndarray, vap: np.ndarray, t_sum: float, v_sum: float, rounds: int = 2000, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest (tot, vap) with both sums given and 0 <= vap <= tot, by alternating projections with corrections."""
+def dykstra(tot: np.ndarray, vap: np.ndarray, t_sum: float, v_sum: float, rounds: int = 20_000, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest (tot, vap) with both sums given and 0 <= vap <= tot, by alternating projections with corrections.
+
+    RuntimeError where they have not settled after ``rounds``: no values that miss the sums are given.
+    """
     t, v = tot.astype(float), vap.astype(float)
     ct, cv = np.zeros_like(t), np.zeros_like(v)
     for _ in range(rounds):
@@ -65,8 +68,8 @@ def dykstra(tot: np.ndarray, vap: np.ndarray, t_sum: float, v_sum: float, rounds
         done = max(np.abs(nt - t).max(), np.abs(nv - v).max()) < tol
         t, v = nt, nv
         if done and abs(t.sum() - t_sum) < 1e-7 and abs(v.sum() - v_sum) < 1e-7:
-            break
-    return t, v
+            return t, v
+    raise RuntimeError("the projections did not settle")
 
 
 def adjust_children(children: DataFrame, group: list[str], key: str) -> DataFrame:

@@ -1,14 +1,14 @@
 """Exact enumeration of the multisets of household types that add up to an area's counts.
 
-Areas are rows; each is solved on its own inside an Arrow batch, so nothing is shuffled.  The table of types is a
+Areas are rows; their distinct counts are dealt out and each is solved on its own.  The table of types is a
 parameter of the job, checked against MAX_ELEMENTS before it goes to the tasks.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockweave.functions.vectors import log_likelihood
+from blockweave.sources.scratch import written
 
 MAX_ELEMENTS = 200_000
 MAX_NODES = 2_000_000
@@ -36,46 +37,75 @@ def element_list(elements: DataFrame) -> list[tuple[int, tuple[int, ...], float]
 def search(counts: tuple[int, ...], elements: list[tuple[int, tuple[int, ...], float]], n_best: int, max_nodes: int = MAX_NODES) -> tuple[list[tuple[float, dict[int, int]]], bool]:
     """(cost, {elem_id: n}) of the ``n_best`` solutions with the least sum of -ln p, best first; and whether the search ended.
 
-    Depth first over the elements that fit, in their order.  A branch ends when a count has no element left that
-    could fill it, or when its cost reaches that of the worst of ``n_best`` solutions found.  Ties go to the
-    multiset that comes first by element.
+    Depth first over the elements that fit, those with the least cost a person first.  What is left of each count costs
+    at least as much as the cheapest later element asks for it; a branch whose cost with that is over the worst of the
+    ``n_best`` best found ends, and so does one with a count that no later element fills.  The last element that fills
+    a count has no choice.  Counts under 0 have no solution.  Ties go to the multiset that comes first by element.
     """
-    fit = [(e, np.array(v), -math.log(p)) for e, v, p in elements if all(a <= c for a, c in zip(v, counts, strict=True))]
-    need = np.array(counts)
-    cover = [np.zeros(len(counts), bool) for _ in range(len(fit) + 1)]
-    for i in range(len(fit) - 1, -1, -1):
-        cover[i] = cover[i + 1] | (fit[i][1] > 0)
+    if min(counts, default=0) < 0:
+        return [], True
+    fit = [(e, v, -math.log(p)) for e, v, p in elements if all(a <= c for a, c in zip(v, counts, strict=True))]
+    fit.sort(key=lambda x: (x[2] / sum(x[1]), x[0]))
+    dims = range(len(counts))
+    least = [[math.inf] * len(counts)]  # of the elements from i on, the least cost of one unit of each count
+    for _, v, c in reversed(fit):
+        least.append([min(least[-1][d], c / v[d]) if v[d] else least[-1][d] for d in dims])
+    least.reverse()
+    last = [[d for d in dims if v[d] and least[i + 1][d] == math.inf] for i, (_, v, _) in enumerate(fit)]
+
+    def rank(x: tuple[float, tuple[tuple[int, int], ...]]) -> tuple:
+        return round(x[0], 9), [(e, -n) for e, n in sorted(x[1])]
+
     found: list[tuple[float, tuple[tuple[int, int], ...]]] = []
-    nodes, ended = 0, True
-    stack: list[tuple[int, np.ndarray, float, tuple[tuple[int, int], ...]]] = [(0, need, 0.0, ())]
-    while stack:
+    pool: list[float] = []  # minus the costs of the n_best best, as a heap
+    nodes = 0
+    stack: list[tuple[int, tuple[int, ...], float, tuple[tuple[int, int], ...]]] = [(0, tuple(counts), 0.0, ())]
+    while stack and nodes < max_nodes:
         i, left, cost, chosen = stack.pop()
         nodes += 1
-        if nodes > max_nodes:
-            ended = False
-            break
-        if not left.any():
+        rest = [x * y for x, y in zip(left, least[i], strict=True) if x]
+        if not rest:
+            if len(pool) < n_best:
+                heapq.heappush(pool, -cost)
+            elif cost > -pool[0] + 1e-9:
+                continue
+            else:
+                heapq.heappushpop(pool, -cost)
             found.append((cost, chosen))
-            if len(found) >= 4 * n_best:
-                found = sorted(found)[:n_best]
+            if len(found) >= 4 * n_best + 1000:
+                found = sorted(found, key=rank)[:n_best]
             continue
-        if i == len(fit) or (left[~cover[i]] > 0).any() or (len(found) >= n_best and cost > sorted(found)[n_best - 1][0] + 1e-12):
+        bound = max(rest)
+        if bound == math.inf or (len(pool) == n_best and cost + bound > -pool[0] + 1e-9):
             continue
         e, v, c = fit[i]
-        most = int((left[v > 0] // v[v > 0]).min())
-        for n in range(most + 1):
-            stack.append((i + 1, left - n * v, cost + n * c, (*chosen, (e, n)) if n else chosen))
-    best = sorted(found, key=lambda x: (round(x[0], 9), [(e, -n) for e, n in x[1]]))[:n_best]
-    return [(c, dict(x)) for c, x in best], ended
+        some, most = 0, min(x // y for x, y in zip(left, v, strict=True) if y)
+        if last[i]:
+            some = left[last[i][0]] // v[last[i][0]]
+            if some > most or any(some * v[d] != left[d] for d in last[i]):
+                continue
+            most = some
+        for n in range(some, most + 1):
+            stack.append((i + 1, tuple(x - n * y for x, y in zip(left, v, strict=True)) if n else left, cost + n * c, (*chosen, (e, n)) if n else chosen))
+    return [(c, dict(x)) for c, x in sorted(found, key=rank)[:n_best]], not stack
 
 
 SOLUTION = "sol_rank int, elems array<struct<elem_id:int,n:int>>, cost double, log_w double, complete boolean"
 
 
+def _each_once(targets: DataFrame, key: str, counts: str, run, kinds: str) -> DataFrame:
+    """``run`` on the distinct counts, dealt out by their values, and its rows for every area that has them."""
+    spark, name = targets.sparkSession, F.col(counts).cast("array<int>").alias("_counts")
+    own = targets.filter(F.col(counts).isNotNull()).select(key, name)
+    once = own.select("_counts").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_counts")
+    return own.join(written(once.mapInPandas(run, f"_counts array<int>, {kinds}")), "_counts").drop("_counts")
+
+
 def enumerate_solutions(targets: DataFrame, elements: DataFrame, key: str, counts: str, n_best: int = 5000, max_nodes: int = MAX_NODES) -> DataFrame:
     """(key, sol_rank from 1, elems, cost, log_w, complete) of every area; an area without a solution has no rows.
 
     Where the search stopped before it found any, the area is undecided: one row that has nulls and is not complete.
+    Areas with the same counts are solved once; an area's rows follow each other by rank.
 
     log_w is the multiset's log-likelihood with the number of its orders.  ``complete`` is false where the pool was
     full or the search stopped.  Null counts have no solution.
@@ -86,20 +116,17 @@ def enumerate_solutions(targets: DataFrame, elements: DataFrame, key: str, count
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for k, c in zip(pdf[key], pdf[counts], strict=True):
-                if c is None:
-                    continue
+            for c in pdf["_counts"]:
                 best, ended = search(tuple(int(x) for x in c), held, n_best, max_nodes)
                 if not best and not ended:
-                    rows.append((k, None, None, None, None, False))
+                    rows.append((c, None, None, None, None, False))
                 for rank, (cost, sol) in enumerate(best, 1):
                     n = sum(sol.values())
                     log_w = sum(m * logp[e] for e, m in sol.items()) + math.lgamma(n + 1) - sum(math.lgamma(m + 1) for m in sol.values())
-                    rows.append((k, rank, [{"elem_id": e, "n": m} for e, m in sorted(sol.items())], cost, log_w, ended and len(best) < n_best))
-            yield pd.DataFrame(rows, columns=[key, "sol_rank", "elems", "cost", "log_w", "complete"]).astype({"sol_rank": "Int32", "cost": "Float64", "log_w": "Float64"})
+                    rows.append((c, rank, [{"elem_id": e, "n": m} for e, m in sorted(sol.items())], cost, log_w, ended and len(best) < n_best))
+            yield pd.DataFrame(rows, columns=["_counts", "sol_rank", "elems", "cost", "log_w", "complete"]).astype({"sol_rank": "Int32", "cost": "Float64", "log_w": "Float64"})
 
-    kind = targets.schema[key].dataType.simpleString()
-    return targets.select(key, counts).mapInPandas(run, f"{key} {kind}, {SOLUTION}")
+    return _each_once(targets, key, counts, run, SOLUTION).sortWithinPartitions(key, "sol_rank")
 
 
 def solution_probs(solutions: DataFrame, key: str, gamma_slack: tuple[float, str] | None = None) -> DataFrame:
@@ -117,9 +144,9 @@ def relax(targets: DataFrame, levels: list[tuple[int, str, DataFrame]], key: str
     """
     left, out = targets, None
     for level, counts, elements in levels:
-        got = enumerate_solutions(left, elements, key, counts, n_best, max_nodes).withColumn("level", F.lit(level))
+        got = written(enumerate_solutions(left, elements, key, counts, n_best, max_nodes).withColumn("level", F.lit(level)))
         out = got if out is None else out.unionByName(got)
-        left = left.join(got.select(key).distinct(), key, "left_anti")
+        left = written(left.join(got.select(key).distinct(), key, "left_anti"))
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in out.schema if f.name != key]
     return out.unionByName(left.select(key, *blank))
 
@@ -133,37 +160,39 @@ def recursive_solutions(spark, targets_view: str, elements_view: str) -> DataFra
           UNION ALL
           SELECT w.block, w.i + 1, zip_with(w.rest, e.v, (a, b) -> a - b * k.k), concat(w.ms, array(k.k))
           FROM walk w JOIN {elements_view} e ON e.elem_id = w.i + 1
-          JOIN (SELECT explode(sequence(0, 64)) AS k) k ON forall(zip_with(w.rest, e.v, (a, b) -> a - b * k.k), x -> x >= 0) AND (k.k = 0 OR exists(e.v, x -> x > 0)))
+          JOIN (SELECT explode(sequence(0, max(array_max(counts)))) AS k FROM {targets_view}) k ON forall(zip_with(w.rest, e.v, (a, b) -> a - b * k.k), x -> x >= 0) AND (k.k = 0 OR exists(e.v, x -> x > 0)))
         SELECT block, ms FROM walk, n WHERE i = n.m AND forall(rest, x -> x = 0)""")
 
 
 def log_partition(counts: tuple[int, ...], elements: list[tuple[int, tuple[int, ...], float]]) -> float:
     """ln of the sum over exact solutions of prod p^x / x!, by dynamic programming over elements and what is left."""
     fit = [(v, math.log(p)) for _, v, p in elements if all(a <= c for a, c in zip(v, counts, strict=True))]
-
-    @lru_cache(maxsize=None)
-    def z(i: int, left: tuple[int, ...]) -> float:
-        if i == len(fit):
-            return -math.inf if any(left) else 0.0
-        v, lp = fit[i]
-        terms, n, rest = [], 0, left
-        while all(x >= 0 for x in rest):
-            terms.append(n * lp - math.lgamma(n + 1) + z(i + 1, rest))
-            n, rest = n + 1, tuple(a - b for a, b in zip(rest, v, strict=True))
-        top = max(terms)
-        return top if top == -math.inf else top + math.log(sum(math.exp(t - top) for t in terms))
-
-    return z(0, tuple(counts))
+    later = [[False] * len(counts)]  # which counts an element from i on fills
+    for v, _ in reversed(fit):
+        later.append([x or y > 0 for x, y in zip(later[-1], v, strict=True)])
+    later.reverse()
+    now = {tuple(counts): 0.0}
+    for i, (v, lp) in enumerate(fit):
+        then: dict[tuple[int, ...], float] = {}
+        for left, z in now.items():
+            n = 0
+            while min(left) >= 0:
+                if all(ok or not x for ok, x in zip(later[i + 1], left, strict=True)):
+                    then[left] = float(np.logaddexp(then.get(left, -math.inf), z + n * lp - math.lgamma(n + 1)))
+                n, left = n + 1, tuple(x - y for x, y in zip(left, v, strict=True))
+        now = then
+    return now.get((0,) * len(counts), -math.inf)
 
 
 def partition_function(targets: DataFrame, elements: DataFrame, key: str, counts: str) -> DataFrame:
+    """(key, log_z); areas with the same counts are computed once, null counts give no row."""
     held = element_list(elements)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "log_z": [log_partition(tuple(int(x) for x in c), held) for c in pdf[counts]]})
+            yield pdf.assign(log_z=[log_partition(tuple(int(x) for x in c), held) for c in pdf["_counts"]])
 
-    return targets.select(key, counts).mapInPandas(run, f"{key} {targets.schema[key].dataType.simpleString()}, log_z double")
+    return _each_once(targets, key, counts, run, "log_z double")
 
 
 def likelihoods(solutions: DataFrame, counts: str, probs: str, out: str = "log_w") -> DataFrame:

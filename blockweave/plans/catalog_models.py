@@ -302,21 +302,23 @@ def transition_matrix(t):
     return n.select("src", "dst", r(F.col("n") / F.sum("n").over(Window.partitionBy("src")), 9).alias("weight"))
 
 
-EDGE_SQL = "SELECT l_partkey % 400 AS src, l_suppkey % 400 + 400 AS dst FROM lineitem WHERE l_quantity = 50"
+EDGE_SQL = "SELECT 2 * l_partkey AS src, 2 * l_suppkey + 1 AS dst FROM lineitem"
 
 
 def _bipartite(t: Tables) -> DataFrame:
-    return t.lineitem.filter("l_quantity = 50").select((F.col("l_partkey") % 400).alias("src"), (F.col("l_suppkey") % 400 + 400).alias("dst"))
+    """Parts (even nodes) and the suppliers they were bought from (odd ones)."""
+    return t.lineitem.select((2 * F.col("l_partkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst")).distinct()
 
 
-@query(f"WITH RECURSIVE e AS (SELECT src, dst FROM ({EDGE_SQL}) UNION SELECT dst, src FROM ({EDGE_SQL})), w AS (SELECT 1::BIGINT AS node UNION SELECT dst FROM w JOIN e ON src = node) SELECT node FROM w")
+@query(f"WITH RECURSIVE e AS (SELECT src, dst FROM ({EDGE_SQL}) UNION SELECT dst, src FROM ({EDGE_SQL})), w AS (SELECT 2::BIGINT AS node UNION SELECT dst FROM w JOIN e ON src = node) SELECT node FROM w")
 def reachability(t):
     e = _bipartite(t)
     both = e.union(e.select("dst", "src")).distinct()
-    return chains.reachable(both, t.spark.range(1, 2).withColumnRenamed("id", "node"))
+    return chains.reachable(both, t.spark.range(2, 3).withColumnRenamed("id", "node"))
 
 
-@query(f"WITH RECURSIVE e AS (SELECT src, dst FROM ({EDGE_SQL}) UNION SELECT dst, src FROM ({EDGE_SQL})), w AS (SELECT DISTINCT src AS node, src AS seen FROM e UNION SELECT w.node, dst FROM w JOIN e ON src = w.seen) SELECT node, min(seen) AS component FROM w GROUP BY 1")
+@query(f"""WITH RECURSIVE e AS (SELECT src, dst FROM ({EDGE_SQL}) UNION SELECT dst, src FROM ({EDGE_SQL})), w(node, component) USING KEY (node) AS (SELECT DISTINCT src, src FROM e
+    UNION SELECT e.dst, min(w.component) FROM w JOIN e ON e.src = w.node JOIN recurring.w AS old ON old.node = e.dst WHERE w.component < old.component GROUP BY e.dst) SELECT node, component FROM w""")
 def components(t):
     from blockweave.operators.graph import components as run
 

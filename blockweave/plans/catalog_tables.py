@@ -535,11 +535,11 @@ def weighted_sample(t):
 
 
 @query(f"""WITH d AS (SELECT o_orderstatus AS s, o_orderpriority AS k, count(*) AS n FROM orders GROUP BY 1, 2), c AS (SELECT s, k, sum(n / t) OVER (PARTITION BY s ORDER BY k) AS hi, row_number() OVER (PARTITION BY s ORDER BY k) AS rk, m FROM (SELECT *, sum(n) OVER (PARTITION BY s) AS t, count(*) OVER (PARTITION BY s) AS m FROM d)),
-    o AS (SELECT o_orderkey, o_orderstatus AS s, {UNI.format("'9|' || o_orderkey")} AS u FROM orders WHERE o_orderkey % 5 = 0)
+    o AS (SELECT o_orderkey, o_orderstatus AS s, {UNI.format("'9|' || o_orderkey")} AS u FROM orders)
     SELECT o_orderkey, min(k) AS k FROM o JOIN c USING (s) WHERE u < hi OR rk = m GROUP BY 1""")
 def conditional_sample(t):
     d = dist.empirical(t.orders.select(F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("k")), ["k"], within=["s"]).select("s", "k", "p")
-    rows = t.orders.filter("o_orderkey % 5 = 0").select("o_orderkey", F.col("o_orderstatus").alias("s"))
+    rows = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("s"))
     return pick.conditional_draw(rows, d, ["s"], ["o_orderkey"], ["k"], 9).select("o_orderkey", "k")
 
 
