@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from blockweave.llm._shared import materialize
 from blockweave.llm.bpe_codec import bpe_decode, bpe_encode
-from blockweave.llm.line_dedup import line_dedup
+from blockweave.llm.line_dedup import BLANK, line_dedup
 from blockweave.llm.mixing import mix_sources
 from blockweave.llm.ngram_join import ngram_join
 from blockweave.llm.quality import quality_score
@@ -23,21 +23,19 @@ PART_SLOTS = 1000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality score of REJECT_BELOW or more stay (all do where no label was learned from)."""
+    """Documents with a quality score of REJECT_BELOW or more stay (all have 0.5 where no label was learned from); null and empty texts have a score too."""
     model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    if model is None:
-        return docs.select(*COLUMNS)
     return docs.withColumn("score", quality_score("text", model, docs)).filter(F.col("score") >= REJECT_BELOW).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents or more share go; a document that had text and has none left goes with them.
+    """Lines that ten documents or more share go; a document that loses some and has only white space left goes with them.
 
     A document that loses nothing keeps its text as it was (null too).
     """
     out = line_dedup(docs.select(*COLUMNS), min_docs=10, min_chars=1)
     hit = F.col("lines.n_dropped") > 0
-    kept = out.filter(~hit | (F.trim("lines.text") != ""))
+    kept = out.filter(~hit | (F.btrim("lines.text", F.lit(BLANK)) != ""))
     return kept.select("doc_id", F.when(hit, F.col("lines.text")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(hit, F.char_length("lines.text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
