@@ -32,6 +32,8 @@ FREQUENT = 64
 PER_PART = 4
 #: Groups of so many sets at most are paired where the pivot leaves several classes; larger ones are extended.
 PAIRED = 32
+#: The same for groups of an extended signature: there the places of the token in both sets rule most pairs out.
+PAIRED_BY_PLACE = 1024
 #: Whom a set of an extended signature may be linked with: role 0 with role 1 (it is linked to the pivot), role 1
 #: with role 0, role 2 with role 2 (neither is linked to the pivot).
 LINKED, BESIDE, APART = 0, 1, 2
@@ -124,16 +126,16 @@ def _sign(percent: int):
         for batch in batches:
             for at in range(0, len(batch), 64):
                 part = batch.slice(at, 64)
-                ids, sizes, own, found = [], [], [], []
+                ids, sizes, own, rare, found = [], [], [], [], []
                 tokens, held = part["tokens"], part["held_by"]
-                for i, (sid, n) in enumerate(zip(part["sid"].to_pylist(), part["n"].to_pylist(), strict=True)):
+                for i, (sid, n, r) in enumerate(zip(part["sid"].to_pylist(), part["n"].to_pylist(), part["rare"].to_pylist(), strict=True)):
                     t = tokens[i].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                     sig = signatures(n, t, held[i].values.to_numpy(zero_copy_only=False), percent)
                     found.append(sig.view(np.int64))
-                    for col, x in zip((ids, sizes, own), (sid, n, n - len(t)), strict=True):
+                    for col, x in zip((ids, sizes, own, rare), (sid, n, n - len(t), r), strict=True):
                         col.append(np.full(len(sig), x, np.int64))
-                cols = [np.concatenate(x) for x in (ids, sizes, own, found)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["sid", "n", "own", "sig"])
+                cols = [np.concatenate(x) for x in (ids, sizes, own, rare, found)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["sid", "n", "own", "rare", "sig"])
 
     return run
 
@@ -144,7 +146,7 @@ def _whole(x: Column, by: int) -> Column:
 
 
 def _differences(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Extended signatures of the sets b around pivots a: (sig, sid, n, own, label, role).
+    """Extended signatures of the sets b around pivots a: (sig, sid, n, own, rare, label, role, far, rest).
 
     With p, a and b the sizes of the pivot's and two similar sets, A and B their differences from the pivot and C that
     between the two, C <= r * (a + b) where r = (100 - percent) / (100 + percent), and the differences share
@@ -153,9 +155,12 @@ def _differences(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Around a pivot, differences that only one set has come first, then those of two, and so on; the pivot's own
     tokens, absent from every set, come last and are one difference here (token null).
+
+    ``far`` is B, ``rest`` how many differences there are from the signature's on.  Two sets share no more than the
+    lesser rest from their first common difference on, so less than (A + B - r * (a + b)) / 2 rules the pair out there.
     """
     col, low, high = F.col, 100 - percent, 100 + percent
-    p = around.join(sets.select(col("sid").alias("b"), col("n").alias("nb"), col("own").alias("ob"), col("tokens").alias("tb")), "b")
+    p = around.join(sets.select(col("sid").alias("b"), col("n").alias("nb"), col("own").alias("ob"), "rare", col("tokens").alias("tb")), "b")
     p = p.join(sets.select(col("sid").alias("a"), col("n").alias("na"), col("own").alias("oa"), col("tokens").alias("ta")), "a")
     p = p.withColumn("differ", F.concat(F.array_except("tb", "ta"), F.array_except("ta", "tb"))).withColumn("size", F.size("differ") + col("oa") + col("ob"))
     p = p.withColumn("most", F.expr(f"nb * {low} div {percent}"))  # C at most
@@ -172,7 +177,7 @@ def _differences(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.array(F.struct(F.lit(APART).alias("role"), short.alias("length")), F.struct(F.lit(BESIDE).alias("role"), F.when(beside, long_).otherwise(F.lit(0)).alias("length")))
     )
     # what lies before the differences that others share too: all of b's own tokens, and later those that prove to be of one set
-    p = p.select("a", "b", "label", col("nb").alias("n"), col("ob").alias("own"), (col("size") - col("oa")).alias("size"), roles.alias("roles"), F.concat("differ", F.when(col("oa") > 0, F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<bigint>"))).alias("differ"))
+    p = p.select("a", "b", "label", col("nb").alias("n"), col("ob").alias("own"), "rare", col("size").alias("far"), (col("size") - col("oa")).alias("size"), roles.alias("roles"), F.concat("differ", F.when(col("oa") > 0, F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<bigint>"))).alias("differ"))
     p = materialize(p, "differences")
     flat = p.select("a", "b", F.explode("differ").alias("token"))
     count = flat.groupBy("a", "token").agg(F.count(F.lit(1)).alias("held_by")).filter("held_by > 1")
@@ -182,8 +187,8 @@ def _differences(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     out = p.drop("differ").join(order, ["a", "b"]).withColumn("role", F.explode("roles"))
     shared = F.size(F.filter("order", lambda x: x["token"].isNotNull()))
     take = F.greatest(F.lit(0), col("role.length") - (col("size") - shared)).cast("int")
-    out = out.select("a", "label", "n", "own", col("b").alias("sid"), col("role.role").alias("role"), F.explode(F.slice("order", F.lit(1), take)).alias("x"))
-    return out.select(F.xxhash64("a", (col("role") == APART).cast("int"), F.coalesce("x.token", F.lit(0)), col("x.token").isNull().cast("int")).alias("sig"), "sid", "n", "own", "label", "role")
+    out = out.select("a", "label", "n", "own", "rare", "far", (col("far") - col("size") + shared).alias("rest"), col("b").alias("sid"), col("role.role").alias("role"), F.posexplode(F.slice("order", F.lit(1), take)).alias("at", "x"))
+    return out.select(F.xxhash64("a", (col("role") == APART).cast("int"), F.coalesce("x.token", F.lit(0)), col("x.token").isNull().cast("int")).alias("sig"), "sid", "n", "own", "rare", "label", "role", "far", (col("rest") - col("at")).alias("rest"))
 
 
 def ngram_join(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,11 +227,13 @@ def ngram_join(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str
     held = flat.groupBy("token").agg(F.count(F.lit(1)).alias("held_by")).filter("held_by > 1")
     sets = flat.join(held, "token").groupBy("sid", "n").agg(F.array_sort(F.collect_set(F.struct("held_by", "token"))).alias("t"))
     sets = sets.filter(f"n - size(t) <= {allowed}").select("sid", "n", (F.col("n") - F.size("t")).alias("own"), F.col("t.token").alias("tokens"), F.col("t.held_by").alias("held_by"))
-    sets = materialize(sets, "shared-tokens")
+    # how rare a set's tokens are: one that k sets hold counts 1 / k, in millionths
+    rare = F.col("own") * 1_000_000 + F.aggregate("held_by", F.lit(0).cast("long"), lambda s, k: s + F.floor(F.lit(1_000_000) / k))
+    sets = materialize(sets.withColumn("rare", rare), "shared-tokens")
     discard(tokens)
 
-    signed = materialize(sets.mapInArrow(_sign(percent), "sid long, n long, own long, sig long"), "signatures")
-    first = F.min(F.struct("own", "sid", "n")).alias("pivot")  # the set with the fewest tokens of its own is nearest to all
+    signed = materialize(sets.mapInArrow(_sign(percent), "sid long, n long, own long, rare long, sig long"), "signatures")
+    first = F.min(F.struct("rare", "sid", "n", "own")).alias("pivot")  # the set with the least rare tokens is nearest to all
     groups = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), first).filter("size > 1")
     members = materialize(signed.join(groups, "sig"), "members")
 
@@ -241,9 +248,11 @@ def ngram_join(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str
 
     def paired(m: DataFrame) -> DataFrame:
         """Members of one small group and different classes that may link."""
-        cols = {"sid": "", "n": "n", "own": "o", "role": "role_", "label": "label_"}
+        cols = {"sid": "", "n": "n", "own": "o", "role": "role_", "label": "label_", "far": "far_", "rest": "rest_"}
         x, y = (m.select("sig", *[F.col(c).alias(f"{short}{side}") for c, short in cols.items()]) for side in "ab")
         p = x.join(y, "sig").filter(f"a < b and label_a <> label_b and (role_a <> role_b or role_a = {APART})")
+        high = 100 + percent
+        p = p.filter(f"rest_a is null or 2 * {high} * least(rest_a, rest_b) >= {high} * (far_a + far_b) - {100 - percent} * (na + nb)")
         return p.select("a", "na", "oa", "b", "nb", "ob")
 
     def linked(p: DataFrame) -> DataFrame:
@@ -256,18 +265,21 @@ def ngram_join(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str
     labels = nearby_least(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "sid")  # most of each class
     all_links = links
     members = members.filter("size > 2").join(labels, "sid", "left").withColumn("label", F.coalesce("component_id", "sid")).withColumn("role", F.lit(APART))
+    members = members.withColumns({"far": F.lit(None).cast("long"), "rest": F.lit(None).cast("long")})
+    most = PAIRED
     while True:
         # groups that still hold several classes: small ones are paired, large ones told apart by differences from the pivot
         mixed = members.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
-        members = materialize(members.join(mixed, "sig", "left_semi").select("sig", "sid", "n", "own", "label", "role", "size", "pivot"), "mixed")
-        pairs = paired(members.filter((F.col("size") <= PAIRED) & (F.col("sid") != F.col("pivot.sid"))))
-        around = members.filter((F.col("size") > PAIRED) & (F.col("sid") != F.col("pivot.sid"))).groupBy(F.col("pivot.sid").alias("a"), F.col("sid").alias("b")).agg(F.min("label").alias("label"))
+        members = materialize(members.join(mixed, "sig", "left_semi").select("sig", "sid", "n", "own", "rare", "label", "role", "far", "rest", "size", "pivot"), "mixed")
+        pairs = paired(members.filter((F.col("size") <= most) & (F.col("sid") != F.col("pivot.sid"))))
+        around = members.filter((F.col("size") > most) & (F.col("sid") != F.col("pivot.sid"))).groupBy(F.col("pivot.sid").alias("a"), F.col("sid").alias("b")).agg(F.min("label").alias("label"))
         around = materialize(around, "around")
         if around.isEmpty():
             all_links = all_links.union(materialize(linked(materialize(close(pairs), "pairs")), "links"))
             break
+        most = PAIRED_BY_PLACE
         extended = materialize(_differences(around, sets, percent), "extended")
-        groups = extended.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("own", "sid", "n", "label")).alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("role").alias("r0"), F.max("role").alias("r1"))
+        groups = extended.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rare", "sid", "n", "own", "label")).alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("role").alias("r0"), F.max("role").alias("r1"))
         groups = groups.filter(f"low <> high and (r0 = {APART} or r0 = {LINKED} and r1 = {BESIDE})").select("sig", "size", "pivot")
         members = materialize(extended.join(groups, "sig"), "members")
         links = materialize(linked(materialize(close(pivoted(members).union(pairs)), "pairs")), "links")

@@ -146,11 +146,12 @@ def near_group(seed, n, size, edits):
     return [(i, " ".join(r)) for i, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("n,percent,size,edits,paired", [(3, 90, 150, 4, 2), (3, 90, 40, 2, 16), (5, 80, 100, 5, 2)])
-def test_near_copies_that_the_pivot_does_not_link(spark, monkeypatch, n, percent, size, edits, paired):
+@pytest.mark.parametrize("n,percent,size,edits,paired,by_place", [(5, 80, 60, 3, 2, 1024), (5, 80, 146, 6, 2, 1024), (3, 90, 40, 2, 16, 16), (3, 90, 150, 4, 2, 2), (5, 80, 100, 5, 2, 2)])
+def test_near_copies_that_the_pivot_does_not_link(spark, monkeypatch, n, percent, size, edits, paired, by_place):
     import blockweave.llm.ngram_join as module
 
     monkeypatch.setattr(module, "PAIRED", paired)
+    monkeypatch.setattr(module, "PAIRED_BY_PLACE", by_place)
     rows = near_group(size, 140, size, edits)
     got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), n_words=n, percent=percent).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_join(rows, n, percent)
