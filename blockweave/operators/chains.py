@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from blockweave.sources.scratch import written
 
-from .solve import MAX_NODES, element_list, search
+from .dist import empirical, tvd
+from .solve import MAX_NODES, element_list, search, solution_probs
 
 MAX_STATES = 20_000
 EDGES = "src int, dst int, weight double"
@@ -235,25 +236,36 @@ def chain_rng(seed: int, key) -> np.random.Generator:
     return np.random.default_rng([seed, zlib.crc32(str(key).encode())])
 
 
-def reduced_step(x: np.ndarray, v: np.ndarray, logp: np.ndarray, k: int, rng: np.random.Generator, memo: dict) -> np.ndarray:
-    """One step of the reduced chain: lazy half; a removal uniform over distinct ones; refill by likelihood."""
-    if rng.random() < 0.5:
-        return x
+def _refills(x: np.ndarray, v: np.ndarray, logp: np.ndarray, k: int, rng: np.random.Generator, memo: dict) -> list[np.ndarray]:
+    """All states that agree with x up to a removal of k elements, uniform over distinct ones; none where it is declined."""
     bag = np.repeat(np.arange(len(x)), x)
     r = np.bincount(rng.choice(bag, min(k, len(bag)), replace=False), minlength=len(x))
     ways = math.prod(math.comb(int(a), int(b)) for a, b in zip(x, r, strict=True))
     if rng.random() >= 1 / ways:
-        return x
+        return []
     sub = r @ v
     if (sub_key := tuple(sub)) not in memo:
         memo[sub_key] = exact_states(sub, v, logp)
-    fill = memo[sub_key]
-    to = [x - r + np.array(f) for f in fill]
+    return [x - r + np.array(f) for f in memo[sub_key]]
+
+
+def reduced_step(x: np.ndarray, v: np.ndarray, logp: np.ndarray, k: int, rng: np.random.Generator, memo: dict) -> np.ndarray:
+    """One step of the reduced chain: lazy half; a removal, and a refill by likelihood."""
+    if rng.random() < 0.5 or not (to := _refills(x, v, logp, k, rng, memo)):
+        return x
     lw = np.array([log_prob(t, logp) for t in to])
     w = np.exp(lw - lw.max())
     return to[int(rng.choice(len(to), p=w / w.sum()))]
 
 
+def metropolis_step(x: np.ndarray, v: np.ndarray, logp: np.ndarray, k: int, rng: np.random.Generator, memo: dict) -> np.ndarray:
+    """The same with a refill uniform over all, taken by the ratio of likelihoods."""
+    if rng.random() < 0.5 or not (to := _refills(x, v, logp, k, rng, memo)):
+        return x
+    y = to[int(rng.integers(len(to)))]
+    return y if rng.random() < math.exp(min(0.0, log_prob(y, logp) - log_prob(x, logp))) else x
+
+
 def gibbs_step(x: np.ndarray, counts: np.ndarray, v: np.ndarray, logp: np.ndarray, gamma: float, rng: np.random.Generator) -> np.ndarray:
     """One lazy heat-bath step; weights grow by w_j = w_(j-1) (s + j) / j p exp(gamma |v|)."""
     if rng.random() < 0.5:
@@ -271,13 +283,31 @@ def gibbs_step(x: np.ndarray, counts: np.ndarray, v: np.ndarray, logp: np.ndarra
     return x
 
 
+def simple_step(x: np.ndarray, counts: np.ndarray, v: np.ndarray, logp: np.ndarray, gamma: float, rng: np.random.Generator) -> np.ndarray:
+    """One lazy Metropolis step: another multiplicity of one element is proposed and taken by the ratio of weights."""
+    if rng.random() < 0.5:
+        return x
+    e = int(rng.integers(len(v)))
+    most = int((counts[v[e] > 0] // v[e][v[e] > 0]).min())
+    y = x.copy()
+    y[e] = (x[e] + 1 + int(rng.integers(most))) % (most + 1)
+    if (y @ v > counts).any():
+        return x
+    ratio = log_prob(y, logp) - log_prob(x, logp) + gamma * float((y - x) @ v.sum(1))
+    return y if rng.random() < math.exp(min(0.0, ratio)) else x
+
+
+STEPS: dict[str, Callable] = {"reduced": reduced_step, "metropolis": metropolis_step, "gibbs": gibbs_step, "simple": simple_step}
+
+
 def sample_chains(targets: DataFrame, elements: DataFrame, key: str, counts: str, kind: str = "reduced", steps: int = 10_000, k: int = 3, gamma: float = 0.8, chains: int = 1, seed: int = 0, max_nodes: int = MAX_NODES) -> DataFrame:
     """(key, chain, elems, exact): the state of each chain after ``steps`` steps, as elements with their multiplicities.
 
-    The chain advances from its own last state.  The gibbs kind goes on until it is exact, for at most ten times the steps.
-    An area without an exact solution has no rows in the reduced kind; one whose search for a start was cut off is an error.
+    The chain advances from its own last state.  Kinds reduced and metropolis stay on exact solutions; gibbs and simple
+    go on until they are exact, for at most ten times the steps.
+    An area without an exact solution has no rows in the kinds on exact ones; one whose search for a start was cut off is an error.
     """
-    held = element_list(elements)
+    held, step, on_exact = element_list(elements), STEPS[kind], kind in ("reduced", "metropolis")
     kind_ = targets.schema[key].dataType.simpleString()
     jobs = targets.select(key, counts, F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain"))
 
@@ -290,7 +320,7 @@ def sample_chains(targets: DataFrame, elements: DataFrame, key: str, counts: str
                 v, logp = eligible(c, held)
                 names = [e for e, x, _ in held if all(np.array(x) <= c)]
                 rng = chain_rng(seed, f"{kv}|{chain}")
-                if kind == "reduced":
+                if on_exact:
                     start, ended = search(tuple(c), [(i, tuple(x), math.exp(lp)) for i, (x, lp) in enumerate(zip(v, logp, strict=True))], 1, max_nodes)
                     if not start and not ended:
                         raise OverflowError(f"the search for a solution of {kv} was cut off")
@@ -300,14 +330,25 @@ def sample_chains(targets: DataFrame, elements: DataFrame, key: str, counts: str
                     if len(memo) > 100_000:
                         memo.clear()
                     for _ in range(steps):
-                        x = reduced_step(x, v, logp, k, rng, memo)
+                        x = step(x, v, logp, k, rng, memo)
                 else:
                     x = np.zeros(len(v), int)
                     for t in range(steps * 10 if len(v) else 0):
                         if t >= steps and (x @ v == c).all():
                             break
-                        x = gibbs_step(x, c, v, logp, gamma, rng)
+                        x = step(x, c, v, logp, gamma, rng)
                 rows.append((kv, chain, [{"elem_id": e, "n": int(i)} for e, i in zip(names, x, strict=True) if i], bool((x @ v == c).all()) if len(v) else not c.any()))
             yield pd.DataFrame(rows, columns=[key, "chain", "elems", "exact"])
 
     return jobs.repartition(key, "chain").mapInPandas(run, f"{key} {kind_}, chain int, elems array<struct<elem_id:int,n:int>>, exact boolean")
+
+
+def sample_tvd(samples: DataFrame, solutions: DataFrame, key: str) -> DataFrame:
+    """(key, tvd) between each area's exact samples and its enumerated solutions weighed by likelihood.
+
+    ``samples`` has the columns of sample_chains or partition_draws, ``solutions`` those of enumerate_solutions.
+    """
+    state = F.to_json(F.array_sort("elems")).alias("state")
+    exact = samples.filter("exact") if "exact" in samples.columns else samples
+    drawn = empirical(exact.select(key, state), ["state"], within=[key])
+    return tvd(drawn, solution_probs(solutions.filter("elems is not null"), key).select(key, state, "p"), ["state"], [key])

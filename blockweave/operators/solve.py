@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockweave.functions.vectors import log_likelihood
@@ -164,15 +165,15 @@ def recursive_solutions(spark, targets_view: str, elements_view: str) -> DataFra
         SELECT block, ms FROM walk, n WHERE i = n.m AND forall(rest, x -> x = 0)""")
 
 
-def log_partition(counts: tuple[int, ...], elements: list[tuple[int, tuple[int, ...], float]]) -> float:
-    """ln of the sum over exact solutions of prod p^x / x!, by dynamic programming over elements and what is left."""
-    fit = [(v, math.log(p)) for _, v, p in elements if all(a <= c for a, c in zip(v, counts, strict=True))]
+def _layers(counts: tuple[int, ...], fit: list[tuple[int, tuple[int, ...], float]]) -> Iterator[dict[tuple[int, ...], float]]:
+    """After each element, ln of the sum of prod p^x / x! over the ways to each of what may be left of the counts."""
     later = [[False] * len(counts)]  # which counts an element from i on fills
-    for v, _ in reversed(fit):
+    for _, v, _ in reversed(fit):
         later.append([x or y > 0 for x, y in zip(later[-1], v, strict=True)])
     later.reverse()
     now = {tuple(counts): 0.0}
-    for i, (v, lp) in enumerate(fit):
+    yield now
+    for i, (_, v, lp) in enumerate(fit):
         then: dict[tuple[int, ...], float] = {}
         for left, z in now.items():
             n = 0
@@ -181,7 +182,86 @@ def log_partition(counts: tuple[int, ...], elements: list[tuple[int, tuple[int,
                     then[left] = float(np.logaddexp(then.get(left, -math.inf), z + n * lp - math.lgamma(n + 1)))
                 n, left = n + 1, tuple(x - y for x, y in zip(left, v, strict=True))
         now = then
-    return now.get((0,) * len(counts), -math.inf)
+        yield now
+
+
+def _fitting(counts: tuple[int, ...], elements: list[tuple[int, tuple[int, ...], float]]) -> list[tuple[int, tuple[int, ...], float]]:
+    return [(e, v, math.log(p)) for e, v, p in elements if all(a <= c for a, c in zip(v, counts, strict=True))]
+
+
+def log_partition(counts: tuple[int, ...], elements: list[tuple[int, tuple[int, ...], float]]) -> float:
+    """ln of the sum over exact solutions of prod p^x / x!, by dynamic programming over elements and what is left."""
+    last: dict[tuple[int, ...], float] = {}
+    for last in _layers(counts, _fitting(counts, elements)):  # noqa: B007
+        pass
+    return last.get((0,) * len(counts), -math.inf)
+
+
+def _ancestors(layers: list[dict], fit: list[tuple[int, tuple[int, ...], float]], rng: np.random.Generator) -> dict[int, int]:
+    """A solution drawn with chance prod p^x / x! over their sum: back from nothing left, one element at a time."""
+    left, out = (0,) * len(next(iter(layers[0]))), {}
+    for (e, v, lp), before in zip(reversed(fit), reversed(layers[:-1]), strict=True):
+        places, weights, at, n = [], [], left, 0
+        while all(a <= c for a, c in zip(at, next(iter(layers[0])), strict=True)):
+            if at in before:
+                places.append((n, at))
+                weights.append(before[at] + n * lp - math.lgamma(n + 1))
+            n, at = n + 1, tuple(x + y for x, y in zip(at, v, strict=True))
+        w = np.exp(np.array(weights) - max(weights))
+        n, left = places[int(rng.choice(len(places), p=w / w.sum()))]
+        if n:
+            out[e] = n
+    return out
+
+
+def partition_draws(targets: DataFrame, elements: DataFrame, key: str, counts: str, draws: int = 1, seed: int = 0) -> DataFrame:
+    """(key, draw from 0, elems): independent exact solutions of each area with chance prod p^x / x!; none where it has none.
+
+    Areas with the same counts follow each other in one task and share its table.  Null counts give no row.
+    """
+    held = element_list(elements)
+    kind = targets.schema[key].dataType.simpleString()
+    jobs = targets.filter(F.col(counts).isNotNull()).select(key, F.col(counts).cast("array<int>").alias("_counts"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = None
+        for pdf in batches:
+            for kv, c in zip(pdf[key], pdf["_counts"], strict=True):
+                c = tuple(int(x) for x in c)
+                if known != c:
+                    known, fit = c, _fitting(c, held)
+                    layers = list(_layers(c, fit))
+                if (0,) * len(c) not in layers[-1]:
+                    continue
+                rng = np.random.default_rng([seed, zlib.crc32(str(kv).encode())])
+                rows = [(kv, d, [{"elem_id": e, "n": m} for e, m in sorted(_ancestors(layers, fit, rng).items())]) for d in range(draws)]
+                yield pd.DataFrame(rows, columns=[key, "draw", "elems"])
+
+    return jobs.repartition(F.col("_counts"), F.pmod(F.xxhash64(key), F.lit(64))).sortWithinPartitions("_counts", key).mapInPandas(run, f"{key} {kind}, draw int, elems array<struct<elem_id:int,n:int>>")
+
+
+def instances(spark: SparkSession, capacities: list[int], dims: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Test instances of every number of dimensions d and capacity c: (elements: d, v, p) and (targets: c, d, counts).
+
+    The elements are 2 e_i and e_i + e_j for i < j, all as likely; the counts are c in every dimension.
+    """
+    d = spark.createDataFrame([(x,) for x in dims], "d int").distinct()
+    pairs = d.select("d", F.explode(F.sequence(F.lit(1), "d")).alias("i")).select("*", F.explode(F.sequence("i", "d")).alias("j"))
+    v = F.transform(F.sequence(F.lit(1), F.col("d")), lambda x: (x == F.col("i")).cast("int") + (x == F.col("j")).cast("int"))
+    elements = pairs.select("d", v.alias("v"), (F.lit(2.0) / (F.col("d") * (F.col("d") + 1))).alias("p"))
+    c = spark.createDataFrame([(x,) for x in capacities], "c int").distinct()
+    return elements, d.crossJoin(c).select("c", "d", F.array_repeat("c", F.col("d")).alias("counts"))  # two short lists of parameters
+
+
+def best_over_grid(results: DataFrame, grid: DataFrame, by: list[str], param: str, value: str) -> DataFrame:
+    """The least value of each ``by`` over the grid's parameters, and the parameter (the least of equals).
+
+    A parameter without a result, or with a null one, counts as infinite; where none has one the parameter is null.
+    """
+    x = F.coalesce(F.col("_x").cast("double"), F.lit(math.inf))
+    found = grid.select(*by, param).distinct().join(results.select(*by, param, F.col(value).alias("_x")), [*by, param], "left").withColumn("_x", x)
+    least = found.groupBy(*by).agg(F.min(F.struct("_x", param)).alias("m"))
+    return least.select(*by, F.when(F.col("m._x") < math.inf, F.col(f"m.{param}")).alias(param), F.col("m._x").alias(value))
 
 
 def partition_function(targets: DataFrame, elements: DataFrame, key: str, counts: str) -> DataFrame:

@@ -14,15 +14,15 @@ from blockweave.sources.households import household_distribution
 from blockweave.sources.scratch import written
 
 
-def generate(blocks: DataFrame, households: DataFrame, n_best: int = 5000, seed: int = 0, refine_steps: int = 10_000, k: int = 3, max_nodes: int = MAX_NODES) -> tuple[DataFrame, DataFrame]:
+def generate(blocks: DataFrame, households: DataFrame, n_best: int = 5000, seed: int = 0, refine_steps: int = 10_000, k: int = 3, max_nodes: int = MAX_NODES, ratios: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(microdata, unsolved blocks: identifier and the level whose search was cut off, null where no level has a solution).
 
     Levels 1, 2 and 3 are tried in turn for the blocks that the one before could not solve; a block of one household with
-    valid ages is its own solution.  A block whose search was cut off before it found any is not tried at coarser levels.  Of a block's solutions one is drawn by likelihood; where their pool was full, a chain
+    valid ages is its own solution.  ``ratios`` (key: 9-vector, ratio) re-weight the sample, as dist.adjustment gives them.  A block whose search was cut off before it found any is not tried at coarser levels.  Of a block's solutions one is drawn by likelihood; where their pool was full, a chain
     goes on from there.  Levels 2 and 3 leave ages out where a block's are contradictory, and draw them from the sample.
     """
     blocks = written(blocks.withColumn("_age", age_is_valid()))
-    sample = written(household_distribution(households, 3))
+    sample = written(household_distribution(households, 3, ratios=ratios))
     alone = (F.col("H8M001") == 1) & F.col("_age")
     itself = to_output(encode(1), 1, True)
     rows = blocks.filter(alone).select("identifier", F.lit(0).alias("HH_NUM"), itself.alias("out"), F.lit(1).alias("ACCURACY"), F.lit(True).alias("AGE_ACCURACY"))
@@ -32,7 +32,7 @@ def generate(blocks: DataFrame, households: DataFrame, n_best: int = 5000, seed:
         solved = None
         for use_age in (True,) if level == 1 else (True, False):
             own = left if level == 1 else left.filter(F.col("_age") == use_age)
-            elements = written(lexicographic(household_distribution(households, level, use_age)))
+            elements = written(lexicographic(household_distribution(households, level, use_age, ratios)))
             targets = own.select("identifier", encode(level, use_age).alias("counts"))
             found = written(enumerate_solutions(targets, elements, "identifier", "counts", n_best, max_nodes))
             cut = found.filter("elems is null").select("identifier", F.lit(level).alias("level"))

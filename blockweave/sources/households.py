@@ -92,11 +92,16 @@ def output_vector(use_age: bool = True) -> Column:
     return encode_household(3, use_age)
 
 
-def household_distribution(households: DataFrame, level: int, use_age: bool = True) -> DataFrame:
-    """(v, p): the empirical distribution of household vectors at a level."""
+def household_distribution(households: DataFrame, level: int, use_age: bool = True, ratios: DataFrame | None = None) -> DataFrame:
+    """(v, p): the empirical distribution of household vectors at a level.
+
+    ``ratios`` (key, ratio) multiply the weights of households by their 9-vector; keys without a ratio keep theirs.
+    """
     from blockweave.operators.dist import empirical
 
-    d = household_tuple(households).select(encode_household(level, use_age).alias("v"), "weight")
+    d = household_tuple(households).select(encode_household(level, use_age).alias("v"), "weight", output_vector().alias("key"))
+    if ratios is not None:
+        d = d.join(ratios.select("key", "ratio"), "key", "left").withColumn("weight", F.col("weight") * F.coalesce("ratio", F.lit(1.0)))
     return empirical(d, ["v"], F.col("weight")).select("v", "p")
 
 

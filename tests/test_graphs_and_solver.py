@@ -82,3 +82,66 @@ def test_areas_with_equal_counts_are_solved_alike(spark):
     assert got == {("a", 1, 2), ("b", 1, 2), ("d", 1, 0)}
     z = {r.block: r.log_z for r in solve.partition_function(areas, elements, "block", "counts").collect()}
     assert set(z) == {"a", "b", "d"} and z["a"] == z["b"] == pytest.approx(math.log(0.5**3 / 2))
+
+
+TOY_LISTED = [(1, (0, 1, 1), 0.2), (2, (1, 0, 1), 0.3), (3, (1, 1, 1), 0.1), (4, (2, 0, 1), 0.4)]
+
+
+def share(rows):
+    out = {}
+    for x in rows:
+        out[x] = out.get(x, 0) + 1
+    return {x: n / len(rows) for x, n in out.items()}
+
+
+def far(a, b):
+    return sum(abs(a.get(x, 0) - b.get(x, 0)) for x in {*a, *b}) / 2
+
+
+def test_draws_follow_the_partition_function(spark):
+    counts = (5, 2, 5)
+    elements = spark.createDataFrame([(e, list(v), p) for e, v, p in TOY_LISTED], "elem_id int, v array<int>, p double")
+    targets = spark.createDataFrame([("a", list(counts)), ("b", list(counts)), ("none", [1, 9, 1]), ("null", None)], "block string, counts array<int>")
+    got = solve.partition_draws(targets, elements, "block", "counts", draws=4000, seed=1).collect()
+    p = {e: q for e, _, q in TOY_LISTED}
+    weigh = {tuple(sorted(s.items())): math.prod(p[e] ** n / math.factorial(n) for e, n in s.items()) for s in every_multiset(counts, TOY_LISTED)}
+    want = {s: w / sum(weigh.values()) for s, w in weigh.items()}
+    assert math.isclose(math.log(sum(weigh.values())), solve.log_partition(counts, TOY_LISTED))
+    for block in "ab":
+        drawn = [tuple((x.elem_id, x.n) for x in r.elems) for r in got if r.block == block]
+        assert len(drawn) == 4000 and set(drawn) <= set(want) and far(share(drawn), want) < 0.05
+    assert {r.block for r in got} == {"a", "b"} and [r.elems for r in got if r.block == "a"] != [r.elems for r in got if r.block == "b"]
+
+
+@pytest.mark.parametrize("kind", ["reduced", "metropolis", "gibbs", "simple"])
+def test_steps_keep_the_stationary_distribution(kind):
+    counts, v, logp = np.array([3, 1, 3]), np.array([v for _, v, _ in TOY_LISTED]), np.log([p for _, _, p in TOY_LISTED])
+    on_exact = kind in ("reduced", "metropolis")
+    states = chains.exact_states(counts, v, logp) if on_exact else chains.partial_states(counts, v)
+    gamma = 0.0 if on_exact else 0.4
+    w = np.exp([chains.log_prob(np.array(s), logp) - gamma * (counts - np.array(s) @ v).sum() for s in states])
+    rng, x, memo, seen = np.random.default_rng(3), np.array(states[0]), {}, []
+    for _ in range(40_000):
+        x = chains.STEPS[kind](x, v, logp, 2, rng, memo) if on_exact else chains.STEPS[kind](x, counts, v, logp, gamma, rng)
+        seen.append(tuple(int(i) for i in x))
+    assert len(states) > 1 and far(share(seen), dict(zip(states, w / w.sum(), strict=True))) < 0.05
+
+
+@pytest.mark.parametrize("kind", ["metropolis", "simple"])
+def test_samples_against_solutions(spark, kind):
+    elements = spark.createDataFrame([(e, list(v), p) for e, v, p in TOY_LISTED], "elem_id int, v array<int>, p double")
+    targets = spark.createDataFrame([("a", [3, 1, 3])], "block string, counts array<int>")
+    made = chains.sample_chains(targets, elements, "block", "counts", kind=kind, steps=60, k=2, gamma=0.4, chains=600, seed=2)
+    row = chains.sample_tvd(made, solve.enumerate_solutions(targets, elements, "block", "counts"), "block").first()
+    assert row.block == "a" and row.tvd < (0.1 if kind == "metropolis" else 0.6)  # stopping at the first exact state favours the nearest
+
+
+def test_instances_and_the_best_of_a_grid(spark):
+    elements, targets = solve.instances(spark, [4, 6], [3, 2])
+    assert sorted((r.d, tuple(r.v)) for r in elements.collect()) == [(2, (0, 2)), (2, (1, 1)), (2, (2, 0)), (3, (0, 0, 2)), (3, (0, 1, 1)), (3, (0, 2, 0)), (3, (1, 0, 1)), (3, (1, 1, 0)), (3, (2, 0, 0))]
+    assert {r.d: round(r.p, 9) for r in elements.collect()} == {2: round(1 / 3, 9), 3: round(1 / 6, 9)}
+    assert sorted((r.c, r.d, tuple(r.counts)) for r in targets.collect()) == [(4, 2, (4, 4)), (4, 3, (4,) * 3), (6, 2, (6, 6)), (6, 3, (6,) * 3)]
+    grid = spark.createDataFrame([(d, g) for d in (1, 2, 3) for g in (0.1, 0.2)], "d int, g double")
+    results = spark.createDataFrame([(1, 0.1, 5.0), (1, 0.2, 5.0), (2, 0.2, 7.0), (2, 0.9, 1.0), (3, 0.1, None)], "d int, g double, t double")
+    assert sorted(tuple(r) for r in solve.best_over_grid(results, grid, ["d"], "g", "t").collect()) == [(1, 0.1, 5.0), (2, 0.2, 7.0), (3, None, math.inf)]
+    assert solve.best_over_grid(results.limit(0), grid, ["d"], "g", "t").filter("g is null").count() == 3
