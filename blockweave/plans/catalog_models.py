@@ -232,6 +232,32 @@ def dp_partition_function(t):
     return solve.partition_function(_areas(t), _parcels(t), "block", "counts").select("block", r("log_z").alias("log_z"))
 
 
+@query(TARGET_SQL)
+def partition_draws(t):
+    """One draw for every area: its parcels add up to the area's counts."""
+    got = solve.partition_draws(_areas(t), _parcels(t), "block", "counts", seed=7)
+    x, y, z = _n(1), _n(2), _n(3)
+    return got.select("block", (x + y + 2 * z).alias("c1"), (y + z).alias("c2"))
+
+
+@query("SELECT d, c, count(*) AS n_elements, round(sum(2.0::DOUBLE / (d * (d + 1))), 6) AS p, sum(CASE WHEN i = j THEN 2 ELSE 0 END)::BIGINT AS twos FROM range(3, 7) a(d), range(4, 9, 2) b(c), LATERAL (SELECT unnest(range(1, d + 1)) AS i), range(1, 7) e(j) WHERE j BETWEEN i AND d GROUP BY 1, 2")
+def knapsack_instances(t):
+    elements, targets = solve.instances(t.spark, [4, 6, 8], [3, 4, 5, 6])
+    most = F.array_max("v")
+    return elements.join(targets, "d").groupBy(F.col("d").cast("long").alias("d"), F.col("c").cast("long").alias("c")).agg(F.count(F.lit(1)).alias("n_elements"), F.round(F.sum("p"), 6).alias("p"), F.sum(F.when(most == 2, 2).otherwise(0)).cast("long").alias("twos"))
+
+
+@query("""WITH g AS (SELECT n_nationkey, c_mktsegment FROM nation, (SELECT DISTINCT c_mktsegment FROM customer)),
+    x AS (SELECT c_nationkey, c_mktsegment, min(c_acctbal) AS m FROM customer WHERE c_acctbal > 9900 GROUP BY 1, 2),
+    k AS (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY coalesce(m, 'Infinity'::DOUBLE), g.c_mktsegment) AS rn FROM g LEFT JOIN x ON n_nationkey = c_nationkey AND g.c_mktsegment = x.c_mktsegment)
+    SELECT n_nationkey, CASE WHEN m IS NOT NULL THEN c_mktsegment END AS c_mktsegment, round(m, 4) AS least FROM k WHERE rn = 1""")
+def best_over_grid(t):
+    found = t.customer.filter("c_acctbal > 9900").groupBy(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment").agg(F.min("c_acctbal").alias("least"))
+    grid = t.nation.select("n_nationkey").crossJoin(t.customer.select("c_mktsegment").distinct())  # two short lists of parameters
+    got = solve.best_over_grid(found, grid, ["n_nationkey"], "c_mktsegment", "least")
+    return got.select("n_nationkey", "c_mktsegment", F.when(F.col("c_mktsegment").isNotNull(), r("least", 4)).alias("least"))
+
+
 @query(f"""WITH a AS ({TARGET_SQL}), l1 AS (SELECT DISTINCT block FROM a WHERE c2 * 2 = c1 OR c2 = 0)
     SELECT block, CASE WHEN block IN (SELECT block FROM l1) THEN 1 WHEN c2 <= c1 AND c1 > c2 THEN 2 WHEN c1 <= 4 THEN 3 END AS level FROM a""")
 def level_relaxation(t):
@@ -360,6 +386,18 @@ def mcmc_gibbs(t):
     return got.groupBy("exact", F.to_json("elems").alias("elems")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(None)
+def sample_distance(t):
+    """How far the chains' samples are from the enumerated solutions."""
+    want = solve.enumerate_solutions(toy_targets(t.spark), toy_elements(t.spark), "block", "counts")
+    out = None
+    for kind in ("reduced", "metropolis"):
+        made = chains.sample_chains(toy_targets(t.spark), toy_elements(t.spark), "block", "counts", kind=kind, steps=500, chains=200, seed=4)
+        one = chains.sample_tvd(made, want, "block").select("block", F.lit(kind).alias("kind"), "tvd")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # -- noise
 
 
