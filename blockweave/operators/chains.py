@@ -6,6 +6,7 @@ States are multiplicity vectors over the elements that fit the area's counts.
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import math
 import zlib
@@ -22,6 +23,8 @@ from .dist import empirical, tvd
 from .solve import MAX_NODES, element_list, search, solution_probs
 
 MAX_STATES = 20_000
+#: States with so many distinct removals at most get their whole row of the chain.  This decides cost, never chances.
+ROW_REMOVALS = 2_000
 EDGES = "src int, dst int, weight double"
 
 
@@ -236,6 +239,53 @@ def chain_rng(seed: int, key) -> np.random.Generator:
     return np.random.default_rng([seed, zlib.crc32(str(key).encode())])
 
 
+def chain_row(x: tuple[int, ...], v: np.ndarray, logp: np.ndarray, k: int, by_ratio: bool, memo: dict) -> tuple[list[float], list[tuple[int, ...]]] | None:
+    """Running chances and targets of a step from x that is not lazy; none where x has too many removals.
+
+    By likelihood (reduced), or each refill as likely and taken by the ratio of likelihoods (metropolis).
+    """
+    n, ways = sum(x), [1]
+    kk = min(k, n)
+    for m in x:
+        ways = [sum(ways[max(0, j - m) : j + 1]) for j in range(min(kk, len(ways) - 1 + m) + 1)]
+        if max(ways) > ROW_REMOVALS:
+            return None
+    removals = [((), kk)]
+    for m in x:
+        removals = [((*r, j), left - j) for r, left in removals for j in range(min(m, left) + 1)]
+        if len(removals) > 4 * ROW_REMOVALS:
+            return None
+    chance: dict[tuple[int, ...], float] = {}
+    here, log_here = np.array(x), log_prob(np.array(x), logp)
+    for r, left in removals:
+        if left:
+            continue
+        out = np.array(r, int)
+        if (sub_key := tuple(out @ v)) not in memo:
+            memo[sub_key] = exact_states(out @ v, v, logp)
+        to = [tuple(int(a) for a in here - out + np.array(f)) for f in memo[sub_key]]
+        lw = np.array([log_prob(np.array(t), logp) for t in to])
+        w = np.exp(np.minimum(0.0, lw - log_here)) / len(to) if by_ratio else np.exp(lw - lw.max()) / np.exp(lw - lw.max()).sum()
+        for t, p in zip(to, w, strict=True):
+            if t != x:
+                chance[t] = chance.get(t, 0.0) + float(p) / math.comb(n, kk)
+    return np.cumsum(list(chance.values())).tolist(), list(chance)
+
+
+def run_exact(x: np.ndarray, v: np.ndarray, logp: np.ndarray, k: int, steps: int, rng: np.random.Generator, memo: dict, kind: str) -> np.ndarray:
+    """``steps`` steps of a lazy chain on exact solutions: those that are not lazy, each a look-up in its state's row."""
+    rows, move = memo.setdefault(("rows", kind), {}), MOVES[kind]
+    now = tuple(int(a) for a in x)
+    for u in rng.random(int(rng.binomial(steps, 0.5))).tolist():
+        if now not in rows:
+            rows[now] = chain_row(now, v, logp, k, kind == "metropolis", memo)
+        if (row := rows[now]) is None:
+            now = tuple(int(a) for a in move(np.array(now), v, logp, k, rng, memo))
+        elif (i := bisect.bisect_right(row[0], u)) < len(row[1]):
+            now = row[1][i]
+    return np.array(now)
+
+
 def _refills(x: np.ndarray, v: np.ndarray, logp: np.ndarray, k: int, rng: np.random.Generator, memo: dict) -> list[np.ndarray]:
     """All states that agree with x up to a removal of k elements, uniform over distinct ones; none where it is declined."""
     bag = np.repeat(np.arange(len(x)), x)
@@ -249,18 +299,18 @@ def _refills(x: np.ndarray, v: np.ndarray, logp: np.ndarray, k: int, rng: np.ran
     return [x - r + np.array(f) for f in memo[sub_key]]
 
 
-def reduced_step(x: np.ndarray, v: np.ndarray, logp: np.ndarray, k: int, rng: np.random.Generator, memo: dict) -> np.ndarray:
-    """One step of the reduced chain: lazy half; a removal, and a refill by likelihood."""
-    if rng.random() < 0.5 or not (to := _refills(x, v, logp, k, rng, memo)):
+def reduced_move(x: np.ndarray, v: np.ndarray, logp: np.ndarray, k: int, rng: np.random.Generator, memo: dict) -> np.ndarray:
+    """One step of the reduced chain that is not lazy: a removal, and a refill by likelihood."""
+    if not (to := _refills(x, v, logp, k, rng, memo)):
         return x
     lw = np.array([log_prob(t, logp) for t in to])
     w = np.exp(lw - lw.max())
     return to[int(rng.choice(len(to), p=w / w.sum()))]
 
 
-def metropolis_step(x: np.ndarray, v: np.ndarray, logp: np.ndarray, k: int, rng: np.random.Generator, memo: dict) -> np.ndarray:
+def metropolis_move(x: np.ndarray, v: np.ndarray, logp: np.ndarray, k: int, rng: np.random.Generator, memo: dict) -> np.ndarray:
     """The same with a refill uniform over all, taken by the ratio of likelihoods."""
-    if rng.random() < 0.5 or not (to := _refills(x, v, logp, k, rng, memo)):
+    if not (to := _refills(x, v, logp, k, rng, memo)):
         return x
     y = to[int(rng.integers(len(to)))]
     return y if rng.random() < math.exp(min(0.0, log_prob(y, logp) - log_prob(x, logp))) else x
@@ -297,7 +347,8 @@ def simple_step(x: np.ndarray, counts: np.ndarray, v: np.ndarray, logp: np.ndarr
     return y if rng.random() < math.exp(min(0.0, ratio)) else x
 
 
-STEPS: dict[str, Callable] = {"reduced": reduced_step, "metropolis": metropolis_step, "gibbs": gibbs_step, "simple": simple_step}
+MOVES: dict[str, Callable] = {"reduced": reduced_move, "metropolis": metropolis_move}
+STEPS: dict[str, Callable] = {"gibbs": gibbs_step, "simple": simple_step}
 
 
 def sample_chains(targets: DataFrame, elements: DataFrame, key: str, counts: str, kind: str = "reduced", steps: int = 10_000, k: int = 3, gamma: float = 0.8, chains: int = 1, seed: int = 0, max_nodes: int = MAX_NODES) -> DataFrame:
@@ -307,7 +358,8 @@ def sample_chains(targets: DataFrame, elements: DataFrame, key: str, counts: str
     go on until they are exact, for at most ten times the steps.
     An area without an exact solution has no rows in the kinds on exact ones; one whose search for a start was cut off is an error.
     """
-    held, step, on_exact = element_list(elements), STEPS[kind], kind in ("reduced", "metropolis")
+    held, on_exact = element_list(elements), kind in MOVES
+    step = None if on_exact else STEPS[kind]
     kind_ = targets.schema[key].dataType.simpleString()
     jobs = targets.select(key, counts, F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain"))
 
@@ -327,10 +379,9 @@ def sample_chains(targets: DataFrame, elements: DataFrame, key: str, counts: str
                     if not start:
                         continue
                     x, memo = np.array([start[0][1].get(i, 0) for i in range(len(v))]), memos.setdefault(tuple(names), {})
-                    if len(memo) > 100_000:
+                    if len(memo) > 100_000 or len(memo.get(("rows", kind), {})) > 20_000:
                         memo.clear()
-                    for _ in range(steps):
-                        x = step(x, v, logp, k, rng, memo)
+                    x = run_exact(x, v, logp, k, steps, rng, memo, kind)
                 else:
                     x = np.zeros(len(v), int)
                     for t in range(steps * 10 if len(v) else 0):

@@ -113,16 +113,39 @@ def test_draws_follow_the_partition_function(spark):
     assert {r.block for r in got} == {"a", "b"} and [r.elems for r in got if r.block == "a"] != [r.elems for r in got if r.block == "b"]
 
 
-@pytest.mark.parametrize("kind", ["reduced", "metropolis", "gibbs", "simple"])
+@pytest.mark.parametrize("rows", [2_000, 0])
+@pytest.mark.parametrize("kind", ["reduced", "metropolis"])
+def test_runs_keep_the_stationary_distribution(kind, rows, monkeypatch):
+    monkeypatch.setattr(chains, "ROW_REMOVALS", rows)
+    counts, v, logp = np.array([3, 1, 3]), np.array([v for _, v, _ in TOY_LISTED]), np.log([p for _, _, p in TOY_LISTED])
+    states = chains.exact_states(counts, v, logp)
+    w = np.exp([chains.log_prob(np.array(s), logp) for s in states])
+    rng, x, memo, seen = np.random.default_rng(3), np.array(states[0]), {}, []
+    for _ in range(8_000):
+        x = chains.run_exact(x, v, logp, 2, 5, rng, memo, kind)
+        seen.append(tuple(int(i) for i in x))
+    assert (set(memo["rows", kind].values()) == {None}) if rows == 0 else None not in memo["rows", kind].values()
+    assert len(states) > 1 and far(share(seen), dict(zip(states, w / w.sum(), strict=True))) < 0.05
+
+
+@pytest.mark.parametrize("k", [2, 3])
+def test_rows_are_those_of_the_graph(k):
+    counts, v, logp = np.array([5, 2, 5]), np.array([v for _, v, _ in TOY_LISTED]), np.log([p for _, _, p in TOY_LISTED])
+    states, edges = chains.reduced_edges(counts, v, logp, k)
+    for i, s in enumerate(states):
+        total, to = chains.chain_row(s, v, logp, k, False, {})
+        want = {states[b]: 2 * w for a, b, w in edges if a == i and b != i}
+        assert dict(zip(to, np.diff([0, *total]), strict=True)) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("kind", ["gibbs", "simple"])
 def test_steps_keep_the_stationary_distribution(kind):
     counts, v, logp = np.array([3, 1, 3]), np.array([v for _, v, _ in TOY_LISTED]), np.log([p for _, _, p in TOY_LISTED])
-    on_exact = kind in ("reduced", "metropolis")
-    states = chains.exact_states(counts, v, logp) if on_exact else chains.partial_states(counts, v)
-    gamma = 0.0 if on_exact else 0.4
+    states, gamma = chains.partial_states(counts, v), 0.4
     w = np.exp([chains.log_prob(np.array(s), logp) - gamma * (counts - np.array(s) @ v).sum() for s in states])
-    rng, x, memo, seen = np.random.default_rng(3), np.array(states[0]), {}, []
+    rng, x, seen = np.random.default_rng(3), np.array(states[0]), []
     for _ in range(40_000):
-        x = chains.STEPS[kind](x, v, logp, 2, rng, memo) if on_exact else chains.STEPS[kind](x, counts, v, logp, gamma, rng)
+        x = chains.STEPS[kind](x, counts, v, logp, gamma, rng)
         seen.append(tuple(int(i) for i in x))
     assert len(states) > 1 and far(share(seen), dict(zip(states, w / w.sum(), strict=True))) < 0.05
 
