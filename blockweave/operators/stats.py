@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockweave.sources.scratch import written
+
 
 def cumulative(df: DataFrame, within: list[str], order: list[Column | str], value: str, out: str = "cumulative") -> DataFrame:
     w = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -19,10 +23,22 @@ def first_above(df: DataFrame, within: list[str], rank: str, cum: str, shares: d
 
 
 def rank_quantiles(df: DataFrame, within: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Empirical quantiles by index: the floor(n q)-th value in ascending order, counted from 0."""
+    """Empirical quantiles by index: the floor(n q)-th value in ascending order (nulls first), counted from 0.
+
+    Equal values are counted first.  Values are ranked inside ranges and shifted by the ranges before, so a group of any
+    size is many tasks.
+    """
+    seen = df.groupBy(*within, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    seen = written(seen.repartitionByRange(*within, "_v").withColumn("_b", F.spark_partition_id()))
     w = Window.partitionBy(*within)
-    d = df.select(*within, F.col(value).alias("_v"), F.row_number().over(w.orderBy(value)).alias("_r"), F.count(F.lit(1)).over(w).alias("_n"))
-    return d.groupBy(*within).agg(*[F.max(F.when(F.col("_r") == F.floor(F.col("_n") * q) + 1, F.col("_v"))).alias(name) for name, q in shares.items()])
+    up_to = Window.unboundedPreceding, -1
+    per = seen.groupBy(*within, "_b").agg(F.sum("_c").alias("_s"))
+    per = per.select("_b", *[F.col(c).alias(f"_w{i}") for i, c in enumerate(within)], F.coalesce(F.sum("_s").over(w.orderBy("_b").rowsBetween(*up_to)), F.lit(0)).alias("_before"), F.sum("_s").over(w).alias("_n"))
+    inside = F.coalesce(F.sum("_c").over(Window.partitionBy("_b", *within).orderBy("_v").rowsBetween(*up_to)), F.lit(0))
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate(within)], F.col("_b") == F.col("_o"))
+    d = seen.withColumn("_inside", inside).join(per.withColumnRenamed("_b", "_o"), same)
+    first, at = F.col("_before") + F.col("_inside"), {name: F.floor(F.col("_n") * q) for name, q in shares.items()}
+    return d.groupBy(*within).agg(*[F.max(F.when((first <= i) & (i < first + F.col("_c")), F.col("_v"))).alias(name) for name, i in at.items()])
 
 
 def coverage(df: DataFrame, group: list[str], rank: str, p: str, tail: int = 50, head: int = 500) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockweave.sources.scratch import written
+
 #: Share of the rows in each risk class, riskiest first, and the chance of a swap in it.
 RISK_SHARES = {4: 0.05, 3: 0.15, 2: 0.3, 1: 0.5}
 SWAP_PROBS = {4: 1.0, 3: 0.6, 2: 0.3, 1: 0.1}
@@ -23,15 +25,15 @@ def frequency(df: DataFrame, flags: list[str], out: str = "frequency") -> DataFr
 def flag_risk(df: DataFrame, flags: list[str], size: str, key: str, shares: dict[int, float] | None = None, probs: dict[int, float] | None = None) -> DataFrame:
     """``frequency``, ``risk`` and ``prob``: rows in ascending (frequency, size, key) are cut into classes of the given shares.
 
-    The place of a row is exact: rows are ranked inside their frequency, and shifted by the rows of lower
-    frequencies, which is a table of one row per frequency.
+    The place of a row is exact: rows are ranked inside ranges of that order, and shifted by the rows of the ranges
+    before, so rows of one frequency are many tasks.
     """
     shares, probs = shares or RISK_SHARES, probs or SWAP_PROBS
-    d = frequency(df, flags)
-    per = d.groupBy("frequency").agg(F.count(F.lit(1)).alias("_n"))
+    d = written(frequency(df, flags).repartitionByRange("frequency", size, key).withColumn("_b", F.spark_partition_id()))
+    per = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     all_rows = Window.partitionBy(F.lit(0))
-    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(all_rows.orderBy("frequency").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_total", F.sum("_n").over(all_rows))
-    d = d.withColumn("_r", F.row_number().over(Window.partitionBy("frequency").orderBy(size, key))).join(per.drop("_n"), "frequency")
+    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(all_rows.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_total", F.sum("_n").over(all_rows))
+    d = d.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("frequency", size, key))).join(per.drop("_n"), "_b")
     place = F.col("_before") + F.col("_r")
     names = sorted(shares, reverse=True)
     risk: Column = F.lit(names[-1])
@@ -43,7 +45,7 @@ def flag_risk(df: DataFrame, flags: list[str], size: str, key: str, shares: dict
     for name, e in reversed(edges):
         risk = F.when(place <= e, name).otherwise(risk)
     chance = F.create_map(*[F.lit(x) for k, v in probs.items() for x in (k, float(v))])
-    return d.withColumn("risk", risk).withColumn("prob", chance[F.col("risk")]).drop("_r", "_before", "_total")
+    return d.withColumn("risk", risk).withColumn("prob", chance[F.col("risk")]).drop("_b", "_r", "_before", "_total")
 
 
 def nearest_partners(points: DataFrame, bucket: list[str], key: str, x: str, y: str, k: int, cell: float) -> DataFrame:
@@ -52,8 +54,6 @@ def nearest_partners(points: DataFrame, bucket: list[str], key: str, x: str, y:
     Only points in the 3 x 3 cells around a point are compared; where they hold fewer than k within one cell size, the search is
     repeated with cells twice as wide, until all are found or a cell holds the whole bucket.
     """
-    from blockweave.sources.scratch import written
-
     pts = written(points.select(*bucket, key, x, y))
     span = pts.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"), F.greatest(F.max(x) - F.min(x), F.max(y) - F.min(y)).alias("_span"))
     todo, out = pts, None
