@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .bpe_codec import bpe_decode, bpe_encode
 from .embed_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
+from .filter_audit import failing_sets, filter_audit
+from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .ngram_join import ngram_join
@@ -17,6 +19,7 @@ from .quality import quality_score, train_quality
 from .sharding import shard_documents
 from .suffix_dedup import suffix_dedup
 from .token_count import token_count
+from .whitening import embedding_whitening
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -90,6 +93,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_docs(spark, sf_dir), keep="largest")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(failing_sets(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), n_components=8)
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    out = docs.select("doc_id", license_scan("text", docs).alias("scan"))
+    return out.select("doc_id", *[f"scan.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -101,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_whitening": op12_whitening,
+    "op13_license_scan": op13_license_scan,
 }
 
 ORACLES: dict[str, str] = {
@@ -119,4 +139,39 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM (SELECT doc_id, {LOWER} AS norm FROM documents)
         WINDOW w AS (PARTITION BY norm)""",
+    "op11_filter_audit": r"""
+        WITH docs AS (
+          SELECT coalesce(lang, '') AS part, doc_id, coalesce(text, '') AS text,
+                 regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        sets AS (
+          SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                 (len(words) < 100)::INT AS a, (100 * len(list_distinct(words)) < 80 * len(words))::INT AS b,
+                 (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::INT AS c,
+                 regexp_matches(text, '[#$%&*|]')::INT AS d,
+                 coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS e
+          FROM docs LEFT JOIN marks USING (doc_id)),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders AS (
+          SELECT concat(p.x, q.x, r.x, s.x, t.x) AS filter_order FROM letters p, letters q, letters r, letters s, letters t
+          WHERE p.x NOT IN (q.x, r.x, s.x, t.x) AND q.x NOT IN (r.x, s.x, t.x) AND r.x NOT IN (s.x, t.x) AND s.x <> t.x),
+        failed AS (
+          SELECT part, good, toxic, count(*) AS n,
+                 concat(if(a = 1, 'A', ''), if(b = 1, 'B', ''), if(c = 1, 'C', ''), if(d = 1, 'D', ''), if(e = 1, 'E', '')) AS fails
+          FROM sets GROUP BY ALL),
+        steps AS (
+          SELECT part, filter_order, step::INT AS step, n, good, toxic, fails, contains(fails, filter_order[step]) AS hit,
+                 length(translate(filter_order[1:step - 1], fails, '')) < step - 1 AS earlier
+          FROM failed, orders, range(1, 6) s(step)),
+        told AS (
+          SELECT part, filter_order, step, filter_order[step] AS letter,
+                 sum(n) FILTER (NOT hit AND NOT earlier) AS kept, sum(n) FILTER (hit AND NOT earlier) AS removed,
+                 sum(n) FILTER (hit AND earlier) AS redundant, sum(n) FILTER (fails = filter_order[step]) AS unique_fails,
+                 sum(n * good) FILTER (hit AND NOT earlier) AS good_lost, sum(n * toxic) FILTER (hit AND NOT earlier) AS toxic_lost
+          FROM steps GROUP BY ALL)
+        SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+               coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+               coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+               coalesce(sum(removed) OVER (PARTITION BY part, letter), 0)::BIGINT AS shapley
+        FROM told""",
 }
