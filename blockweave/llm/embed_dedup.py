@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import connected_components, materialize, ordered_numbers
@@ -31,6 +31,13 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _unit_column(v: Column) -> Column:
+    """As ``unit``; each step's number is bound once to a lambda variable, not worked out again for each entry."""
+    scaled = F.transform(F.array(F.array_max(F.transform(v, F.abs))), lambda m: F.transform(v, lambda x: x / m))[0]
+    norms = F.transform(F.array(scaled), lambda y: F.struct(y.alias("y"), F.sqrt(F.aggregate(y, F.lit(0.0), lambda s, x: s + x * x)).alias("n")))
+    return F.transform(norms, lambda z: F.transform(z.y, lambda x: x / z.n))[0]
+
+
 def chord(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * cosine))
 
@@ -144,8 +151,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         level = materialize(level.select("pid", "m", "v", "node", F.col("child"), "centre", "far", F.concat("path", F.array("child")).alias("path")), "level")
         # a node that is not split is its own only child, with no bound to prune by
         nodes = level.groupBy("node", "child").agg(F.max("far").alias("radius"), F.sum("m").alias("weight"), F.min("pid").alias("rep"), F.min("centre").alias("centre"))
-        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-        middle = points.select(F.col("pid").alias("centre"), F.transform("v", lambda x: x.cast("double") / norm).alias("c"))
+        middle = points.select(F.col("pid").alias("centre"), _unit_column(F.transform("v", lambda x: x.cast("double"))).alias("c"))
         nodes = materialize(nodes.join(middle, "centre", "left").drop("centre"), "nodes")
         x = nodes.select(F.col("node").alias("a"), F.col("child").alias("ca"), F.col("c").alias("va"), F.col("radius").alias("ra"), "weight", "rep")
         y = nodes.select(F.col("node").alias("b"), F.col("child").alias("cb"), F.col("c").alias("vb"), F.col("radius").alias("rb"), F.col("weight").alias("weight_b"), F.col("rep").alias("rep_b"))

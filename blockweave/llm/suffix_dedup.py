@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._hashing import mix
+from ._hashing import eights, mix
 from ._shared import materialize, ordered_numbers, small_batches
 
 STEP = 1 << 16  # bytes fingerprinted at once
@@ -41,18 +41,30 @@ def _powers(size: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Names:
-    """Fingerprints of any parts of at most STEP + match bytes, from running sums."""
+    """Fingerprints of any parts of ``least`` to STEP + match bytes, from running sums.
 
-    def __init__(self, part: np.ndarray, match: int, salt: int = 50):
+    What is summed are not bytes but mixed numbers of up to eight neighbouring bytes: sums of the bytes' own values times powers
+    modulo 2^64 have pairs of texts in common whatever the base.
+    """
+
+    def __init__(self, part: np.ndarray, match: int, least: int, salt: int = 50):
         self.up, down, value = _powers(STEP + match + 1, salt)
+        self.gram = min(8, least)
+        own = value[part]
+        if self.gram > 1:
+            short = np.uint64(64 - 8 * self.gram)
+            own = mix((eights(part)[:-1] << short) ^ value[self.gram])
         self.total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(value[part] * down[: len(part)], out=self.total[1:])
+        np.cumsum(own * down[: len(part)], out=self.total[1:])
 
     def every(self, size: int) -> np.ndarray:
-        return mix((self.total[size:] - self.total[:-size]) * self.up[: len(self.total) - size])
+        """Of all parts of ``size`` bytes."""
+        n = size - self.gram + 1
+        sums = (self.total[n:] - self.total[:-n]) * self.up[: len(self.total) - n]
+        return mix(sums[: len(self.total) - size])
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((self.total[b] - self.total[a]) * self.up[a] + (b - a).astype(np.uint64))
+        return mix((self.total[b - self.gram + 1] - self.total[a]) * self.up[a] + (b - a).astype(np.uint64))
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -82,7 +94,7 @@ def stretches(data: np.ndarray, ends: np.ndarray, match: int, gap: int) -> Itera
         at = np.flatnonzero(good[a:b])
         if not len(at):
             continue
-        names = Names(data[a : b + match - 1], match)
+        names = Names(data[a : b + match - 1], match, match + 1 - gap)
         key = _least(names.every(match + 1 - gap), gap)[at]
         first = np.ones(len(at), bool)
         first[1:] = (key[1:] != key[:-1]) | (np.diff(at) != 1)
@@ -239,7 +251,7 @@ def _induce(match: int, buckets: int, per_id: int):
                     continue
                 part = data[lo : hi + match - 1]
                 own = np.searchsorted(at[1:], p + lo, "right")
-                name, check = (Names(part, match, salt).of(p, p + match) for salt in (50, 51))
+                name, check = (Names(part, match, match, salt).of(p, p + match) for salt in (50, 51))
                 held.append({"name": name, "whole": check, "doc": ids[own], "start": p + lo - at[own], "length": np.ones(len(p), np.int64), "state": np.full(len(p), TRAVEL, np.uint8)})
                 n += len(p)
                 if n >= RUN_TUPLES:

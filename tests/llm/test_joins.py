@@ -161,3 +161,28 @@ def test_ngram_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = QUERIES["op7_ngram_join"](spark, sf).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_join(rows, 3, 90)
+
+
+def test_words_over_a_kilobyte_stay_apart(spark):
+    """A word of 1,024 letters by the parity of its places' bits, and its complement: sums of powers modulo 2^64 agree on them."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    long = "z" * 3_000_000
+    rows = [(1, word), (2, other), (3, word), (4, f"x {word} y"), (5, f"x {other} y"), (6, long), (7, long), (8, long[:-1] + "y"), (9, "abcdefgh"), (10, "abcdefghi"), (11, "abcdefgh\0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join(df, n_words=3, percent=90).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8, 9: 9, 10: 10, 11: 11}
+
+
+def test_embeddings_of_any_size(spark):
+    rnd = np.random.default_rng(8)
+    base = rnd.normal(size=(12, 16))
+    vectors = np.repeat(base, 200, axis=0) + rnd.normal(size=(2400, 16)) * 0.15
+    want = None
+    for scale in (1.0, 1e200, 1e-200):
+        df = spark.createDataFrame([(i, (v * scale).tolist(), 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup(df, threshold=0.98).collect()}
+        want = want or got
+        assert got == want
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    assert [want[i][0] for i in range(len(units))] == ((units @ units.T >= 0.98).sum(axis=1) - 1).tolist()

@@ -114,3 +114,9 @@ def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op8_suffix_dedup"](spark, sf).collect())
     assert got == sorted((*x[:4], hashlib.sha256(x[4]).hexdigest()) for x in brute(rows, 50))
+
+
+def test_strings_that_share_sums_of_powers_are_different(spark):
+    word = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    rows = [(1, word[:1024]), (2, word[1024:]), (3, "x" + word[1024:] + "y")]
+    assert run(spark, rows, match=1024, gap=1) == brute(rows, 1024)
