@@ -1,4 +1,4 @@
-"""Markov chains over solutions: transition graphs, their analysis, and samplers.
+"""Markov chains over solutions: analysis of their graphs, and samplers.
 
 Each area's chain is independent of the others, so areas run in parallel and a chain's own steps inside one task.
 States are multiplicity vectors over the elements that fit the area's counts.
@@ -7,10 +7,10 @@ States are multiplicity vectors over the elements that fit the area's counts.
 from __future__ import annotations
 
 import bisect
-import itertools
 import math
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,6 @@ from .solve import MAX_NODES, element_list, search, solution_probs
 MAX_STATES = 20_000
 #: States with so many distinct removals at most get their whole row of the chain.  This decides cost, never chances.
 ROW_REMOVALS = 2_000
-EDGES = "src int, dst int, weight double"
 
 
 def log_prob(x: np.ndarray, logp: np.ndarray) -> float:
@@ -55,141 +54,6 @@ def partial_states(counts: np.ndarray, v: np.ndarray) -> list[tuple[int, ...]]:
     return sorted(s for s, _ in states)
 
 
-def reduced_edges(counts: np.ndarray, v: np.ndarray, logp: np.ndarray, k: int) -> tuple[list, list]:
-    """Chain over exact solutions: half lazy; k elements are taken out, and refilled by the likelihood of the whole."""
-    states = exact_states(counts, v, logp)
-    number = {s: i for i, s in enumerate(states)}
-    edges: dict[tuple[int, int], float] = {}
-    for i, s in enumerate(states):
-        n = sum(s)
-        kk = min(k, n)
-        for r in itertools.product(*[range(min(m, kk) + 1) for m in s]):
-            if sum(r) != kk:
-                continue
-            keep = np.array(s) - r
-            fill = exact_states(np.array(r) @ v, v, logp)
-            to = [tuple(int(a) for a in keep + np.array(f)) for f in fill]
-            lw = np.array([log_prob(np.array(t), logp) for t in to])
-            w = np.exp(lw - lw.max())
-            for t, p in zip(to, w / w.sum(), strict=True):
-                if t in number and number[t] != i:
-                    edges[i, number[t]] = edges.get((i, number[t]), 0.0) + p / (2 * math.comb(n, kk))
-    return states, _with_loops(edges, len(states))
-
-
-def _with_loops(edges: dict[tuple[int, int], float], n: int) -> list[tuple[int, int, float]]:
-    out = np.zeros(n)
-    for (a, _), w in edges.items():
-        out[a] += w
-    return sorted([(a, b, w) for (a, b), w in edges.items()] + [(i, i, 1 - out[i]) for i in range(n)])
-
-
-def gibbs_edges(counts: np.ndarray, v: np.ndarray, logp: np.ndarray, gamma: float) -> tuple[list, list]:
-    """Lazy heat bath: one element's multiplicity is redrawn by likelihood and exp(-gamma x what is left)."""
-    states = partial_states(counts, v)
-    number = {s: i for i, s in enumerate(states)}
-    weight = np.array([log_prob(np.array(s), logp) - gamma * (counts - np.array(s) @ v).sum() for s in states])
-    edges: dict[tuple[int, int], float] = {}
-    for i, s in enumerate(states):
-        for e in range(len(v)):
-            line, n = [], 0
-            while (t := (*s[:e], n, *s[e + 1 :])) in number:
-                line.append(number[t])
-                n += 1
-            w = np.exp(weight[line] - weight[line].max())
-            for j, p in zip(line, w / w.sum(), strict=True):
-                if j != i:
-                    edges[i, j] = edges.get((i, j), 0.0) + p / (2 * len(v))
-    return states, _with_loops(edges, len(states))
-
-
-def simple_edges(counts: np.ndarray, v: np.ndarray, logp: np.ndarray, gamma: float) -> tuple[list, list]:
-    """Lazy Metropolis: a multiplicity of one element is proposed and taken by the ratio of weights."""
-    states = partial_states(counts, v)
-    number = {s: i for i, s in enumerate(states)}
-    weight = [log_prob(np.array(s), logp) - gamma * (counts - np.array(s) @ v).sum() for s in states]
-    most = [int((counts[x > 0] // x[x > 0]).min()) for x in v]
-    edges = {}
-    for i, s in enumerate(states):
-        for e in range(len(v)):
-            for n in range(most[e] + 1):
-                j = number.get((*s[:e], n, *s[e + 1 :]))
-                if j is not None and j != i:
-                    edges[i, j] = min(1.0, math.exp(weight[j] - weight[i])) / (2 * len(v) * most[e])
-    return states, _with_loops(edges, len(states))
-
-
-KINDS: dict[str, Callable] = {"reduced": reduced_edges, "gibbs": gibbs_edges, "simple": simple_edges}
-
-
-def transition_graphs(targets: DataFrame, elements: DataFrame, key: str, counts: str, kind: str, param: float) -> DataFrame:
-    """Edges (key, kind, param, src, dst, weight, left_src, left_dst, log_pi_src); left is what a state leaves of the counts."""
-    held, build = element_list(elements), KINDS[kind]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for k, c in zip(pdf[key], pdf[counts], strict=True):
-                c = np.array(c, int)
-                v, logp = eligible(c, held)
-                states, edges = build(c, v, logp, int(param) if kind == "reduced" else param)
-                left = [int((c - np.array(s) @ v).sum()) for s in states]
-                gamma = 0.0 if kind == "reduced" else param
-                lw = [log_prob(np.array(s), logp) - gamma * x for s, x in zip(states, left, strict=True)]
-                rows += [(k, kind, param, a, b, w, left[a], left[b], lw[a]) for a, b, w in edges]
-            yield pd.DataFrame(rows, columns=[key, "kind", "param", "src", "dst", "weight", "left_src", "left_dst", "log_pi_src"])
-
-    k = targets.schema[key].dataType.simpleString()
-    return targets.select(key, counts).mapInPandas(run, f"{key} {k}, kind string, param double, {EDGES}, left_src int, left_dst int, log_pi_src double")
-
-
-def spectral_gap(edges: DataFrame, group: list[str]) -> DataFrame:
-    """(group, num_states, is_connected, spectral_gap, tolerance) of each graph; 1 - |second eigenvalue|.
-
-    A graph is one group: its size is bounded by MAX_STATES.  Up to 3000 states all eigenvalues are computed; above,
-    a deflated power iteration on the chain made symmetric, whose last change is the tolerance.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.concatenate([pdf["src"], pdf["dst"]]))
-        a, b, w = np.searchsorted(ids, pdf["src"]), np.searchsorted(ids, pdf["dst"]), pdf["weight"].to_numpy()
-        n, tol = len(ids), 0.0
-        seen, front = np.zeros(n, bool), np.array([0])
-        seen[0] = True
-        while len(front):
-            nxt = np.unique(b[np.isin(a, front) & (w > 0)])
-            front = nxt[~seen[nxt]]
-            seen[front] = True
-        if n == 1:
-            gap = 1.0
-        elif n <= 3000:
-            p = np.zeros((n, n))
-            np.add.at(p, (a, b), w)
-            gap = 1 - np.sort(np.abs(np.linalg.eigvals(p)))[-2]
-        else:
-            lw = np.zeros(n)
-            lw[a] = pdf["log_pi_src"].to_numpy()
-            root = np.exp((lw - lw.max()) / 2)
-            root /= np.linalg.norm(root)
-            s = w * root[a] / root[b]
-            x = np.random.default_rng(0).normal(size=n)
-            last = 0.0
-            for _ in range(5000):
-                x -= root * (root @ x)
-                x /= np.linalg.norm(x)
-                y = np.bincount(a, s * x[b], n)
-                now = float(x @ y)
-                x, tol = y, abs(now - last)
-                if tol < 1e-12:
-                    break
-                last = now
-            gap = 1 - abs(now)
-        return pd.DataFrame([{**{g: pdf[g].iloc[0] for g in group}, "num_states": n, "is_connected": bool(seen.all()), "spectral_gap": float(np.real(gap)), "tolerance": tol}])
-
-    schema = ", ".join(f"{g} {edges.schema[g].dataType.simpleString()}" for g in group)
-    return edges.groupBy(*group).applyInPandas(run, f"{schema}, num_states long, is_connected boolean, spectral_gap double, tolerance double")
-
-
 def solution_density(edges: DataFrame, group: list[str]) -> DataFrame:
     """Share of the stationary mass on exact solutions, and their number."""
     nodes = edges.groupBy(*group, "src").agg(F.max("log_pi_src").alias("l"), F.max("left_src").alias("left"))
@@ -224,15 +88,14 @@ def layer_conductance(edges: DataFrame, group: list[str], product_form: bool = F
 
 
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """Nodes reachable from ``start`` (node): the frontier joins the edges until it is empty."""
-    seen = start.select("node").distinct()
-    front = seen
+    """Nodes reachable from ``start`` (node): the frontier joins the edges until it is empty; each frontier is written once."""
+    fronts = [start.select("node").distinct()]
     while True:
-        step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        front = written(step.join(seen, "node", "left_anti"))
+        step = fronts[-1].join(edges, fronts[-1]["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        front = written(step.join(reduce(DataFrame.union, fronts), "node", "left_anti"))
         if front.isEmpty():
-            return seen
-        seen = written(seen.union(front))
+            return reduce(DataFrame.union, fronts)
+        fronts.append(front)
 
 
 def chain_rng(seed: int, key) -> np.random.Generator:

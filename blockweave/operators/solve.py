@@ -10,6 +10,7 @@ import heapq
 import math
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,14 @@ from pyspark.sql import functions as F
 from blockweave.functions.vectors import log_likelihood
 from blockweave.sources.scratch import written
 
+from . import kbest
+
 MAX_ELEMENTS = 200_000
-MAX_NODES = 2_000_000
+#: States of one area's search: about 16 bytes each.
+MAX_NODES = 10_000_000
+#: With so many fitting types at most a plain search of a few nodes is tried first.  This decides cost, never results.
+FEW_TYPES = 32
+PLAIN_NODES = 2_000
 
 
 def lexicographic(elements: DataFrame, vector: str = "v") -> DataFrame:
@@ -35,16 +42,46 @@ def element_list(elements: DataFrame) -> list[tuple[int, tuple[int, ...], float]
     return [(r.elem_id, tuple(r.v), r.p) for r in rows if any(r.v)]
 
 
-def search(counts: tuple[int, ...], elements: list[tuple[int, tuple[int, ...], float]], n_best: int, max_nodes: int = MAX_NODES) -> tuple[list[tuple[float, dict[int, int]]], bool]:
-    """(cost, {elem_id: n}) of the ``n_best`` solutions with the least sum of -ln p, best first; and whether the search ended.
+class Types(NamedTuple):
+    """The table of household types as arrays, by id."""
+
+    ids: np.ndarray
+    v: np.ndarray
+    cost: np.ndarray
+
+
+def types_of(elements: list[tuple[int, tuple[int, ...], float]]) -> Types:
+    rows = sorted(elements)
+    return Types(np.array([e for e, _, _ in rows], np.int64), np.array([v for _, v, _ in rows], np.int32).reshape(len(rows), len(rows[0][1]) if rows else 0), -np.log(np.array([p for _, _, p in rows], float)))
+
+
+def search(counts: tuple[int, ...], elements: list[tuple[int, tuple[int, ...], float]] | Types, n_best: int, max_nodes: int = MAX_NODES) -> tuple[list[tuple[float, dict[int, int]]], bool]:
+    """(cost, {elem_id: n}) of the ``n_best`` solutions with the least sum of -ln p, best first; and whether they are certain.
+
+    Few types are searched plainly, others (and what that does not end on) by the k-best dynamic program, in ``max_nodes`` states.
+    Counts under 0 have no solution.  Ties go to the multiset that comes first by element.
+    """
+    if min(counts, default=0) < 0:
+        return [], True
+    types = elements if isinstance(elements, Types) else types_of(elements)
+    fit = np.flatnonzero((types.v <= np.array(counts)).all(axis=1)) if len(types.ids) else np.zeros(0, int)
+    if len(fit) <= FEW_TYPES:
+        few = [(int(types.ids[i]), tuple(types.v[i].tolist()), math.exp(-types.cost[i])) for i in fit]
+        best, ended = plain_search(counts, few, n_best, min(max_nodes, PLAIN_NODES))
+        if ended:
+            return best, True
+    best, certain = kbest.n_best(np.array(counts), types.v[fit], types.cost[fit], n_best, max_nodes)
+    return [(c, {int(types.ids[fit[e]]): k for e, k in x}) for c, x in best], certain
+
+
+def plain_search(counts: tuple[int, ...], elements: list[tuple[int, tuple[int, ...], float]], n_best: int, max_nodes: int) -> tuple[list[tuple[float, dict[int, int]]], bool]:
+    """As ``search``, for few types; and whether it ended within ``max_nodes`` nodes.
 
     Depth first over the elements that fit, those with the least cost a person first.  What is left of each count costs
     at least as much as the cheapest later element asks for it; a branch whose cost with that is over the worst of the
     ``n_best`` best found ends, and so does one with a count that no later element fills.  The last element that fills
-    a count has no choice.  Counts under 0 have no solution.  Ties go to the multiset that comes first by element.
+    a count has no choice.
     """
-    if min(counts, default=0) < 0:
-        return [], True
     fit = [(e, v, -math.log(p)) for e, v, p in elements if all(a <= c for a, c in zip(v, counts, strict=True))]
     fit.sort(key=lambda x: (x[2] / sum(x[1]), x[0]))
     dims = range(len(counts))
@@ -111,10 +148,11 @@ def enumerate_solutions(targets: DataFrame, elements: DataFrame, key: str, count
     log_w is the multiset's log-likelihood with the number of its orders.  ``complete`` is false where the pool was
     full or the search stopped.  Null counts have no solution.
     """
-    held = element_list(elements)
-    logp = {e: math.log(p) for e, _, p in held}
+    table = targets.sparkSession.sparkContext.broadcast(types_of(element_list(elements)))  # MAX_ELEMENTS rows at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = table.value
+        logp = dict(zip(held.ids.tolist(), (-held.cost).tolist(), strict=True))
         for pdf in batches:
             rows = []
             for c in pdf["_counts"]:

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockweave.functions import bounds, chance, vectors
-from blockweave.operators import chains, noise, solve, swap
+from blockweave.operators import chains, dist, noise, solve, spectrum, swap, transitions
 from blockweave.operators.assemble import to_output
 from blockweave.plans.catalog_tables import UNI, Tables, r
+from blockweave.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -221,6 +222,31 @@ def topn_solutions(t):
     return got.select("block", "sol_rank", _n(1).alias("x"), _n(2).alias("y"), _n(3).alias("z"), r("cost").alias("cost"))
 
 
+# areas of a customer's orders in a quarter, the types of these orders: returned lines, other lines, and the order itself
+_HOMES = """SELECT o_custkey * 100 + (year(o_orderdate) - 1990) * 4 + quarter(o_orderdate) - 1 AS block, r, m FROM orders JOIN
+    (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R')::INT AS r, count(*) FILTER (l_returnflag <> 'R')::INT AS m FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey"""
+
+
+@query(f"""WITH RECURSIVE homes AS ({_HOMES}),
+    types AS (SELECT row_number() OVER (ORDER BY r, m) AS id, r, m, -ln(count(*)::DOUBLE / (SELECT count(*) FROM homes)) AS cost FROM homes GROUP BY r, m),
+    areas AS (SELECT block, sum(r) AS r, sum(m) AS m, count(*) AS k FROM homes GROUP BY block),
+    sets(k, ids, r, m, cost) AS (SELECT 0, CAST([] AS BIGINT[]), 0, 0, 0.0::DOUBLE UNION ALL
+      SELECT s.k + 1, list_append(s.ids, t.id), s.r + t.r, s.m + t.m, s.cost + t.cost FROM sets s JOIN types t ON s.k = 0 OR t.id >= s.ids[s.k] WHERE s.k < (SELECT max(k) FROM areas)),
+    ranked AS (SELECT block, row_number() OVER (PARTITION BY block ORDER BY round(cost, 9), list_transform(list_distinct(ids).list_sort(), lambda i: [i, -len(list_filter(ids, lambda j: j = i))])) AS sol_rank, ids, cost
+      FROM areas JOIN sets USING (k, r, m))
+    SELECT block, sol_rank::INT AS sol_rank, array_to_string(ids, ',') AS homes, round(cost, 6) AS cost FROM ranked WHERE sol_rank <= 10""")
+def block_solutions(t):
+    """The ten likeliest ways to make up each area of the types of all orders; SQL tries all multisets."""
+    flags = [F.count_if(c).cast("int").alias(n) for n, c in (("r", F.col("l_returnflag") == "R"), ("m", F.col("l_returnflag") != "R"))]
+    home = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*flags).select("o_orderkey", F.array("r", "m", F.lit(1)).alias("v"))
+    block = (F.col("o_custkey") * 100 + (F.year("o_orderdate") - 1990) * 4 + F.quarter("o_orderdate") - 1).alias("block")
+    homes = written(t.orders.join(home, "o_orderkey").select(block, "v"))
+    areas = homes.groupBy("block").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(3)]).cast("array<int>").alias("counts"))
+    got = solve.enumerate_solutions(areas, solve.lexicographic(dist.empirical(homes, ["v"])), "block", "counts", n_best=10)
+    ids = F.flatten(F.transform("elems", lambda x: F.array_repeat(x.elem_id, x.n)))
+    return got.select("block", "sol_rank", F.array_join(ids.cast("array<string>"), ",").alias("homes"), r("cost").alias("cost"))
+
+
 @query(f"SELECT block, x, y, z, round(exp(log_w - m) / sum(exp(log_w - m)) OVER (PARTITION BY block), 6) AS p FROM (SELECT *, max(log_w) OVER (PARTITION BY block) AS m FROM ({COST_SQL}))")
 def solution_probabilities(t):
     got = solve.solution_probs(solve.enumerate_solutions(_areas(t), _parcels(t), "block", "counts"), "block")
@@ -278,40 +304,143 @@ def level_relaxation(t):
 # -- chains
 
 
-def _toy_graph(t: Tables, kind: str, param: float) -> DataFrame:
-    return chains.transition_graphs(toy_targets(t.spark), toy_elements(t.spark), "block", "counts", kind, param)
+def _area_graph(t: Tables, kind: str, param: float) -> DataFrame:
+    """The graphs of all areas; areas with the same counts have the same graph, named by the counts."""
+    c = F.col("counts")
+    targets = _areas(t).select("counts", (c[0] * 100 + c[1]).cast("long").alias("area")).distinct()
+    return transitions.transition_graphs(targets, _parcels(t), "area", "counts", kind, param)
+
+
+def _only(i: int):
+    return lambda x: F.when(x == i, x)
+
+
+def _parcel_text(elems: str):
+    """How many parcels of each size a state has."""
+    return F.concat_ws(",", *[F.size(F.array_compact(F.transform(elems, _only(i)))).cast("string") for i in (1, 2, 3)])
+
+
+AREA_SQL = f"SELECT DISTINCT c1 * 100 + c2 AS area, c1, c2 FROM ({TARGET_SQL})"
+WEIGHT = "x * ln(0.5) + y * ln(0.2) + z * ln(0.3) + lgamma(x + y + z + 1) - lgamma(x + 1) - lgamma(y + 1) - lgamma(z + 1)"
+
+
+def _state_sql(gamma: float) -> str:
+    """All multisets of parcels within the counts of an area: left_, lw (log weight), m (sizes that fit)."""
+    return f"""SELECT *, {WEIGHT} - {gamma} * left_ AS lw, (c1 >= 1)::INT + (c1 >= 1 AND c2 >= 1)::INT + (c1 >= 2 AND c2 >= 1)::INT AS m
+        FROM (SELECT *, c1 - x - y - 2 * z + c2 - y - z AS left_ FROM ({AREA_SQL}), LATERAL (SELECT unnest(range(0, c1 + 1)) AS x), LATERAL (SELECT unnest(range(0, c2 + 1)) AS y), LATERAL (SELECT unnest(range(0, c2 + 1)) AS z))
+        WHERE x + y + 2 * z <= c1 AND y + z <= c2"""
+
 
+def _line_sql(kind: str, gamma: float) -> str:
+    """(area, src, dst, weight, lw, left_, left_to): moves between states that differ in one size, and loops."""
+    weight = "exp(b.lw) / b.mass / (2 * a.m)" if kind == "gibbs" else "least(1.0, exp(b.lw - a.lw)) / (2 * a.m * a.most)"
+    return f"""WITH s AS ({_state_sql(gamma)}), l AS (SELECT *, sum(exp(lw)) OVER (PARTITION BY area, e, k1, k2) AS mass FROM (
+          SELECT *, 'x' AS e, y AS k1, z AS k2, x AS n, c1 AS most FROM s UNION ALL SELECT *, 'y', x, z, y, least(c1, c2) FROM s UNION ALL SELECT *, 'z', x, y, z, least(c1 // 2, c2) FROM s)),
+        moves AS (SELECT a.area, concat_ws(',', a.x, a.y, a.z) AS src, concat_ws(',', b.x, b.y, b.z) AS dst, {weight} AS weight, a.lw, a.left_, b.left_ AS left_to FROM l a JOIN l b USING (area, e, k1, k2) WHERE a.n <> b.n)
+        SELECT * FROM moves UNION ALL SELECT s.area, concat_ws(',', x, y, z) AS src, concat_ws(',', x, y, z), 1 - coalesce(out, 0), lw, left_, left_ FROM s
+        LEFT JOIN (SELECT area, src, sum(weight) AS out FROM moves GROUP BY 1, 2) o ON o.area = s.area AND o.src = concat_ws(',', x, y, z)"""
 
-@query("SELECT * FROM (VALUES (0, 0, 0.96::DOUBLE), (0, 1, 0.04::DOUBLE), (1, 0, 0.01::DOUBLE), (1, 1, 0.99::DOUBLE)) x(src, dst, weight)")
+
+# two parcels, or the only one, are taken out (rx, ry, rz) and refilled by (a - b - fz, b - fz, fz) of the same counts (a, b)
+REDUCED_SQL = f"""WITH s AS (SELECT *, {WEIGHT} AS lw, x + y + z AS n, least(2, x + y + z) AS k FROM (SELECT area, c1 - c2 - z AS x, c2 - z AS y, z FROM ({AREA_SQL}), LATERAL (SELECT unnest(range(0, c2 + 1)) AS z)) WHERE x >= 0),
+    r AS (SELECT *, rx + ry + 2 * rz AS a, ry + rz AS b FROM s, range(0, 3) u(rx), range(0, 3) v(ry), range(0, 3) w(rz) WHERE rx + ry + rz = k AND rx <= x AND ry <= y AND rz <= z),
+    f AS (SELECT r.*, x - rx + a - b - fz AS tx, y - ry + b - fz AS ty, z - rz + fz AS tz FROM r, range(0, 5) q(fz) WHERE fz <= b AND fz <= a - b),
+    g AS (SELECT f.*, s.lw AS lw_to, exp(s.lw) / sum(exp(s.lw)) OVER (PARTITION BY f.area, f.x, f.y, f.z, rx, ry, rz) AS p FROM f JOIN s ON s.area = f.area AND s.x = tx AND s.y = ty AND s.z = tz),
+    moves AS (SELECT area, concat_ws(',', x, y, z) AS src, concat_ws(',', tx, ty, tz) AS dst, sum(p / (2 * CASE k WHEN 2 THEN n * (n - 1) / 2 ELSE 1 END)) AS weight, lw FROM g WHERE (x, y, z) <> (tx, ty, tz) GROUP BY ALL)
+    SELECT * FROM moves UNION ALL SELECT s.area, concat_ws(',', x, y, z) AS src, concat_ws(',', x, y, z), 1 - coalesce(out, 0), lw FROM s LEFT JOIN (SELECT area, src, sum(weight) AS out FROM moves GROUP BY 1, 2) o ON o.area = s.area AND o.src = concat_ws(',', x, y, z)"""
+
+
+def _edge_rows(g: DataFrame) -> DataFrame:
+    return g.select("area", _parcel_text("elems_src").alias("src"), _parcel_text("elems_dst").alias("dst"), r("weight", 9).alias("weight"))
+
+
+@query(f"SELECT area, src, dst, round(weight, 9) AS weight FROM ({REDUCED_SQL})")
 def transition_graph(t):
-    return _toy_graph(t, "reduced", 2).select("src", "dst", r("weight").alias("weight"))
+    """The chain over exact solutions that refills two parcels, for the counts of all areas."""
+    return _edge_rows(_area_graph(t, "reduced", 2))
+
+
+@query(f"SELECT area, src, dst, round(weight, 9) AS weight FROM ({_line_sql('gibbs', 0.8)})")
+def gibbs_graph(t):
+    return _edge_rows(_area_graph(t, "gibbs", 0.8))
 
 
-@query("SELECT * FROM (VALUES (0.0::DOUBLE, 32, 2, 0.007064142::DOUBLE), (1.0::DOUBLE, 32, 2, 0.257673618::DOUBLE), (2.0::DOUBLE, 32, 2, 0.5987635::DOUBLE)) x(gamma, num_states, num_solutions, density)")
+@query(f"SELECT area, src, dst, round(weight, 9) AS weight FROM ({_line_sql('simple', 0.8)})")
+def simple_graph(t):
+    return _edge_rows(_area_graph(t, "simple", 0.8))
+
+
+@query(" UNION ALL ".join(f"SELECT area, {g}::DOUBLE AS gamma, count(*) AS num_states, count(*) FILTER (left_ = 0) AS num_solutions, round(coalesce(sum(exp(lw)) FILTER (left_ = 0), 0) / sum(exp(lw)), 9) AS density FROM ({_state_sql(g)}) GROUP BY 1" for g in (0.0, 1.0, 2.0)))
 def frontier_expand(t):
-    parts = [chains.solution_density(_toy_graph(t, "gibbs", g), ["param"]) for g in (0.0, 1.0, 2.0)]
+    """All multisets within the counts of each area, and the share of exact ones, for three penalties on what is left."""
+    parts = [chains.solution_density(_area_graph(t, "gibbs", g), ["area", "param"]) for g in (0.0, 1.0, 2.0)]
     d = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return d.select(F.col("param").alias("gamma"), F.col("num_states").cast("int").alias("num_states"), F.col("num_solutions").cast("int").alias("num_solutions"), r("solution_density", 9).alias("density"))
+    return d.select("area", F.col("param").alias("gamma"), "num_states", "num_solutions", r("solution_density", 9).alias("density"))
+
 
+def _kept_sql(kind: str, edges: str) -> str:
+    """Whether a step keeps the distribution by the states' weights; taking two parcels out does where all solutions have as many."""
+    return f"""SELECT area, '{kind}' AS kind, count(*) AS num_states, max(abs(pi - q)) < 1e-12 AS stationary FROM (
+        SELECT area, src, exp(lw) / sum(exp(lw)) OVER (PARTITION BY area) AS pi FROM (SELECT area, src, any_value(lw) AS lw FROM ({edges}) GROUP BY 1, 2)) p JOIN (
+        SELECT area, dst AS src, sum(exp(lw) * weight) / any_value(total) AS q FROM ({edges}) JOIN (SELECT area, sum(lw) AS total FROM (SELECT area, src, any_value(exp(lw)) AS lw FROM ({edges}) GROUP BY 1, 2) GROUP BY 1) USING (area) GROUP BY 1, 2) USING (area, src) GROUP BY 1"""
 
-@query("SELECT * FROM (VALUES ('gibbs', 0.8::DOUBLE, true), ('reduced', 2.0::DOUBLE, true), ('simple', 0.8::DOUBLE, true)) x(kind, param, stationary)")
+
+@query(" UNION ALL ".join(_kept_sql(k, e) for k, e in (("reduced", REDUCED_SQL), ("gibbs", _line_sql("gibbs", 0.8)), ("simple", _line_sql("simple", 0.8)))))
 def stationarity_check(t):
-    parts = [chains.stationarity_error(_toy_graph(t, k, p), ["kind", "param"]) for k, p in (("reduced", 2.0), ("gibbs", 0.8), ("simple", 0.8))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("kind", "param", (F.col("error") < 1e-12).alias("stationary"))
+    """Which chains keep the distribution by their states' weights: the largest change of a step is rounding."""
+    out = []
+    for kind, param in (("reduced", 2.0), ("gibbs", 0.8), ("simple", 0.8)):
+        g = _area_graph(t, kind, param)
+        n = g.groupBy("area").agg(F.count_distinct("src").alias("num_states"))
+        out.append(chains.stationarity_error(g, ["area"]).join(n, "area").select("area", F.lit(kind).alias("kind"), "num_states", (F.col("error") < 1e-12).alias("stationary")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query(None)
 def spectral_gaps(t):
-    parts = [chains.spectral_gap(_toy_graph(t, k, p), ["kind", "param"]) for k, p in (("reduced", 2.0), ("gibbs", 0.8), ("simple", 0.8))]
-    d = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return d.select("kind", "param", "num_states", "is_connected", r("spectral_gap").alias("spectral_gap"))
+    """Gaps of the reduced chains of all areas; pytest holds the operator against all eigenvalues."""
+    d = spectrum.spectral_gaps(_area_graph(t, "reduced", 2), ["kind", "area"])
+    return d.select("kind", "area", "num_states", "is_connected", r("spectral_gap").alias("spectral_gap"))
 
 
-@query(None)
+@query(f"""WITH e AS (SELECT *, exp(lw) AS w FROM ({_line_sql('gibbs', 0.8)})), p AS (SELECT area, src, any_value(left_) AS layer, any_value(w) AS w FROM e GROUP BY 1, 2),
+    pi AS (SELECT *, w / sum(w) OVER (PARTITION BY area) AS pi FROM p), cut AS (SELECT area, layer AS l, sum(sum(pi)) OVER (PARTITION BY area ORDER BY layer) AS inside, row_number() OVER (PARTITION BY area ORDER BY layer DESC) AS rn FROM pi GROUP BY 1, 2),
+    q AS (SELECT cut.area, l, inside, sum(pi.pi * e.weight) AS q FROM cut JOIN pi ON pi.area = cut.area AND pi.layer <= l JOIN e ON e.area = pi.area AND e.src = pi.src AND e.left_to > l WHERE rn > 1 GROUP BY ALL)
+    SELECT area, round(min(q / least(inside, 1 - inside)), 6) AS conductance, round(min(q / (inside * (1 - inside))), 6) AS product_form FROM q GROUP BY 1""")
 def layer_conductance(t):
-    g = _toy_graph(t, "gibbs", 0.8)
-    a, b = chains.layer_conductance(g, ["param"]), chains.layer_conductance(g, ["param"], True)
-    return a.join(b.withColumnRenamed("conductance", "product_form"), "param").select("param", r("conductance").alias("conductance"), r("product_form").alias("product_form"))
+    g = _area_graph(t, "gibbs", 0.8)
+    a, b = chains.layer_conductance(g, ["area"]), chains.layer_conductance(g, ["area"], True)
+    return a.join(b.withColumnRenamed("conductance", "product_form"), "area").select("area", r("conductance").alias("conductance"), r("product_form").alias("product_form"))
+
+
+@query(f"SELECT DISTINCT area, 400::BIGINT AS n_steps, true AS near FROM ({AREA_SQL}) WHERE c2 <= c1")
+def empirical_steps(t):
+    """400 seeded steps of the sampler out of the likeliest solution of each area, against that state's row of the graph."""
+    c = F.col("counts")
+    targets = _areas(t).select("counts", (c[0] * 100 + c[1]).cast("long").alias("area")).distinct()
+    graph = _area_graph(t, "reduced", 2)
+    expand = lambda x: F.flatten(F.transform(x, lambda e: F.array_repeat(e.elem_id, e.n)))
+    start = solve.enumerate_solutions(targets, _parcels(t), "area", "counts", n_best=1).select("area", expand("elems").alias("src"))
+    made = chains.sample_chains(targets, _parcels(t), "area", "counts", steps=1, k=2, chains=400, seed=5).select("area", expand("elems").alias("dst"))
+    far = transitions.empirical_row(made.join(start, "area"), graph, "area")
+    return far.select("area", "n_steps", (F.col("tvd") < 0.12).alias("near"))
+
+
+# pairs of solutions of an area, the likeliest and each other: what can go from the first so that the second remains possible
+@query(f"""WITH s AS (SELECT area, c1 - c2 - z AS x, c2 - z AS y, z FROM ({AREA_SQL}), LATERAL (SELECT unnest(range(0, c2 + 1)) AS z) WHERE c1 - c2 - z >= 0),
+    p AS (SELECT a.area, a.x, a.y, a.z, b.x AS bx, b.y AS bY2, b.z AS bz FROM s a JOIN s b ON a.area = b.area AND (a.x, a.y, a.z) <> (b.x, b.y, b.z))
+    SELECT area, concat_ws(',', x, y, z) AS a, concat_ws(',', bx, bY2, bz) AS b, concat_ws(',', rx, ry, rz) AS removed, concat_ws(',', rx + ry + 2 * rz, ry + rz, rx + ry + rz) AS sub
+    FROM p, range(0, 4) u(rx), range(0, 4) v(ry), range(0, 4) w(rz) WHERE rx + ry + rz = 3 AND rx <= x AND ry <= y AND rz <= z AND x - rx <= bx AND y - ry <= bY2 AND z - rz <= bz""")
+def consistent_removals(t):
+    """Removals of three parcels that lead from one solution of an area to another, for all pairs of solutions."""
+    c = F.col("counts")
+    targets = _areas(t).select("counts", (c[0] * 100 + c[1]).cast("long").alias("area")).distinct()
+    found = solve.enumerate_solutions(targets, _parcels(t), "area", "counts")
+    one = written(found.select("area", F.flatten(F.transform("elems", lambda e: F.array_repeat(e.elem_id, e.n))).alias("a")))
+    pairs = one.join(one.withColumnRenamed("a", "b"), "area").filter("a <> b")
+    parcels = _parcels(t).withColumn("v", F.concat("v", F.array(F.lit(1))))
+    got = transitions.consistent_removals(pairs, parcels, "a", "b", 3)
+    return got.select("area", *[_parcel_text(x).alias(x) for x in ("a", "b", "removed")], F.concat_ws(",", F.transform("sub", lambda x: x.cast("string"))).alias("sub"))
 
 
 NEXT_SQL = "SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events"
