@@ -23,8 +23,12 @@ from .dist import empirical, tvd
 from .solve import MAX_NODES, element_list, search, solution_probs
 
 MAX_STATES = 20_000
+#: A removal with so many refills or more is declined.
+MAX_REFILLS = 2_000
 #: States with so many distinct removals at most get their whole row of the chain.  This decides cost, never chances.
 ROW_REMOVALS = 2_000
+#: and only once they have been met this share of their removals' number: a row solves all of them.
+MET_OFTEN = 0.25
 
 
 def log_prob(x: np.ndarray, logp: np.ndarray) -> float:
@@ -36,10 +40,11 @@ def eligible(counts: np.ndarray, elements: list) -> tuple[np.ndarray, np.ndarray
     return np.array([v for v, _ in fit]).reshape(len(fit), len(counts)), np.array([lp for _, lp in fit])
 
 
-def exact_states(counts: np.ndarray, v: np.ndarray, logp: np.ndarray, max_nodes: int = MAX_NODES) -> list[tuple[int, ...]]:
-    """All exact solutions; an error where they fill the pool or the search was cut off."""
-    best, ended = search(tuple(counts), [(i, tuple(x), math.exp(lp)) for i, (x, lp) in enumerate(zip(v, logp, strict=True))], MAX_STATES, max_nodes)
-    if not ended or len(best) >= MAX_STATES:
+def exact_states(counts: np.ndarray, v: np.ndarray, logp: np.ndarray, max_nodes: int = MAX_NODES, limit: int | None = None) -> list[tuple[int, ...]]:
+    """All exact solutions; an error where they fill the pool (``limit``, else MAX_STATES) or the search was cut off."""
+    limit = limit or MAX_STATES
+    best, ended = search(tuple(counts), [(i, tuple(x), math.exp(lp)) for i, (x, lp) in enumerate(zip(v, logp, strict=True))], limit, max_nodes)
+    if not ended or len(best) >= limit:
         raise OverflowError("too many states")
     return sorted(tuple(sol.get(i, 0) for i in range(len(v))) for _, sol in best)
 
@@ -98,6 +103,20 @@ def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
         fronts.append(front)
 
 
+def refills(sub: np.ndarray, v: np.ndarray, logp: np.ndarray, memo: dict) -> list[tuple[int, ...]]:
+    """All ways to make up the counts of a removal; none where there are MAX_REFILLS or more.
+
+    Such a removal is declined.  So is the way back, which takes out as much: the chain keeps its distribution.
+    """
+    key = tuple(sub)
+    if key not in memo:
+        try:
+            memo[key] = exact_states(sub, v, logp, limit=MAX_REFILLS)
+        except OverflowError:
+            memo[key] = []
+    return memo[key]
+
+
 def chain_rng(seed: int, key) -> np.random.Generator:
     return np.random.default_rng([seed, zlib.crc32(str(key).encode())])
 
@@ -124,9 +143,9 @@ def chain_row(x: tuple[int, ...], v: np.ndarray, logp: np.ndarray, k: int, by_ra
         if left:
             continue
         out = np.array(r, int)
-        if (sub_key := tuple(out @ v)) not in memo:
-            memo[sub_key] = exact_states(out @ v, v, logp)
-        to = [tuple(int(a) for a in here - out + np.array(f)) for f in memo[sub_key]]
+        if not (fills := refills(out @ v, v, logp, memo)):
+            continue
+        to = [tuple(int(a) for a in here - out + np.array(f)) for f in fills]
         lw = np.array([log_prob(np.array(t), logp) for t in to])
         w = np.exp(np.minimum(0.0, lw - log_here)) / len(to) if by_ratio else np.exp(lw - lw.max()) / np.exp(lw - lw.max()).sum()
         for t, p in zip(to, w, strict=True):
@@ -136,13 +155,15 @@ def chain_row(x: tuple[int, ...], v: np.ndarray, logp: np.ndarray, k: int, by_ra
 
 
 def run_exact(x: np.ndarray, v: np.ndarray, logp: np.ndarray, k: int, steps: int, rng: np.random.Generator, memo: dict, kind: str) -> np.ndarray:
-    """``steps`` steps of a lazy chain on exact solutions: those that are not lazy, each a look-up in its state's row."""
-    rows, move = memo.setdefault(("rows", kind), {}), MOVES[kind]
+    """``steps`` steps of a lazy chain on exact solutions: those that are not lazy, each a look-up in its state's row once the state has been met a few times."""
+    rows, met, move = memo.setdefault(("rows", kind), {}), memo.setdefault(("met", kind), {}), MOVES[kind]
     now = tuple(int(a) for a in x)
     for u in rng.random(int(rng.binomial(steps, 0.5))).tolist():
         if now not in rows:
-            rows[now] = chain_row(now, v, logp, k, kind == "metropolis", memo)
-        if (row := rows[now]) is None:
+            met[now] = met.get(now, 0) + 1
+            if met[now] >= MET_OFTEN * math.comb(sum(now), min(k, sum(now))):
+                rows[now] = chain_row(now, v, logp, k, kind == "metropolis", memo)
+        if (row := rows.get(now)) is None:
             now = tuple(int(a) for a in move(np.array(now), v, logp, k, rng, memo))
         elif (i := bisect.bisect_right(row[0], u)) < len(row[1]):
             now = row[1][i]
@@ -156,10 +177,7 @@ def _refills(x: np.ndarray, v: np.ndarray, logp: np.ndarray, k: int, rng: np.ran
     ways = math.prod(math.comb(int(a), int(b)) for a, b in zip(x, r, strict=True))
     if rng.random() >= 1 / ways:
         return []
-    sub = r @ v
-    if (sub_key := tuple(sub)) not in memo:
-        memo[sub_key] = exact_states(sub, v, logp)
-    return [x - r + np.array(f) for f in memo[sub_key]]
+    return [x - r + np.array(f) for f in refills(r @ v, v, logp, memo)]
 
 
 def reduced_move(x: np.ndarray, v: np.ndarray, logp: np.ndarray, k: int, rng: np.random.Generator, memo: dict) -> np.ndarray:
@@ -242,7 +260,7 @@ def sample_chains(targets: DataFrame, elements: DataFrame, key: str, counts: str
                     if not start:
                         continue
                     x, memo = np.array([start[0][1].get(i, 0) for i in range(len(v))]), memos.setdefault(tuple(names), {})
-                    if len(memo) > 100_000 or len(memo.get(("rows", kind), {})) > 20_000:
+                    if len(memo) > 100_000 or len(memo.get(("met", kind), {})) > 100_000:
                         memo.clear()
                     x = run_exact(x, v, logp, k, steps, rng, memo, kind)
                 else:

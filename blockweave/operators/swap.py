@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import zlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockweave.functions.chance import uniform
 from blockweave.sources.scratch import written
 
 #: Share of the rows in each risk class, riskiest first, and the chance of a swap in it.
@@ -48,70 +45,103 @@ def flag_risk(df: DataFrame, flags: list[str], size: str, key: str, shares: dict
     return d.withColumn("risk", risk).withColumn("prob", chance[F.col("risk")]).drop("_b", "_r", "_before", "_total")
 
 
-def nearest_partners(points: DataFrame, bucket: list[str], key: str, x: str, y: str, k: int, cell: float) -> DataFrame:
+def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows in a distinct order: ranges are ranked on their own and shifted by the rows of the ranges before."""
+    d = written(df.repartitionByRange(*order).withColumn("_b", F.spark_partition_id()))
+    per = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    per = per.select("_b", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    ranked = d.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(*order))).join(per, "_b")
+    return ranked.filter(F.col("_before") + F.col("_r") <= n).drop("_b", "_r", "_before")
+
+
+def _least_keys(points: DataFrame, site: list[str], key: str, k: int) -> DataFrame:
+    """The k least keys of each site, first of parts of it: a site with many rows is many tasks."""
+    parts = Window.partitionBy(*site, F.pmod(F.xxhash64(key), F.lit(64))).orderBy(key)
+    few = points.withColumn("_r", F.row_number().over(parts)).filter(F.col("_r") <= k).drop("_r")
+    return few.withColumn("_r", F.row_number().over(Window.partitionBy(*site).orderBy(key))).filter(F.col("_r") <= k).drop("_r")
+
+
+def nearest_partners(points: DataFrame, bucket: list[str], key: str, x: str, y: str, k: int, cell: float, apart: str | None = None, asking: DataFrame | None = None) -> DataFrame:
     """(key, partner, distance, rank) of the k nearest other points at a distance over zero with the same bucket.
 
-    Only points in the 3 x 3 cells around a point are compared; where they hold fewer than k within one cell size, the search is
+    Partners differ in ``apart``, where given; ``asking`` (key) are the points that look for partners, all where not given.  Points that
+    lie together are one site: sites are compared, each stands for its k least keys, and what a site finds holds for all its points.
+    Only sites in the 3 x 3 cells around one are compared; where they hold fewer than k points within one cell size, the search is
     repeated with cells twice as wide, until all are found or a cell holds the whole bucket.
     """
-    pts = written(points.select(*bucket, key, x, y))
-    span = pts.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"), F.greatest(F.max(x) - F.min(x), F.max(y) - F.min(y)).alias("_span"))
-    todo, out = pts, None
+    site = [*bucket, *([apart] if apart else []), x, y]
+    pts = written(points.select(*site, key))
+    shown = written(_least_keys(pts, site, key, k))
+    span = pts.groupBy(*bucket).agg(F.greatest(F.max(x) - F.min(x), F.max(y) - F.min(y)).alias("_span"))
+    todo = written((pts if asking is None else pts.join(asking.select(key), key, "left_semi")).select(*site).distinct().withColumn("_site", F.xxhash64(*site)))
+    if todo.groupBy("_site").count().filter("count > 1").limit(1).count():
+        raise RuntimeError("two sites share a name")
+    out = None
     while True:
-        grid = pts.select(*bucket, F.col(key).alias("partner"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.floor(F.col(x) / cell).alias("_cx"), F.floor(F.col(y) / cell).alias("_cy"))
+        grid = shown.select(*bucket, *([F.col(apart).alias("_apart")] if apart else []), F.col(key).alias("partner"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.floor(F.col(x) / cell).alias("_cx"), F.floor(F.col(y) / cell).alias("_cy"))
         around = todo.select("*", F.floor(F.col(x) / cell).alias("_bx"), F.floor(F.col(y) / cell).alias("_by"))
         around = around.withColumn("_dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("_dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-        around = around.select(*bucket, key, x, y, (F.col("_bx") + F.col("_dx")).alias("_cx"), (F.col("_by") + F.col("_dy")).alias("_cy"))
+        around = around.withColumn("_cx", F.col("_bx") + F.col("_dx")).withColumn("_cy", F.col("_by") + F.col("_dy"))
         d = F.sqrt(F.pow(F.col(x) - F.col("_x"), 2) + F.pow(F.col(y) - F.col("_y"), 2))
-        near = around.join(grid, [*bucket, "_cx", "_cy"]).withColumn("distance", d).filter(f"distance > 0 and {key} <> partner")
-        w = Window.partitionBy(key).orderBy("distance", "partner")
-        near = near.select(*bucket, key, "partner", "distance", F.row_number().over(w).alias("rank")).filter(F.col("rank") <= k)
+        near = around.join(grid, [*bucket, "_cx", "_cy"]).withColumn("distance", d).filter("distance > 0")
+        if apart:
+            near = near.filter(F.col(apart) != F.col("_apart"))
+        w = Window.partitionBy("_site").orderBy("distance", "partner")
+        near = written(near.select("_site", "partner", "distance", F.row_number().over(w).alias("rank")).filter(F.col("rank") <= k))
         # certain: k within one cell, or everything there is was compared
-        full = near.groupBy(key).agg(F.count(F.lit(1)).alias("_c"), F.max("distance").alias("_far"))
-        state = todo.join(span, bucket).join(full, key, "left")
+        full = near.groupBy("_site").agg(F.count(F.lit(1)).alias("_c"), F.max("distance").alias("_far"))
+        state = todo.join(span, bucket).join(full, "_site", "left")
         sure = ((F.coalesce("_c", F.lit(0)) >= k) & (F.col("_far") <= cell)) | (F.col("_span") <= cell)
-        state = written(state.select(key, sure.alias("_sure")))
-        got = written(near.join(state.filter("_sure"), key, "left_semi").select(key, "partner", "distance", "rank"))
+        state = written(state.select("_site", F.coalesce(sure, F.lit(False)).alias("_sure")))
+        got = written(near.join(state.filter("_sure"), "_site", "left_semi"))
         out = got if out is None else out.unionByName(got)
-        todo = written(todo.join(state.filter("not _sure"), key, "left_semi"))
+        todo = written(todo.join(state.filter("not _sure"), "_site", "left_semi"))
         if todo.isEmpty():
-            return out
+            break
         cell *= 2
+    askers = pts if asking is None else pts.join(asking.select(key), key, "left_semi")
+    return askers.select(key, F.xxhash64(*site).alias("_site")).join(out, "_site").select(key, "partner", "distance", "rank")
 
 
-def greedy_swaps(df: DataFrame, bucket: list[str], key: str, group: str, x: str, y: str, prob: str, k: int, rate: float, seed: int) -> DataFrame:
-    """Pairs (hh_1, hh_2, distance), both ways round, by a sequential greedy pass inside each bucket.
+def match_swaps(df: DataFrame, bucket: list[str], key: str, group: str, x: str, y: str, prob: str, k: int, rate: float, seed: int, cell: float) -> DataFrame:
+    """Pairs (hh_1, hh_2, distance), both ways round: rows that swap, until ``rate`` of all rows (an even number, rounded down) are in a pair.
 
-    Rows come in key order; one that is not swapped yet and whose uniform is below ``prob`` swaps with one of its k
-    nearest unswapped rows of another block ``group`` at a distance over zero, until ``rate`` of the bucket's rows
-    are swapped.  The rate holds per bucket (not over the table), so buckets are independent.
+    A row starts a swap where its seeded uniform is below ``prob``.  In each round every such row that is still free proposes to one of its k
+    nearest free rows at a distance over zero with the same bucket and another block ``group``, however far; of the proposals that meet in a row
+    the one with the least seeded number stands, and a pair is made where it stands at both ends.  Each round makes a pair as long as there are proposals; a
+    row without a partner is left.  Rounds are joins and sums, so no bucket is one task; pairs differ from a sequential pass.
     """
-    cols = [*bucket, key, group, x, y, prob]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.sort_values(key).reset_index(drop=True)
-        p = d[[x, y]].to_numpy(float)
-        g, ids, chance = d[group].to_numpy(), d[key].to_numpy(), d[prob].to_numpy(float)
-        rng = np.random.default_rng([seed, zlib.crc32("|".join(str(pdf[b].iloc[0]) for b in bucket).encode())])
-        free, rows, done = np.ones(len(d), bool), [], 0
-        for i in range(len(d)):
-            if done >= rate * len(d):
-                break
-            if not free[i] or rng.random() >= chance[i]:
-                continue
-            dist = np.hypot(*(p - p[i]).T)
-            at = np.flatnonzero(free & (dist > 0) & (g != g[i]))
-            if not len(at):
-                continue
-            at = at[np.argsort(dist[at], kind="stable")[:k]]
-            j = int(at[rng.integers(len(at))])
-            free[[i, j]] = False
-            done += 2
-            rows += [(ids[i], ids[j], dist[j]), (ids[j], ids[i], dist[j])]
-        return pd.DataFrame(rows, columns=["hh_1", "hh_2", "distance"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(*cols).groupBy(*bucket).applyInPandas(run, f"hh_1 {kind}, hh_2 {kind}, distance double")
+    rows = written(df.select(*bucket, key, group, x, y, prob))
+    wanted = int(rate * rows.count()) // 2
+    starts = written(rows.filter(uniform(seed, key) < F.col(prob)).select(key))
+    pairs, made, turn = None, 0, 0
+    free = rows
+    while made < wanted:
+        found = nearest_partners(free, bucket, key, x, y, k, cell, apart=group, asking=starts)
+        most = found.groupBy(key).agg(F.max("rank").alias("_n"))
+        pick = F.floor(uniform(seed, F.lit(f"partner {turn}"), key) * F.col("_n")) + 1
+        asked = found.join(most, key).filter(F.col("rank") == pick)
+        asked = written(asked.select(F.col(key).alias("a"), F.col("partner").alias("b"), "distance", uniform(seed, F.lit(f"turn {turn}"), key).alias("u")))
+        ends = asked.select(F.col("a").alias("e"), "u", "a").union(asked.select("b", "u", "a"))
+        best = ends.groupBy("e").agg(F.min(F.struct("u", "a")).alias("m"))
+        stands = asked.join(best.withColumnRenamed("e", "a").withColumnRenamed("m", "ma"), "a").join(best.withColumnRenamed("e", "b").withColumnRenamed("m", "mb"), "b")
+        stands = written(stands.filter("ma.a = a and mb.a = a").select("a", "b", "distance", "u"))
+        n = stands.count()
+        if n == 0:
+            break
+        if made + n > wanted:
+            stands = first_rows(stands, ["u", "a"], wanted - made)
+        stands = written(stands.select(F.col("a").alias("hh_1"), F.col("b").alias("hh_2"), "distance"))
+        pairs = stands if pairs is None else pairs.unionByName(stands)
+        made += min(n, wanted - made)
+        turn += 1
+        taken = stands.select(F.col("hh_1").alias(key)).union(stands.select("hh_2"))
+        free = written(free.join(taken, key, "left_anti"))
+        starts = written(starts.join(taken, key, "left_anti"))
+    if pairs is None:
+        blank = rows.select(F.col(key).alias("hh_1"), F.col(key).alias("hh_2"), F.lit(0.0).alias("distance"))
+        return blank.limit(0)
+    return pairs.unionByName(pairs.select(F.col("hh_2").alias("hh_1"), F.col("hh_1").alias("hh_2"), "distance"))
 
 
 def apply_swaps(df: DataFrame, pairs: DataFrame, key: str, geography: list[str]) -> DataFrame:

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from blockweave.functions import bounds, chance, vectors
 from blockweave.operators import chains, dist, noise, solve, spectrum, swap, transitions
 from blockweave.operators.assemble import to_output
+from blockweave.plans import town
 from blockweave.plans.catalog_tables import UNI, Tables, r
+from blockweave.sources import blocks as table_blocks
+from blockweave.sources import households
 from blockweave.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -588,10 +591,16 @@ def knn_swap_candidates(t):
     return swap.nearest_partners(_points(t), ["b", "g"], "id", "x", "y", 3, 2000.0).select("id", "partner", "rank", r("distance").alias("distance"))
 
 
-@query(None)
+@query("SELECT floor(0.1 * count(*) / 2)::BIGINT * 2 AS swapped, floor(0.1 * count(*) / 2)::BIGINT * 2 AS distinct_rows, 0::BIGINT AS astray, 0::BIGINT AS one_sided FROM customer")
 def greedy_swap(t):
+    """A tenth of the customers swap: all pairs are disjoint, in one segment, of two nations, apart, and told from both sides."""
     d = _points(t).withColumn("prob", F.lit(0.5))
-    return swap.greedy_swaps(d, ["b"], "id", "g", "x", "y", "prob", 5, 0.1, 1).select("hh_1", "hh_2", r("distance").alias("distance"))
+    pairs = written(swap.match_swaps(d, ["b"], "id", "g", "x", "y", "prob", 5, 0.1, 1, 2000.0))
+    one, two = (d.select(F.col("id").alias(f"hh_{i}"), F.col("b").alias(f"b{i}"), F.col("g").alias(f"g{i}")) for i in (1, 2))
+    wrong = pairs.join(one, "hh_1").join(two, "hh_2").filter("b1 <> b2 or g1 = g2 or distance <= 0")
+    back = pairs.select(F.col("hh_1").alias("hh_2"), F.col("hh_2").alias("hh_1"), "distance")
+    counts = pairs.agg(F.count(F.lit(1)).alias("swapped"), F.count_distinct("hh_1").alias("distinct_rows"))
+    return counts.crossJoin(wrong.agg(F.count(F.lit(1)).alias("astray"))).crossJoin(pairs.exceptAll(back).agg(F.count(F.lit(1)).alias("one_sided")))  # one row each
 
 
 @query("SELECT round(2 * 3958.7613 * asin(sqrt(sin(radians(b.la - a.la) / 2) ** 2 + cos(radians(a.la)) * cos(radians(b.la)) * sin(radians(b.lo - a.lo) / 2) ** 2)), 6) AS miles, a.n_nationkey AS a, b.n_nationkey AS b FROM (SELECT n_nationkey, n_nationkey * 3.0 - 30 AS la, n_nationkey * 7.0 - 80 AS lo FROM nation) a JOIN (SELECT n_nationkey, n_nationkey * 3.0 - 30 AS la, n_nationkey * 7.0 - 80 AS lo FROM nation) b ON a.n_nationkey < b.n_nationkey")
@@ -620,3 +629,70 @@ def household_pipeline(t):
     from blockweave.plans.demo import demo_microdata
 
     return demo_microdata(t.spark, t.customer)
+
+
+# the town: customers are blocks, their orders households, the orders' lines people
+PEOPLE_SQL = """SELECT o_orderkey, o_custkey, l_linenumber AS nth, CASE WHEN l_partkey % 29 = 0 THEN 2 ELSE ([1, 1, 1, 1, 1, 1, 2, 2, 6, 11])[(o_orderkey + o_custkey) % 10 + 1] END AS code, (o_orderkey % 8 = 0)::INT AS eth,
+    CASE WHEN l_linenumber <= 1 + o_orderkey % 2 OR o_orderkey % 5 = 0 THEN 20 + l_partkey % 60 ELSE l_partkey % 18 END AS age, o_orderkey % 4 + 1 AS family FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber <= 7"""
+RACE_SQL = "CASE code WHEN 6 THEN 4 WHEN 11 THEN 7 ELSE code END"
+
+
+def _people(t: Tables) -> DataFrame:
+    return town.people_of(t.orders, t.lineitem)
+
+
+def _list(column: str):
+    return F.concat_ws(",", F.transform(column, lambda x: x.cast("string")))
+
+
+@query(f"""WITH p AS (SELECT *, {RACE_SQL} AS race FROM ({PEOPLE_SQL})), h AS (SELECT o_orderkey, arg_min(race, nth) AS holder_race, min(eth) AS holder_eth, count(*) AS size, min(family) AS family, CASE WHEN count(*) = 1 AND o_orderkey % 9 = 0 THEN 1 ELSE count(*) FILTER (age >= 18) END AS n_adults,
+      {", ".join(f"count(*) FILTER (race = {k} AND eth = {e}) AS c{e}{k}" for e in (0, 1) for k in range(1, 8))} FROM p GROUP BY 1)
+    SELECT concat_ws(',', {", ".join(f"c{e}{k}" for e in (0, 1) for k in range(1, 8))}) AS rh, n_adults::INT AS n_adults, holder_race::INT AS holder_race, holder_eth::INT AS holder_eth, family <= 3 AND size > 1 AS is_family, least(size, 7)::INT AS size_7, count(*) AS n,
+      count(*) FILTER (o_orderkey % 9 = 0 AND n_adults < size) AS contradict FROM h GROUP BY ALL""")
+def microdata_scan(t):
+    """The household types of all orders, written as text files of header and person records and read back in splits."""
+    homes = written(households.parse_households(town.record_lines(t.spark, _people(t))))
+    wrong = households.check_ages(homes).select("file", "hh", F.lit(1).alias("wrong"))
+    d = households.household_tuple(homes.join(wrong, ["file", "hh"], "left"))
+    return d.groupBy(_list("rh").alias("rh"), "n_adults", "holder_race", "holder_eth", "is_family", "size_7").agg(F.count(F.lit(1)).alias("n"), F.count("wrong").alias("contradict"))
+
+
+@query(f"""WITH p AS (SELECT * REPLACE (CASE WHEN o_orderkey % 9 = 0 AND count(*) OVER (PARTITION BY o_orderkey) = 1 THEN greatest(age, 18) ELSE age END AS age), {RACE_SQL} AS race FROM ({PEOPLE_SQL}) WHERE o_orderkey % 3 = 0), h AS (SELECT o_orderkey, concat_ws(',', {", ".join(f"count(*) FILTER (race = {k})" for k in range(1, 8))}, sum(eth)::INT, count(*) FILTER (age >= 18)) AS key,
+      string_agg(concat(race, eth, (age >= 18)::INT), ',' ORDER BY race, eth, age >= 18) AS people FROM p GROUP BY 1)
+    SELECT key, people, round(count(*) / sum(count(*)) OVER (PARTITION BY key), 9) AS p FROM h GROUP BY 1, 2""")
+def people_lists(t):
+    """For each 9-vector of the sample's households the lists of (race, ethnicity, adult) that it stands for."""
+    lists = households.people_by_type(households.parse_households(town.record_lines(t.spark, _people(t).filter(town.is_sample()))))
+    text = F.concat_ws(",", F.transform("people", lambda x: F.concat(x.race, x.eth, x.adult)))
+    return lists.select(_list("key").alias("key"), text.alias("people"), r("p", 9).alias("p"))
+
+
+@query(f"""WITH p AS (SELECT *, {RACE_SQL} AS race FROM ({PEOPLE_SQL})), h AS (SELECT o_custkey, o_orderkey, arg_min(race, nth) AS holder, count(*) AS size, count(*) FILTER (age >= 18) AS adults, sum(eth) AS hisp FROM p GROUP BY 1, 2),
+    b AS (SELECT o_custkey AS c, sum(size)::INT AS people, count(*)::INT AS homes, sum(adults)::INT AS adults, sum(hisp)::INT AS hispanic FROM h GROUP BY 1)
+    SELECT printf('%03d-%06d-%04d', c // 1000000, c % 1000000 // 1000, c % 1000) AS identifier, people, homes, adults, hispanic, c % 7 <> 0 AS age_valid, 0 AS age_gap, 0 AS err FROM b""")
+def block_csv_scan(t):
+    """The block table of all customers, written as a CSV file with a header and read back with its check columns."""
+    blocks, _ = town.read_town(written(_people(t)))
+    told = table_blocks.validate(blocks)
+    hispanic = sum((F.col(c) for c in table_blocks.race_by_ethnicity()[7:]), F.lit(0))
+    d = blocks.select("identifier", F.col("H7X001").alias("people"), F.col("H8M001").alias("homes"), F.col("H8A003").alias("adults"), hispanic.alias("hispanic"), table_blocks.age_is_valid().alias("age_valid"))
+    return d.join(told.select("identifier", "age_gap", "err"), "identifier")
+
+
+@query(f"""WITH p AS ({PEOPLE_SQL}), b AS (SELECT o_custkey AS c, count(*) AS people, sum(eth)::BIGINT AS hispanic, count(*) FILTER (age >= 18) AS adults FROM p GROUP BY 1)
+    SELECT printf('%03d-%06d-%04d', c // 1000000, c % 1000000 // 1000, c % 1000) AS identifier, people, hispanic, CASE WHEN c % 7 <> 0 THEN adults END AS adults, 0::BIGINT AS lost FROM b""")
+def town_blocks(t):
+    """The whole plan on the town: what the made persons of each block add up to is what its table says.
+
+    Pools of 20 solutions and 2 steps are parameters of this query.  ``lost`` counts blocks that no level solves or whose search was cut off (their
+    table's counts stand in their place); adults are told where a block's ages are valid.
+    """
+    blocks, sample, rows, unsolved = town.town_microdata(_people(t), n_best=20, refine_steps=2)
+    people = town.town_persons(rows, sample)
+    made = people.groupBy("identifier").agg(F.count(F.lit(1)).alias("people"), F.sum("eth").cast("long").alias("hispanic"), F.sum("adult").cast("long").alias("n_adults"))
+    valid = table_blocks.age_is_valid()
+    d = blocks.select("identifier", valid.alias("valid")).join(made, "identifier").select("identifier", "people", "hispanic", F.when(F.col("valid"), F.col("n_adults")).alias("adults"))
+    gone = unsolved.join(blocks, "identifier")
+    hispanic = sum((F.col(c) for c in table_blocks.race_by_ethnicity()[7:]), F.lit(0)).cast("long")
+    gone = gone.select("identifier", F.col("H7X001").cast("long").alias("people"), hispanic.alias("hispanic"), F.when(valid, F.col("H8A003").cast("long")).alias("adults"))
+    return d.withColumn("lost", F.lit(0).cast("long")).unionByName(gone.withColumn("lost", F.lit(1).cast("long")))

@@ -42,7 +42,7 @@ def sample_households(spark: SparkSession) -> DataFrame:
     lines = []
     for family, people in SAMPLE:
         lines += [header(family, sum(a < 18 for _, _, a in people)), *[person(*p) for p in people]]
-    return parse_households(spark.createDataFrame([("sample", i, x) for i, x in enumerate(lines)], "file string, line_no int, line string"))
+    return parse_households(spark.createDataFrame([("sample", 0, i, x) for i, x in enumerate(lines)], "file string, split long, at long, line string"))
 
 
 def blocks_of(members: DataFrame) -> DataFrame:

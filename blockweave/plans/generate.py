@@ -10,18 +10,19 @@ from blockweave.operators.chains import sample_chains
 from blockweave.operators.pick import weighted_draw
 from blockweave.operators.solve import MAX_NODES, enumerate_solutions, lexicographic, solution_probs
 from blockweave.sources.blocks import IDENTITY, age_is_valid, encode
-from blockweave.sources.households import household_distribution
+from blockweave.sources.households import check_ages, household_distribution
 from blockweave.sources.scratch import written
 
 
 def generate(blocks: DataFrame, households: DataFrame, n_best: int = 5000, seed: int = 0, refine_steps: int = 10_000, k: int = 3, max_nodes: int = MAX_NODES, ratios: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(microdata, unsolved blocks: identifier and the level whose search was cut off, null where no level has a solution).
 
-    Levels 1, 2 and 3 are tried in turn for the blocks that the one before could not solve; a block of one household with
+    Households of the sample whose ages contradict their header are left out.  Levels 1, 2 and 3 are tried in turn for the blocks that the one before could not solve; a block of one household with
     valid ages is its own solution.  ``ratios`` (key: 9-vector, ratio) re-weight the sample, as dist.adjustment gives them.  A block whose search was cut off before it found any is not tried at coarser levels.  Of a block's solutions one is drawn by likelihood; where their pool was full, a chain
     goes on from there.  Levels 2 and 3 leave ages out where a block's are contradictory, and draw them from the sample.
     """
     blocks = written(blocks.withColumn("_age", age_is_valid()))
+    households = written(households.join(check_ages(households).select("file", "hh"), ["file", "hh"], "left_anti"))
     sample = written(household_distribution(households, 3, ratios=ratios))
     alone = (F.col("H8M001") == 1) & F.col("_age")
     itself = to_output(encode(1), 1, True)

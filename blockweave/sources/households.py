@@ -15,29 +15,45 @@ MAX_SIZE = 7
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of text files.  Each file is one record, so its lines keep their order."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    """(file, split, at, line) of the lines of text files that are not empty.
+
+    A file is read by as many tasks as it has splits (spark.sql.files.maxPartitionBytes).  ``split`` is the byte at which a line's split
+    starts, ``at`` ascends with the place within the split.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
     return lines.filter("line <> ''")
 
 
+def number_households(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``person`` and ``hh``, the number of the last header of the file up to this line (0 before the first).
+
+    Headers are numbered within each split and moved on by the headers of the splits before, so a household that goes on in the next split
+    keeps its number.  What is in one task is a split; the splits of a file, one row each, meet in a window.
+    """
+    d = lines.withColumn("person", F.col("line").startswith("P"))
+    header = (~F.col("person")).cast("long")
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = d.groupBy("file", "split").agg(F.sum(header).alias("headers")).select("file", "split", F.coalesce(F.sum("headers").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy("file", "split").orderBy("at")
+    return d.withColumn("hh", F.sum(header).over(inside)).join(starts, ["file", "split"]).withColumn("hh", F.col("hh") + F.col("first")).drop("first")
+
+
 def field(name: str) -> Column:
     start, length = LAYOUT[name]
     return F.substring("line", start, length).cast("int")
 
 
 def parse_households(lines: DataFrame) -> DataFrame:
-    """(file, hh, holder, people, under_18, is_family, size, n_adults, weight) of households with people.
+    """(file, hh, holder, people, under_18, is_family, size, n_adults, weight) of households with people, from the lines of read_lines.
 
     A line that starts with P is a person of the last header; any other is a header.  The first person is the
     householder.  A household of one is not a family, and its person counts as an adult when the header says so.
     """
-    w = Window.partitionBy("file").orderBy("line_no")
-    d = lines.withColumn("person", F.col("line").startswith("P")).withColumn("hh", F.sum((~F.col("person")).cast("int")).over(w))
+    d = number_households(lines)
     codes = F.create_map(*[F.lit(x) for kv in RACE_OF_CODE.items() for x in kv])
     race = codes[field("race")]
     race = F.when(F.col("person") & race.isNull(), F.raise_error(F.lit("unknown race code"))).otherwise(race)
-    person = F.struct(F.col("line_no"), race.alias("race"), field("eth").alias("eth"), field("age").alias("age"))
+    person = F.struct(F.col("split"), F.col("at"), race.alias("race"), field("eth").alias("eth"), field("age").alias("age"))
     g = d.groupBy("file", "hh").agg(
         F.array_sort(F.collect_list(F.when(F.col("person"), person))).alias("p"),
         F.max(F.when(~F.col("person"), field("family"))).alias("family"),

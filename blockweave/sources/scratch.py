@@ -5,14 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in the folder of spark.checkpoint.dir (a temporary one only in local mode), read back."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, what: str = "scratch") -> str:
+    """A new path in the folder of spark.checkpoint.dir (a temporary one only in local mode)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local["):
@@ -20,8 +19,19 @@ def written(df: DataFrame) -> DataFrame:
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="blockweave-"))
         base = _own[0]
-    path = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def until_exit(spark: SparkSession, path: str) -> str:
+    """``path``, which is there already and goes when the driver ends."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the scratch folder, read back."""
+    spark = df.sparkSession
+    path = scratch_path(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(until_exit(spark, path))
