@@ -102,3 +102,20 @@ def top_down(nodes: DataFrame, levels: int = 5) -> DataFrame:
         done = written(adjust_children(down.select("parent", "measure", "node", "tot", "vap", "tot_parent", "vap_parent"), ["parent", "measure"], "node").select("node", "measure", F.lit(level).alias("level"), "tot", "vap"))
         out = out.unionByName(done)
     return out
+
+
+def with_error(adjusted: DataFrame, truth: DataFrame, values: list[str]) -> DataFrame:
+    """``adjusted`` (node, measure, level, values) with <value>_error, what it has over the true value of the node; null where the truth has no such node."""
+    true = truth.select("node", "measure", *[F.col(v).alias(f"_{v}") for v in values])
+    out = adjusted.join(true, ["node", "measure"], "left")
+    return out.select(*adjusted.columns, *[(F.col(v) - F.col(f"_{v}")).alias(f"{v}_error") for v in values])
+
+
+def leaf_tables(adjusted: DataFrame, blocks: DataFrame, geoid: str, measures: list[str], leaf_level: int = 4) -> DataFrame:
+    """``blocks`` with <measure>_tot and <measure>_vap of their leaves, one row per block: blocks or leaves without the other are left out.
+
+    The names of ``measures`` are fixed, so the table's columns do not depend on the data.
+    """
+    cells = [F.max(F.when(F.col("measure") == m, F.col(v))).alias(f"{m}_{v}") for m in measures for v in ("tot", "vap")]
+    leaves = adjusted.filter(F.col("level") == leaf_level).groupBy(F.col("node").alias(geoid)).agg(*cells)
+    return blocks.join(leaves, geoid)

@@ -71,10 +71,20 @@ def weighted_draw(df: DataFrame, group: list[str], p: str, order: list[str], see
     return d.filter(hit).withColumn("_pick", F.row_number().over(w)).filter("_pick = 1").drop("_hi", "_lo", "_rank", "_n", "_u", "_pick")
 
 
-def conditional_draw(rows: DataFrame, dist: DataFrame, on: list[str], row_key: list[str], order: list[str], seed: int, p: str = "p") -> DataFrame:
-    """For each row a draw from the part of ``dist`` that agrees with it in ``on``."""
-    share = F.col(p) / F.sum(p).over(Window.partitionBy(*on))
-    return weighted_draw(rows.join(dist.withColumn("_p", share).drop(p), on), row_key, "_p", order, seed).drop("_p")
+def conditional_draw(rows: DataFrame, dist: DataFrame, on: list[str], row_key: list[str], order: list[str], seed: int, p: str = "p", buckets: int = 1024) -> DataFrame:
+    """For each row a draw from the part of ``dist`` that agrees with it in ``on``: the candidate whose interval holds the row's uniform.
+
+    A row meets the candidates of one of ``buckets`` parts of the unit interval, not all that agree.  A row that nothing agrees with has no
+    draw.
+    """
+    w, whole = Window.partitionBy(*on).orderBy(*order), Window.partitionBy(*on)
+    share = F.col(p) / F.sum(p).over(whole)
+    d = dist.withColumn("_share", share).withColumn("_hi", F.sum("_share").over(w))
+    d = d.withColumn("_lo", F.coalesce(F.lag("_hi").over(w), F.lit(0.0))).withColumn("_hi", F.when(F.row_number().over(w) == F.count(F.lit(1)).over(whole), 2.0).otherwise(F.col("_hi")))
+    part = lambda x: F.least(F.floor(x * buckets), F.lit(buckets - 1)).cast("int")
+    d = d.filter("_lo < _hi and _lo < 1").withColumn("_part", F.explode(F.sequence(part(F.col("_lo")), part(F.col("_hi"))))).drop(p, "_share")
+    asked = rows.withColumn("_u", uniform(seed, *row_key)).withColumn("_part", part(F.col("_u")))
+    return asked.join(d, [*on, "_part"]).filter("_u >= _lo and _u < _hi").drop("_u", "_lo", "_hi", "_part")
 
 
 def fallback_flags(n: Column, k: Column, seed: int, *keys: str) -> Column:

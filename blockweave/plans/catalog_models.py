@@ -568,13 +568,49 @@ def rollup_levels(t):
     return noise.rollup_levels(d, "g", ["n"]).select("level", "node", "parent", F.col("n").cast("long").alias("n"))
 
 
-@query(None)
-def topdown_levels(t):
+def _top_down(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Leaves, true counts and adjusted counts of customers (tot) and of those with over 2000 (vap)."""
     d = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
     leaves = d.select(F.concat(F.lit("01"), F.expr(GEO.format(s="string")).substr(3, 13)).alias("g"), F.lit(1).alias("tot"), (F.col("c_acctbal") > 2000).cast("int").alias("vap"))
-    nodes = noise.add_noise(noise.rollup_levels(leaves, "g", ["tot", "vap"]), ["tot", "vap"], 1.0, noise.SPLITS["equal"], 5)
-    done = noise.top_down(nodes.select("node", "parent", "level", F.lit("all").alias("measure"), F.col("tot_noised").alias("tot"), F.col("vap_noised").alias("vap")))
-    return done.select("node", "level", r("tot", 4).alias("tot"), r("vap", 4).alias("vap"))
+    truth = written(noise.rollup_levels(leaves, "g", ["tot", "vap"]).withColumn("measure", F.lit("all")))
+    nodes = noise.add_noise(truth, ["tot", "vap"], 1.0, noise.SPLITS["equal"], 5)
+    done = noise.top_down(nodes.select("node", "parent", "level", "measure", F.col("tot_noised").alias("tot"), F.col("vap_noised").alias("vap")))
+    return leaves, truth, done
+
+
+@query(None)
+def topdown_levels(t):
+    return _top_down(t)[2].select("node", "level", r("tot", 4).alias("tot"), r("vap", 4).alias("vap"))
+
+
+LEAF_SQL = f"SELECT '01' || substr({GEO.format(s='varchar')}, 3, 13) AS g, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey"
+
+
+@query(f"""WITH l AS ({LEAF_SQL}), n AS (SELECT k AS level, substr(g, 1, w) AS node, count(*) AS tot, count(*) FILTER (c_acctbal > 2000) AS vap FROM l, (VALUES (0, 2), (1, 5), (2, 11), (3, 12), (4, 15)) p(k, w) GROUP BY 1, 2)
+    SELECT level, count(*) AS nodes, sum(tot)::BIGINT AS tot, sum(vap)::BIGINT AS vap, true AS ordered, true AS adds_up FROM n GROUP BY 1""")
+def topdown_checks(t):
+    """Adjusted counts and their errors: at each level, counts less errors are the true totals, 0 <= vap <= tot, and every parent's children add up to it."""
+    _, truth, done = _top_down(t)
+    told = written(noise.with_error(done, truth, ["tot", "vap"]).join(truth.select("node", "measure", "parent"), ["node", "measure"]))
+    kids = told.groupBy(F.col("parent").alias("node")).agg(F.sum("tot").alias("t"), F.sum("vap").alias("v"))
+    off = told.join(kids, "node", "left").withColumn("off", F.coalesce(F.greatest(F.abs(F.col("t") - F.col("tot")), F.abs(F.col("v") - F.col("vap"))), F.lit(0.0)))
+    out = off.groupBy("level").agg(
+        F.count(F.lit(1)).alias("nodes"),
+        F.round(F.sum(F.col("tot") - F.col("tot_error"))).cast("long").alias("tot"),
+        F.round(F.sum(F.col("vap") - F.col("vap_error"))).cast("long").alias("vap"),
+        F.min((F.col("vap") > -1e-6) & (F.col("vap") < F.col("tot") + 1e-6)).alias("ordered"),
+        (F.max("off") < 1e-5).alias("adds_up"),
+    )
+    return out.withColumn("level", F.col("level").cast("int"))
+
+
+@query(f"SELECT g, count(*) AS customers, count(*) FILTER (c_acctbal > 2000) AS rich, true AS all_fits FROM ({LEAF_SQL}) GROUP BY 1")
+def topdown_leaves(t):
+    """The adjusted leaves beside their blocks' own counts; no leaf is lost."""
+    leaves, _, done = _top_down(t)
+    blocks = leaves.groupBy("g").agg(F.sum("tot").cast("long").alias("customers"), F.sum("vap").cast("long").alias("rich"))
+    out = noise.leaf_tables(done, blocks, "g", ["all"])
+    return out.select("g", "customers", "rich", (F.col("all_vap") <= F.col("all_tot") + 1e-6).alias("all_fits"))
 
 
 # -- swapping

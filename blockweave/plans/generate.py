@@ -53,3 +53,22 @@ def generate(blocks: DataFrame, households: DataFrame, n_best: int = 5000, seed:
     full = add_adults(rows, sample, seed)
     identity = [c for c in IDENTITY if c in blocks.columns]
     return microdata(full, blocks, identity), undecided.unionByName(left.select("identifier", F.lit(None).cast("int").alias("level")))
+
+
+def generate_into(blocks: DataFrame, households: DataFrame, folder: str, parts: int = 16, **options) -> tuple[DataFrame, DataFrame]:
+    """``generate`` in ``parts`` of the blocks, each written to ``folder`` before the next one; what is there already is not made again.
+
+    A run that was ended goes on with the part it was at.  A block's part depends on its identifier only; its rows, in whichever run they are made, on the
+    options.  The result is read from the folder.
+    """
+    spark = blocks.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for i in range(parts):
+        own = f"{folder.rstrip('/')}/rows/part={i}", f"{folder.rstrip('/')}/unsolved/part={i}"
+        if all(files.exists(path(f"{p}/_SUCCESS")) for p in own):
+            continue
+        made = generate(blocks.filter(F.pmod(F.xxhash64("identifier"), F.lit(parts)) == i), households, **options)
+        for df, p in zip(made, own, strict=True):
+            df.write.mode("overwrite").parquet(p)
+    return tuple(spark.read.parquet(f"{folder.rstrip('/')}/{what}").drop("part") for what in ("rows", "unsolved"))

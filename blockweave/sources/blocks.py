@@ -39,6 +39,19 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[c for c in header if keep(c)]).filter("H7X001 > 0").withColumn("identifier", block_identifier())
 
 
+def read_keyed(spark: SparkSession, path: str, keys: list[str], numbers: list[str]) -> DataFrame:
+    """A CSV file with a header, whose ``keys`` stay text (leading zeros are kept) and whose ``numbers`` are whole; the other columns are text too.
+
+    A number that is none is an error, an empty one is null.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    lost = [c for c in (*keys, *numbers) if c not in header]
+    if lost:
+        raise ValueError(f"columns are missing: {lost}")
+    schema = T.StructType([T.StructField(c, T.LongType() if c in numbers else T.StringType()) for c in header])
+    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+
+
 def check_identifiers(blocks: DataFrame) -> None:
     row = blocks.agg(F.count(F.lit(1)), F.count_distinct("identifier"), F.max(F.length("identifier"))).first()
     if row[0] != row[1]:
