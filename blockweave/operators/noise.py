@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -87,11 +89,41 @@ def adjust_children(children: DataFrame, group: list[str], key: str) -> DataFram
     return children.groupBy(*group).applyInPandas(run, f"{kinds}, tot double, vap double")
 
 
-def top_down(nodes: DataFrame, levels: int = 5) -> DataFrame:
+def adjust_children_l1(children: DataFrame, group: list[str], key: str) -> DataFrame:
+    """As ``adjust_children`` with the least sum of absolute changes instead of squares.
+
+    With grown-ups v and others u = tot - v, both not negative and of given sums, only how much v lies over the noised tot in all (O) ties them
+    together: changing tot costs O + |S - O|, where S is what the parent's tot has over the children's.  So v is filled up from 0 in
+    the order of what a unit costs: to its noised value and not over the noised tot; to its noised value over it, as long as O is under S; then
+    to the noised tot, and over it again as long as O is under S; then the rest.  Children share each part in proportion, or what has no bound alike.
+    All of it is sums over a group.
+    """
+    c, zero = F.col, F.lit(0.0)
+    d = children.select(*group, key, F.greatest(c("tot").cast("double"), zero).alias("t"), F.greatest(c("vap").cast("double"), zero).alias("v"), c("tot_parent").cast("double").alias("ts"), c("vap_parent").cast("double").alias("vs"))
+    d = d.withColumn("a", F.least("t", "v")).withColumn("b", F.greatest(c("v") - c("t"), zero)).withColumn("c", F.greatest(c("t") - c("v"), zero))
+    g = d.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("ts"), F.max("vs").alias("vs"), *[F.sum(x).alias(f"{x}_all") for x in "tabc"])
+    up = F.greatest(c("ts") - c("t_all"), zero)  # S, where over 0
+    g = g.withColumn("a_take", F.least("a_all", "vs")).withColumn("left", c("vs") - c("a_take"))
+    g = g.withColumn("b_take", F.least(c("b_all"), c("left"), up)).withColumn("left", c("left") - c("b_take"))
+    g = g.withColumn("c_take", F.least("c_all", "left")).withColumn("left", c("left") - c("c_take"))
+    # over the noised tot: first those who are noised to be there, then alike
+    g = g.withColumn("b_more", F.least(c("b_all") - c("b_take"), c("left"))).withColumn("each", (c("left") - c("b_more")) / c("n"))
+    part = lambda take, whole: F.when(c(whole) > 0, take / c(whole)).otherwise(0.0)
+    g = g.select(*group, c("n").alias("_n"), "each", part(c("a_take"), "a_all").alias("fa"), part(c("b_take") + c("b_more"), "b_all").alias("fb"), part(c("c_take"), "c_all").alias("fc"))
+    d = d.join(g, group).withColumn("vap", c("a") * c("fa") + c("b") * c("fb") + c("c") * c("fc") + c("each"))
+    d = d.withColumn("base", F.greatest(c("t") - c("vap"), zero))
+    rest = d.groupBy(*group).agg(F.sum("base").alias("base_all"))
+    gap = c("ts") - c("vs") - c("base_all")
+    others = F.when(gap >= 0, c("base") + gap / c("_n")).otherwise(c("base") * (1 + gap / c("base_all")))
+    return d.join(rest, group).select(*group, key, (c("vap") + others).alias("tot"), "vap")
+
+
+def top_down(nodes: DataFrame, levels: int = 5, adjust: Callable[[DataFrame, list[str], str], DataFrame] = adjust_children) -> DataFrame:
     """Adjust level by level: (node, measure, level, tot, vap).
 
     ``nodes`` has node, parent, level, measure and noised tot and vap.  The root is projected on 0 <= vap <= tot; each level below
-    is adjusted to its adjusted parents.  A level is one shuffle by (parent, measure).
+    is adjusted to its adjusted parents by ``adjust``: adjust_children (squares), adjust_children_l1 or one of the caller's own with the same
+    columns.  A level is one shuffle by (parent, measure).
     """
     t, v = project_pair(F.col("tot"), F.col("vap"))
     done = written(nodes.filter("level = 0").select("node", "measure", "level", t.alias("tot"), v.alias("vap")))
@@ -99,7 +131,7 @@ def top_down(nodes: DataFrame, levels: int = 5) -> DataFrame:
     for level in range(1, levels):
         up = done.select(F.col("node").alias("parent"), "measure", F.col("tot").alias("tot_parent"), F.col("vap").alias("vap_parent"))
         down = nodes.filter(F.col("level") == level).join(up, ["parent", "measure"])
-        done = written(adjust_children(down.select("parent", "measure", "node", "tot", "vap", "tot_parent", "vap_parent"), ["parent", "measure"], "node").select("node", "measure", F.lit(level).alias("level"), "tot", "vap"))
+        done = written(adjust(down.select("parent", "measure", "node", "tot", "vap", "tot_parent", "vap_parent"), ["parent", "measure"], "node").select("node", "measure", F.lit(level).alias("level"), "tot", "vap"))
         out = out.unionByName(done)
     return out
 

@@ -583,6 +583,17 @@ def topdown_levels(t):
     return _top_down(t)[2].select("node", "level", r("tot", 4).alias("tot"), r("vap", 4).alias("vap"))
 
 
+@query("SELECT c_mktsegment AS g, count(*)::DOUBLE AS tot, count(*) FILTER (c_acctbal > 2000)::DOUBLE AS vap, count(DISTINCT c_nationkey) AS nodes, true AS ordered FROM customer GROUP BY 1")
+def l1_adjustment(t):
+    """Noised counts of each segment's nations, adjusted to the segment's own with the least absolute change."""
+    d = t.customer.groupBy(F.col("c_mktsegment").alias("g"), F.col("c_nationkey").alias("node")).agg(F.count(F.lit(1)).alias("tot"), F.count_if(F.col("c_acctbal") > 2000).alias("vap"))
+    up = d.groupBy("g").agg(F.sum("tot").alias("tot_parent"), F.sum("vap").alias("vap_parent"))
+    noised = d.withColumns({c: F.col(c) + chance.laplace(chance.uniform(c, "g", "node"), 4.0) for c in ("tot", "vap")})
+    got = noise.adjust_children_l1(noised.join(up, "g"), ["g"], "node")
+    fits = (F.col("vap") > -1e-6) & (F.col("vap") < F.col("tot") + 1e-6)
+    return got.groupBy("g").agg(F.round(F.sum("tot"), 6).alias("tot"), F.round(F.sum("vap"), 6).alias("vap"), F.count(F.lit(1)).alias("nodes"), F.min(fits).alias("ordered"))
+
+
 LEAF_SQL = f"SELECT '01' || substr({GEO.format(s='varchar')}, 3, 13) AS g, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey"
 
 
