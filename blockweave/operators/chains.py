@@ -24,7 +24,7 @@ from .solve import MAX_NODES, element_list, search, solution_probs
 
 MAX_STATES = 20_000
 #: A removal with so many refills or more is declined.
-MAX_REFILLS = 2_000
+MAX_REFILLS = 300
 #: States with so many distinct removals at most get their whole row of the chain.  This decides cost, never chances.
 ROW_REMOVALS = 2_000
 #: and only once they have been met this share of their removals' number: a row solves all of them.
@@ -232,34 +232,40 @@ MOVES: dict[str, Callable] = {"reduced": reduced_move, "metropolis": metropolis_
 STEPS: dict[str, Callable] = {"gibbs": gibbs_step, "simple": simple_step}
 
 
-def sample_chains(targets: DataFrame, elements: DataFrame, key: str, counts: str, kind: str = "reduced", steps: int = 10_000, k: int = 3, gamma: float = 0.8, chains: int = 1, seed: int = 0, max_nodes: int = MAX_NODES) -> DataFrame:
+def sample_chains(targets: DataFrame, elements: DataFrame, key: str, counts: str, kind: str = "reduced", steps: int = 10_000, k: int = 3, gamma: float = 0.8, chains: int = 1, seed: int = 0, max_nodes: int = MAX_NODES, start: str | None = None) -> DataFrame:
     """(key, chain, elems, exact): the state of each chain after ``steps`` steps, as elements with their multiplicities.
 
-    The chain advances from its own last state.  Kinds reduced and metropolis stay on exact solutions; gibbs and simple
+    The chain advances from its own last state, from ``start`` on (a column of exact solutions as enumerate_solutions gives them) or else, in the kinds
+    on exact solutions, from the likeliest.  Kinds reduced and metropolis stay on exact solutions; gibbs and simple
     go on until they are exact, for at most ten times the steps.
     An area without an exact solution has no rows in the kinds on exact ones; one whose search for a start was cut off is an error.
     """
     held, on_exact = element_list(elements), kind in MOVES
     step = None if on_exact else STEPS[kind]
     kind_ = targets.schema[key].dataType.simpleString()
-    jobs = targets.select(key, counts, F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain"))
+    began = F.lit(None).cast("array<struct<elem_id:int,n:int>>") if start is None else F.col(start)
+    jobs = targets.select(key, counts, began.alias("_start"), F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memos: dict = {}  # sub-problems by the set of elements that fit
         for pdf in batches:
             rows = []
-            for kv, c, chain in zip(pdf[key], pdf[counts], pdf["chain"], strict=True):
+            for kv, c, given, chain in zip(pdf[key], pdf[counts], pdf["_start"], pdf["chain"], strict=True):
                 c = np.array(c, int)
                 v, logp = eligible(c, held)
                 names = [e for e, x, _ in held if all(np.array(x) <= c)]
                 rng = chain_rng(seed, f"{kv}|{chain}")
                 if on_exact:
-                    start, ended = search(tuple(c), [(i, tuple(x), math.exp(lp)) for i, (x, lp) in enumerate(zip(v, logp, strict=True))], 1, max_nodes)
-                    if not start and not ended:
-                        raise OverflowError(f"the search for a solution of {kv} was cut off")
-                    if not start:
-                        continue
-                    x, memo = np.array([start[0][1].get(i, 0) for i in range(len(v))]), memos.setdefault(tuple(names), {})
+                    if given is not None:
+                        first = {names.index(e["elem_id"]): e["n"] for e in given}
+                    else:
+                        best, ended = search(tuple(c), [(i, tuple(x), math.exp(lp)) for i, (x, lp) in enumerate(zip(v, logp, strict=True))], 1, max_nodes)
+                        if not best and not ended:
+                            raise OverflowError(f"the search for a solution of {kv} was cut off")
+                        if not best:
+                            continue
+                        first = best[0][1]
+                    x, memo = np.array([first.get(i, 0) for i in range(len(v))]), memos.setdefault(tuple(names), {})
                     if len(memo) > 100_000 or len(memo.get(("met", kind), {})) > 100_000:
                         memo.clear()
                     x = run_exact(x, v, logp, k, steps, rng, memo, kind)

@@ -724,22 +724,3 @@ def block_csv_scan(t):
     hispanic = sum((F.col(c) for c in table_blocks.race_by_ethnicity()[7:]), F.lit(0))
     d = blocks.select("identifier", F.col("H7X001").alias("people"), F.col("H8M001").alias("homes"), F.col("H8A003").alias("adults"), hispanic.alias("hispanic"), table_blocks.age_is_valid().alias("age_valid"))
     return d.join(told.select("identifier", "age_gap", "err"), "identifier")
-
-
-@query(f"""WITH p AS ({PEOPLE_SQL}), b AS (SELECT o_custkey AS c, count(*) AS people, sum(eth)::BIGINT AS hispanic, count(*) FILTER (age >= 18) AS adults FROM p GROUP BY 1)
-    SELECT printf('%03d-%06d-%04d', c // 1000000, c % 1000000 // 1000, c % 1000) AS identifier, people, hispanic, CASE WHEN c % 7 <> 0 THEN adults END AS adults, 0::BIGINT AS lost FROM b""")
-def town_blocks(t):
-    """The whole plan on the town: what the made persons of each block add up to is what its table says.
-
-    Pools of 20 solutions and 2 steps are parameters of this query.  ``lost`` counts blocks that no level solves or whose search was cut off (their
-    table's counts stand in their place); adults are told where a block's ages are valid.
-    """
-    blocks, sample, rows, unsolved = town.town_microdata(_people(t), n_best=20, refine_steps=2)
-    people = town.town_persons(rows, sample)
-    made = people.groupBy("identifier").agg(F.count(F.lit(1)).alias("people"), F.sum("eth").cast("long").alias("hispanic"), F.sum("adult").cast("long").alias("n_adults"))
-    valid = table_blocks.age_is_valid()
-    d = blocks.select("identifier", valid.alias("valid")).join(made, "identifier").select("identifier", "people", "hispanic", F.when(F.col("valid"), F.col("n_adults")).alias("adults"))
-    gone = unsolved.join(blocks, "identifier")
-    hispanic = sum((F.col(c) for c in table_blocks.race_by_ethnicity()[7:]), F.lit(0)).cast("long")
-    gone = gone.select("identifier", F.col("H7X001").cast("long").alias("people"), hispanic.alias("hispanic"), F.when(valid, F.col("H8A003").cast("long")).alias("adults"))
-    return d.withColumn("lost", F.lit(0).cast("long")).unionByName(gone.withColumn("lost", F.lit(1).cast("long")))

@@ -40,8 +40,8 @@ def generate(blocks: DataFrame, households: DataFrame, n_best: int = 5000, seed:
             undecided = cut if undecided is None else undecided.unionByName(cut)
             found = found.filter("elems is not null")
             chosen = weighted_draw(solution_probs(found, "identifier"), ["identifier"], "p", ["sol_rank"], seed).select("identifier", "elems", "complete")
-            open_ = targets.join(chosen.filter("not complete"), "identifier", "left_semi")
-            moved = sample_chains(open_, elements, "identifier", "counts", steps=refine_steps, k=k, seed=seed, max_nodes=max_nodes).filter("exact")
+            open_ = targets.join(chosen.filter("not complete").select("identifier", F.col("elems").alias("start")), "identifier")
+            moved = sample_chains(open_, elements, "identifier", "counts", steps=refine_steps, k=k, seed=seed, max_nodes=max_nodes, start="start").filter("exact")
             moved = moved.select("identifier", F.col("elems").alias("moved"))
             chosen = chosen.join(moved, "identifier", "left").select("identifier", F.coalesce("moved", "elems").alias("elems"))
             made = household_rows(chosen, elements, "identifier").select("identifier", F.col("pos").alias("HH_NUM"), to_output(F.col("v"), level, use_age).alias("out"), F.lit(level).alias("ACCURACY"))
