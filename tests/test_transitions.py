@@ -101,3 +101,20 @@ def test_steps_against_a_row(spark, given):
 def test_reachable_keeps_each_frontier_once(spark):
     path = spark.range(40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert sorted(r.node for r in chains.reachable(path, spark.createDataFrame([(30,), (35,)], "node long")).collect()) == list(range(30, 41))
+
+
+def test_analysis_of_chains(given):
+    import math
+
+    from blockweave.functions.bounds import EPSILON
+    from blockweave.plans.analysis import analyse
+
+    targets, elements = given
+    few = targets.filter("block in ('b', 'none')")
+    one = {r.block: r for r in analyse(few, elements, "block", "counts", "reduced", 2).collect()}
+    assert set(one) == {"b"} and one["b"].density == 1.0 and one["b"].num_states == one["b"].num_solutions and one["b"].expected_lower is None
+    gap = one["b"].spectral_gap
+    assert one["b"].lower == math.floor((1 / gap - 1) * math.log(1 / (2 * EPSILON)) + 1e-6) and one["b"].upper == math.ceil(math.log(one["b"].num_states / EPSILON) / gap - 1e-6)
+    two = {r.block: r for r in analyse(few, elements, "block", "counts", "gibbs", 0.8).collect()}
+    assert two["b"].num_solutions == one["b"].num_states and 0 < two["b"].density < 1 and two["b"].lower <= two["b"].upper and two["b"].expected_lower > two["b"].lower
+    assert two["none"].num_solutions == 0 and two["none"].num_states == 1
