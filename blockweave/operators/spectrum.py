@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from blockweave.sources.scratch import written
 
 TOLERANCE = 1e-10
+LOPSIDED = 1e-9  # difference of two rates that a reversible chain has alike
 EARLY = 8  # steps before which a small bound may be another eigenvalue's
 NOTHING_LEFT = 1e-9  # the bound where a step adds nothing: all of the space that the start spans has been seen
 
@@ -49,7 +50,7 @@ def spectral_gaps(edges: DataFrame, group: list[str], max_steps: int = 300) -> D
     """(group, num_states, is_connected, spectral_gap, tolerance) of each graph; the gap is 1 - |second eigenvalue|, 1 for one state.
 
     ``edges`` holds loops and log_pi_src, the logarithm of each state's stationary weight (up to a constant per graph); the chains
-    are reversible in it.  tolerance bounds how far the next eigenvalue of the graph is; after
+    are reversible in it; one that is not has a null gap.  tolerance bounds how far the next eigenvalue of the graph is; after
     ``max_steps`` a graph has the tolerance it got to.  Columns of ``group`` are not null.  A chain that is not connected has gap 0.
     """
     edges = written(edges.withColumn("g", F.struct(*group)).select("g", *group, "src", "dst", "weight", "log_pi_src"))
@@ -59,12 +60,15 @@ def spectral_gaps(edges: DataFrame, group: list[str], max_steps: int = 300) -> D
     roots = written(roots.join(sizes, "g").select("g", F.col("src").alias("node"), (F.col("r") / F.col("norm")).alias("root")))
     a, b = roots.select("g", F.col("node").alias("src"), F.col("root").alias("ra")), roots.select("g", F.col("node").alias("dst"), F.col("root").alias("rb"))
     matrix = written(edges.join(a, ["g", "src"]).join(b, ["g", "dst"]).select("g", "src", F.col("dst").alias("node"), (F.col("weight") * F.col("ra") / F.col("rb")).alias("s")))
-    told = connected(edges, group)
+    back = matrix.select("g", F.col("node").alias("src"), F.col("src").alias("node"), F.col("s").alias("s_back"))
+    lopsided = matrix.join(back, ["g", "src", "node"], "left").groupBy("g").agg(F.max(F.abs(F.col("s") - F.coalesce("s_back", F.lit(0.0)))).alias("off")).filter(f"off > {LOPSIDED}")
+    told = connected(edges, group).withColumn("g", F.struct(*group)).join(lopsided, "g", "left")
+    told = written(told.select(*group, "num_states", "is_connected", F.col("off").isNull().alias("reversible")))
 
     noise = (F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1 << 30)) + 0.5) / float(1 << 29) - 1
-    now = roots.join(told.filter("num_states > 1").select(F.struct(*group).alias("g")), "g").select("g", "node", "root", F.lit(0.0).alias("before"), noise.alias("cur"), F.lit(0.0).alias("beta"))
+    now = roots.join(told.filter("num_states > 1 and reversible").select(F.struct(*group).alias("g")), "g").select("g", "node", "root", F.lit(0.0).alias("before"), noise.alias("cur"), F.lit(0.0).alias("beta"))
     now, settled, steps = written(_scaled(_deflated(now, "cur"), "cur")), None, None
-    for j in range(max_steps):
+    for j in range(max_steps if not now.isEmpty() else 0):
         y = now.select("g", "node", "cur").join(matrix, ["g", "node"]).groupBy("g", "src").agg(F.sum(F.col("s") * F.col("cur")).alias("y")).withColumnRenamed("src", "node")
         moved = written(now.join(y, ["g", "node"]))
         found = moved.groupBy("g").agg(F.sum(F.col("y") * F.col("cur")).alias("alpha"), F.sum(F.col("y") * F.col("root")).alias("along"))
@@ -84,7 +88,9 @@ def spectral_gaps(edges: DataFrame, group: list[str], max_steps: int = 300) -> D
             break
         rest = rest.join(size.select("g", "beta", "off"), "g").join(last.select("g"), "g", "left_semi")
         now = rest.select("g", "node", "root", "before", ((F.col("next") - F.col("off") * F.col("root")) / F.col("beta")).alias("cur"), "beta")
-    gap = F.when(F.col("num_states") == 1, 1.0).when(~F.col("is_connected"), 0.0).otherwise(1 - F.col("ritz"))
+    gap = F.when(F.col("num_states") == 1, 1.0).when(~F.col("reversible"), F.lit(None).cast("double")).when(~F.col("is_connected"), 0.0).otherwise(1 - F.col("ritz"))
+    if settled is None:
+        settled = edges.select("g", F.lit(0.0).alias("ritz"), F.lit(0.0).alias("tolerance")).limit(0)
     out = told.withColumn("g", F.struct(*group)).join(settled, "g", "left")
     return out.select(*group, "num_states", "is_connected", gap.alias("spectral_gap"), F.coalesce("tolerance", F.lit(0.0)).alias("tolerance"))
 
