@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockweave.functions import chance
 from blockweave.sources.scratch import written
 
 from .dist import empirical, tvd
@@ -29,6 +30,8 @@ MAX_REFILLS = 300
 ROW_REMOVALS = 2_000
 #: and only once they have been met this share of their removals' number: a row solves all of them.
 MET_OFTEN = 0.25
+#: Chains that meet so many states at most are moved all their steps at once, by the power of their matrix.
+LAW_STATES = 300
 
 
 def log_prob(x: np.ndarray, logp: np.ndarray) -> float:
@@ -121,17 +124,25 @@ def chain_rng(seed: int, key) -> np.random.Generator:
     return np.random.default_rng([seed, zlib.crc32(str(key).encode())])
 
 
+def removal_count(x: tuple[int, ...], k: int) -> float:
+    """How many distinct removals of k elements x has; infinite where a part of x has over ROW_REMOVALS."""
+    ways, kk = [1], min(k, sum(x))
+    for m in x:
+        ways = [sum(ways[max(0, j - m) : j + 1]) for j in range(min(kk, len(ways) - 1 + m) + 1)]
+        if max(ways) > ROW_REMOVALS:
+            return math.inf
+    return ways[kk] if kk < len(ways) else 0
+
+
 def chain_row(x: tuple[int, ...], v: np.ndarray, logp: np.ndarray, k: int, by_ratio: bool, memo: dict) -> tuple[list[float], list[tuple[int, ...]]] | None:
     """Running chances and targets of a step from x that is not lazy; none where x has too many removals.
 
     By likelihood (reduced), or each refill as likely and taken by the ratio of likelihoods (metropolis).
     """
-    n, ways = sum(x), [1]
+    n = sum(x)
     kk = min(k, n)
-    for m in x:
-        ways = [sum(ways[max(0, j - m) : j + 1]) for j in range(min(kk, len(ways) - 1 + m) + 1)]
-        if max(ways) > ROW_REMOVALS:
-            return None
+    if removal_count(x, k) > ROW_REMOVALS:
+        return None
     removals = [((), kk)]
     for m in x:
         removals = [((*r, j), left - j) for r, left in removals for j in range(min(m, left) + 1)]
@@ -170,6 +181,46 @@ def run_exact(x: np.ndarray, v: np.ndarray, logp: np.ndarray, k: int, steps: int
     return np.array(now)
 
 
+def end_law(x: tuple[int, ...], v: np.ndarray, logp: np.ndarray, k: int, steps: int, kind: str, most: float, memo: dict) -> list[tuple[float, tuple[int, ...]]] | None:
+    """(running chance, state) of where the lazy chain on exact solutions is ``steps`` steps after x; the last running chance is 1.
+
+    The rows of all states that it can meet make its matrix, whose power has the chances.  None where that takes over ``most``
+    removals or over LAW_STATES states: such a chain is walked.
+    """
+    number, rows, front, spent, depth = {x: 0}, [], [x], 0, 0
+    while front and depth < steps:
+        then = []
+        for state in front:
+            spent += removal_count(state, k)
+            if spent > most or (row := chain_row(state, v, logp, k, kind == "metropolis", memo)) is None:
+                return None
+            rows.append((number[state], row))
+            for t in row[1]:
+                if t not in number:
+                    number[t] = len(number)
+                    then.append(t)
+            if len(number) > LAW_STATES:
+                return None
+        front, depth = then, depth + 1
+    p = np.eye(len(number))
+    for i, (total, to) in rows:
+        for t, w in zip(to, np.diff([0.0, *total]).tolist(), strict=True):
+            p[i, number[t]] += w / 2
+            p[i, i] -= w / 2
+    at, left = np.eye(len(number))[0], steps
+    while left:
+        if left & 1:
+            at = at @ p
+        left >>= 1
+        if left:
+            p = p @ p
+            p /= p.sum(axis=1, keepdims=True)
+    at = np.maximum(at, 0.0)
+    met = [(s, w) for s, w in sorted(zip(number, at.tolist(), strict=True)) if w > 0]
+    total = np.cumsum([w for _, w in met])
+    return [*zip((total[:-1] / total[-1]).tolist(), [s for s, _ in met], strict=False), (1.0, met[-1][0])]
+
+
 def _refills(x: np.ndarray, v: np.ndarray, logp: np.ndarray, k: int, rng: np.random.Generator, memo: dict) -> list[np.ndarray]:
     """All states that agree with x up to a removal of k elements, uniform over distinct ones; none where it is declined."""
     bag = np.repeat(np.arange(len(x)), x)
@@ -232,40 +283,82 @@ MOVES: dict[str, Callable] = {"reduced": reduced_move, "metropolis": metropolis_
 STEPS: dict[str, Callable] = {"gibbs": gibbs_step, "simple": simple_step}
 
 
+ELEMS = "array<struct<elem_id:int,n:int>>"
+
+
 def sample_chains(targets: DataFrame, elements: DataFrame, key: str, counts: str, kind: str = "reduced", steps: int = 10_000, k: int = 3, gamma: float = 0.8, chains: int = 1, seed: int = 0, max_nodes: int = MAX_NODES, start: str | None = None) -> DataFrame:
     """(key, chain, elems, exact): the state of each chain after ``steps`` steps, as elements with their multiplicities.
 
-    The chain advances from its own last state, from ``start`` on (a column of exact solutions as enumerate_solutions gives them) or else, in the kinds
+    The chain advances from ``start`` on (a column of exact solutions as enumerate_solutions gives them) or else, in the kinds
     on exact solutions, from the likeliest.  Kinds reduced and metropolis stay on exact solutions; gibbs and simple
     go on until they are exact, for at most ten times the steps.
+    Areas with the same counts and start have the same chances of where a chain on exact solutions ends: these are computed once where
+    the chain meets few states (``end_law``), and each chain's end is drawn from them; other chains are walked step by step.
     An area without an exact solution has no rows in the kinds on exact ones; one whose search for a start was cut off is an error.
+    Null counts have no rows.
     """
     held, on_exact = element_list(elements), kind in MOVES
-    step = None if on_exact else STEPS[kind]
     kind_ = targets.schema[key].dataType.simpleString()
-    began = F.lit(None).cast("array<struct<elem_id:int,n:int>>") if start is None else F.col(start)
-    jobs = targets.select(key, counts, began.alias("_start"), F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain"))
+    began = F.lit(None).cast(ELEMS) if start is None else F.col(start).cast(ELEMS)
+    own = targets.filter(F.col(counts).isNotNull()).select(key, F.col(counts).cast("array<int>").alias("_counts"), began.alias("_start"))
+    dealt = F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain")
+    if not on_exact:
+        return _walked(own.select("*", dealt), held, key, kind_, kind, steps, k, gamma, seed)
+
+    def laws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memos: dict = {}  # sub-problems by the set of elements that fit
+        for pdf in batches:
+            rows = []
+            for c, given in zip(pdf["_counts"], pdf["_start"], strict=True):
+                c = np.array(c, int)
+                v, logp = eligible(c, held)
+                names = [e for e, x, _ in held if all(np.array(x) <= c)]
+                if given is not None:
+                    first = {names.index(e["elem_id"]): e["n"] for e in given}
+                else:
+                    best, ended = search(tuple(c), [(i, tuple(x), math.exp(lp)) for i, (x, lp) in enumerate(zip(v, logp, strict=True))], 1, max_nodes)
+                    if not best and not ended:
+                        raise OverflowError(f"the search for a solution of {c.tolist()} was cut off")
+                    if not best:
+                        continue
+                    first = best[0][1]
+                elems = lambda x, names=names: [{"elem_id": e, "n": int(i)} for e, i in zip(names, x, strict=True) if i]
+                x, memo = tuple(int(first.get(i, 0)) for i in range(len(v))), memos.setdefault(tuple(names), {})
+                if len(memo) > 100_000:
+                    memo.clear()
+                found = end_law(x, v, logp, k, steps, kind, steps * chains / 2, memo)
+                rows.append((c.tolist(), given, elems(x), None if found is None else [{"upto": u, "elems": elems(s)} for u, s in found]))
+            yield pd.DataFrame(rows, columns=["_counts", "_start", "_from", "law"])
+
+    own = written(own)
+    once = own.select("_counts", "_start").distinct().repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_counts", "_start")
+    known = written(once.mapInPandas(laws, f"_counts array<int>, _start {ELEMS}, _from {ELEMS}, law array<struct<upto:double,elems:{ELEMS}>>"))
+    same = (own["_counts"] == known["_counts"]) & own["_start"].eqNullSafe(known["_start"])
+    jobs = own.join(known, same).select(key, own["_counts"], F.col("_from").alias("_start"), "law", dealt)
+    ends = F.filter("law", lambda s: s["upto"] > F.col("_u"))
+    drawn = jobs.filter("law is not null").withColumn("_u", chance.uniform_52(seed, key, "chain"))
+    drawn = drawn.select(key, F.col("chain").cast("int").alias("chain"), ends[0]["elems"].alias("elems"), F.lit(True).alias("exact"))
+    if known.filter("law is null").isEmpty():
+        return drawn
+    return drawn.unionByName(_walked(jobs.filter("law is null").drop("law"), held, key, kind_, kind, steps, k, gamma, seed))
+
+
+def _walked(jobs: DataFrame, held: list, key: str, key_type: str, kind: str, steps: int, k: int, gamma: float, seed: int) -> DataFrame:
+    """The chains of ``jobs`` (key, _counts, _start, chain), step by step: from _start in the kinds on exact solutions, else from nothing."""
+    step = STEPS.get(kind)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memos: dict = {}  # sub-problems by the set of elements that fit
         for pdf in batches:
             rows = []
-            for kv, c, given, chain in zip(pdf[key], pdf[counts], pdf["_start"], pdf["chain"], strict=True):
+            for kv, c, given, chain in zip(pdf[key], pdf["_counts"], pdf["_start"], pdf["chain"], strict=True):
                 c = np.array(c, int)
                 v, logp = eligible(c, held)
                 names = [e for e, x, _ in held if all(np.array(x) <= c)]
                 rng = chain_rng(seed, f"{kv}|{chain}")
-                if on_exact:
-                    if given is not None:
-                        first = {names.index(e["elem_id"]): e["n"] for e in given}
-                    else:
-                        best, ended = search(tuple(c), [(i, tuple(x), math.exp(lp)) for i, (x, lp) in enumerate(zip(v, logp, strict=True))], 1, max_nodes)
-                        if not best and not ended:
-                            raise OverflowError(f"the search for a solution of {kv} was cut off")
-                        if not best:
-                            continue
-                        first = best[0][1]
-                    x, memo = np.array([first.get(i, 0) for i in range(len(v))]), memos.setdefault(tuple(names), {})
+                if step is None:
+                    first, memo = {names.index(e["elem_id"]): e["n"] for e in given}, memos.setdefault(tuple(names), {})
+                    x = np.array([first.get(i, 0) for i in range(len(v))])
                     if len(memo) > 100_000 or len(memo.get(("met", kind), {})) > 100_000:
                         memo.clear()
                     x = run_exact(x, v, logp, k, steps, rng, memo, kind)
@@ -278,7 +371,7 @@ def sample_chains(targets: DataFrame, elements: DataFrame, key: str, counts: str
                 rows.append((kv, chain, [{"elem_id": e, "n": int(i)} for e, i in zip(names, x, strict=True) if i], bool((x @ v == c).all()) if len(v) else not c.any()))
             yield pd.DataFrame(rows, columns=[key, "chain", "elems", "exact"])
 
-    return jobs.repartition(key, "chain").mapInPandas(run, f"{key} {kind_}, chain int, elems array<struct<elem_id:int,n:int>>, exact boolean")
+    return jobs.repartition(key, "chain").mapInPandas(run, f"{key} {key_type}, chain int, elems {ELEMS}, exact boolean")
 
 
 def sample_tvd(samples: DataFrame, solutions: DataFrame, key: str) -> DataFrame:
