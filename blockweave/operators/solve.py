@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import heapq
 import math
-import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -235,47 +235,90 @@ def log_partition(counts: tuple[int, ...], elements: list[tuple[int, tuple[int,
     return last.get((0,) * len(counts), -math.inf)
 
 
-def _ancestors(layers: list[dict], fit: list[tuple[int, tuple[int, ...], float]], rng: np.random.Generator) -> dict[int, int]:
-    """A solution drawn with chance prod p^x / x! over their sum: back from nothing left, one element at a time."""
-    left, out = (0,) * len(next(iter(layers[0]))), {}
-    for (e, v, lp), before in zip(reversed(fit), reversed(layers[:-1]), strict=True):
-        places, weights, at, n = [], [], left, 0
-        while all(a <= c for a, c in zip(at, next(iter(layers[0])), strict=True)):
-            if at in before:
-                places.append((n, at))
-                weights.append(before[at] + n * lp - math.lgamma(n + 1))
-            n, at = n + 1, tuple(x + y for x, y in zip(at, v, strict=True))
-        w = np.exp(np.array(weights) - max(weights))
-        n, left = places[int(rng.choice(len(places), p=w / w.sum()))]
-        if n:
-            out[e] = n
+#: Draws made at once, times the types that fit.
+DRAWN_AT_ONCE = 1 << 20
+
+
+def _uniforms(keys: np.ndarray, places: int) -> np.ndarray:
+    """``places`` uniforms in [0, 1) of each 64-bit key: its own sequence of mixed numbers."""
+    z = keys[:, None] + np.arange(1, places + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+
+
+def _ancestors(layers: list[dict], fit: list[tuple[int, tuple[int, ...], float]], u: np.ndarray) -> np.ndarray:
+    """Solutions (a row of ``u`` each, by the places of ``fit``) drawn with chance prod p^x / x! over their sum: back from nothing left, one element at a time.
+
+    Draws that have the same left go on together.
+    """
+    counts = next(iter(layers[0]))
+    out = np.zeros(u.shape, np.int32)
+    lefts, at_left = [(0,) * len(counts)], np.zeros(len(u), np.int64)
+    for j in reversed(range(len(fit))):
+        _, v, lp = fit[j]
+        number: dict[tuple[int, ...], int] = {}
+        then = np.zeros(len(u), np.int64)
+        order = np.argsort(at_left, kind="stable")
+        ends = np.searchsorted(at_left[order], np.arange(len(lefts) + 1))
+        for i, left in enumerate(lefts):
+            own = order[ends[i] : ends[i + 1]]
+            if not len(own):
+                continue
+            places, weights, n, at = [], [], 0, left
+            while all(a <= c for a, c in zip(at, counts, strict=True)):
+                if at in layers[j]:
+                    places.append((n, number.setdefault(at, len(number))))
+                    weights.append(layers[j][at] + n * lp - math.lgamma(n + 1))
+                n, at = n + 1, tuple(x + y for x, y in zip(at, v, strict=True))
+            w = np.cumsum(np.exp(np.array(weights) - max(weights)))
+            pick = np.minimum(np.searchsorted(w / w[-1], u[own, j], "right"), len(places) - 1)
+            both = np.array(places)[pick]
+            out[own, j], then[own] = both[:, 0], both[:, 1]
+        lefts, at_left = list(number), then
     return out
 
 
 def partition_draws(targets: DataFrame, elements: DataFrame, key: str, counts: str, draws: int = 1, seed: int = 0) -> DataFrame:
     """(key, draw from 0, elems): independent exact solutions of each area with chance prod p^x / x!; none where it has none.
 
-    Areas with the same counts follow each other in one task and share its table.  Null counts give no row.
+    Areas with the same counts follow each other in one task, share its table and are drawn together, each by its key's own uniforms.
+    Null counts give no row.
     """
     held = element_list(elements)
     kind = targets.schema[key].dataType.simpleString()
-    jobs = targets.filter(F.col(counts).isNotNull()).select(key, F.col(counts).cast("array<int>").alias("_counts"))
+    jobs = targets.filter(F.col(counts).isNotNull()).select(key, F.col(counts).cast("array<int>").alias("_counts"), F.xxhash64(F.lit(seed), key).alias("_u"))
+    cell = pa.struct([("elem_id", pa.int32()), ("n", pa.int32())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None
-        for pdf in batches:
-            for kv, c in zip(pdf[key], pdf["_counts"], strict=True):
-                c = tuple(int(x) for x in c)
+        for batch in batches:
+            listed = batch["_counts"].to_pylist()
+            names, keys = batch[key], batch["_u"].to_numpy().view(np.uint64)
+            cuts = [0, *[i for i in range(1, len(listed)) if listed[i] != listed[i - 1]], len(listed)]
+            for a, b in zip(cuts, cuts[1:]) if listed else ():  # noqa: B905
+                c = tuple(listed[a])
                 if known != c:
                     known, fit = c, _fitting(c, held)
                     layers = list(_layers(c, fit))
+                    by_id = np.argsort([e for e, _, _ in fit], kind="stable")
+                    ids = np.array([e for e, _, _ in fit], np.int32)[by_id]
                 if (0,) * len(c) not in layers[-1]:
                     continue
-                rng = np.random.default_rng([seed, zlib.crc32(str(kv).encode())])
-                rows = [(kv, d, [{"elem_id": e, "n": m} for e, m in sorted(_ancestors(layers, fit, rng).items())]) for d in range(draws)]
-                yield pd.DataFrame(rows, columns=[key, "draw", "elems"])
-
-    return jobs.repartition(F.col("_counts"), F.pmod(F.xxhash64(key), F.lit(64))).sortWithinPartitions("_counts", key).mapInPandas(run, f"{key} {kind}, draw int, elems array<struct<elem_id:int,n:int>>")
+                size = max(1, DRAWN_AT_ONCE // max(1, len(fit)))
+                for first in range(a * draws, b * draws, size):
+                    which = np.arange(first, min(first + size, b * draws))
+                    area, draw = which // draws, which % draws
+                    own = keys[area] + draw.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+                    got = _ancestors(layers, fit, _uniforms(own, len(fit)))[:, by_id]
+                    row, col = np.nonzero(got)
+                    cells = pa.StructArray.from_arrays([pa.array(ids[col], pa.int32()), pa.array(got[row, col], pa.int32())], fields=list(cell))
+                    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(which)))])
+                    elems = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(area)), pa.array(draw, pa.int32()), elems], [key, "draw", "elems"])
+
+    dealt = jobs.repartition(F.col("_counts"), F.pmod(F.xxhash64(key), F.lit(64))).sortWithinPartitions("_counts", key)
+    return dealt.mapInArrow(run, f"{key} {kind}, draw int, elems array<struct<elem_id:int,n:int>>")
 
 
 def instances(spark: SparkSession, capacities: list[int], dims: list[int]) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,7 @@
 """Chains and draws of many areas: what is worked out once for equal counts has the law of what each area's own steps have."""
 
+import math
+
 import numpy as np
 import pytest
 from blockweave.operators import chains, solve
@@ -26,16 +28,24 @@ def test_a_chain_with_too_much_to_compute_is_walked():
     assert chains.end_law((1, 3, 0, 1), V, LOGP, 2, 10, "reduced", 0.5, {}) is None
 
 
-@pytest.mark.parametrize("limit", [300, 0])
-def test_many_areas_with_equal_counts(spark, monkeypatch, limit):
-    monkeypatch.setattr(chains, "LAW_STATES", limit)
-    if limit:  # a walk of each would be three hundred million steps
-        monkeypatch.setattr(chains, "run_exact", None)
-    n, steps = (30_000, 10_000) if limit else (300, 40)
+@pytest.mark.parametrize("steps", [100_000_000, 1])  # the one would never end if they were walked, the other is walked
+def test_many_areas_with_equal_counts(spark, steps):
     elements = spark.createDataFrame([(e, list(v), p) for e, v, p in TYPES], "elem_id int, v array<int>, p double")
-    areas = spark.range(n).select(F.col("id").alias("block"), F.when(F.col("id") % 3 < 2, F.array(*map(F.lit, (5, 2, 5)))).when(F.col("id") > 2, F.array(*map(F.lit, (1, 9, 1)))).alias("counts"))
+    areas = spark.range(900).select(F.col("id").alias("block"), F.when(F.col("id") % 3 < 2, F.array(*map(F.lit, (5, 2, 5)))).when(F.col("id") > 2, F.array(*map(F.lit, (1, 9, 1)))).alias("counts"))
     rows = chains.sample_chains(areas, elements, "block", "counts", steps=steps, k=2, seed=3).groupBy("elems", "exact", "chain").count().collect()
     states, _ = reduced_edges(np.array([5, 2, 5]), V, LOGP, 2)
-    assert sum(r["count"] for r in rows) == n // 3 * 2 and all(r.exact and r.chain == 0 for r in rows)
+    assert sum(r["count"] for r in rows) == 600 and all(r.exact and r.chain == 0 for r in rows)
     got = {tuple(sorted((x.elem_id, x.n) for x in r.elems)): r["count"] for r in rows}
     assert set(got) <= {tuple((i + 1, m) for i, m in enumerate(s) if m) for s in states} and len(got) > 1
+
+
+def test_draws_of_equal_counts_are_made_together():
+    counts, held = (5, 2, 5), [(e, v, p) for e, v, p in TYPES]
+    fit = solve._fitting(counts, held)
+    layers = list(solve._layers(counts, fit))
+    u = solve._uniforms(np.arange(20_000, dtype=np.uint64), len(fit))
+    assert abs(u.mean() - 0.5) < 0.01 and len(np.unique(u)) == u.size
+    got, n = np.unique(solve._ancestors(layers, fit, u), axis=0, return_counts=True)
+    w = np.exp([sum(k * lp - math.lgamma(k + 1) for k, (_, _, lp) in zip(x, fit, strict=True)) for x in got.tolist()])
+    assert len(got) == len(chains.exact_states(np.array(counts), V, LOGP)) and ((got @ V) == counts).all()
+    assert np.abs(n / n.sum() - w / w.sum()).sum() / 2 < 0.02
