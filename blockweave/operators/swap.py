@@ -117,7 +117,7 @@ def match_swaps(df: DataFrame, bucket: list[str], key: str, group: str, x: str,
     pairs, made, turn = None, 0, 0
     free = rows
     while made < wanted:
-        found = nearest_partners(free, bucket, key, x, y, k, cell, apart=group, asking=starts)
+        found = written(nearest_partners(free, bucket, key, x, y, k, cell, apart=group, asking=starts))
         most = found.groupBy(key).agg(F.max("rank").alias("_n"))
         pick = F.floor(uniform(seed, F.lit(f"partner {turn}"), key) * F.col("_n")) + 1
         asked = found.join(most, key).filter(F.col("rank") == pick)
