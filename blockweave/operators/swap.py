@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockweave.functions.chance import uniform
-from blockweave.sources.scratch import written
+from blockweave.sources.scratch import parts_of, written
 
 #: Share of the rows in each risk class, riskiest first, and the chance of a swap in it.
 RISK_SHARES = {4: 0.05, 3: 0.15, 2: 0.3, 1: 0.5}
 SWAP_PROBS = {4: 1.0, 3: 0.6, 2: 0.3, 1: 0.1}
+#: A search for k partners begins in cells of at most CROWD x k points, or after HALVINGS halvings of the cell size.
+CROWD, HALVINGS = 4, 12
 
 
 def frequency(df: DataFrame, flags: list[str], out: str = "frequency") -> DataFrame:
@@ -66,9 +68,12 @@ def nearest_partners(points: DataFrame, bucket: list[str], key: str, x: str, y:
 
     Partners differ in ``apart``, where given; ``asking`` (key) are the points that look for partners, all where not given.  Points that
     lie together are one site: sites are compared, each stands for its k least keys, and what a site finds holds for all its points.
-    Only sites in the 3 x 3 cells around one are compared; where they hold fewer than k points within one cell size, the search is
-    repeated with cells twice as wide, until all are found or a cell holds the whole bucket.
+    Only sites in the 3 x 3 cells around one are compared.  A site begins with the widest cells, from ``cell`` on by halves, of which its
+    own holds CROWD x k points at most; where there are fewer than k points within one cell size, its search is repeated with cells
+    twice as wide, until all are found or a cell holds the whole bucket.
     """
+    size = lambda level: F.lit(float(cell)) * F.pow(F.lit(2.0), -F.col(level).cast("double"))
+    at = lambda c, level: F.floor(F.col(c) / size(level))
     site = [*bucket, *([apart] if apart else []), x, y]
     pts = written(points.select(*site, key))
     shown = written(_least_keys(pts, site, key, k))
@@ -76,29 +81,40 @@ def nearest_partners(points: DataFrame, bucket: list[str], key: str, x: str, y:
     todo = written((pts if asking is None else pts.join(asking.select(key), key, "left_semi")).select(*site).distinct().withColumn("_site", F.xxhash64(*site)))
     if todo.groupBy("_site").count().filter("count > 1").limit(1).count():
         raise RuntimeError("two sites share a name")
+    every = F.explode(F.array(*map(F.lit, range(HALVINGS + 1)))).alias("_j")
+    cells = [*bucket, "_j", "_cx", "_cy"]
+    placed = lambda d, *keep: d.select(*bucket, x, y, *keep, every).withColumn("_cx", at(x, "_j")).withColumn("_cy", at(y, "_j"))
+    crowds = written(placed(shown).groupBy(*cells).agg(F.count(F.lit(1)).alias("_n")))
+    over = crowds.filter(F.col("_n") > CROWD * k).select(*cells)
+    # a point's cells grow emptier with each halving: as many of them are too full as it needs halvings
+    need = placed(todo, "_site").join(over, cells, "left_semi").groupBy("_site").agg(F.least(F.count(F.lit(1)), F.lit(HALVINGS)).cast("int").alias("_need"))
+    todo = written(todo.join(need, "_site", "left").join(span, bucket).withColumn("_j", F.coalesce("_need", F.lit(0))).drop("_need"))
     out = None
     while True:
-        grid = shown.select(*bucket, *([F.col(apart).alias("_apart")] if apart else []), F.col(key).alias("partner"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.floor(F.col(x) / cell).alias("_cx"), F.floor(F.col(y) / cell).alias("_cy"))
-        around = todo.select("*", F.floor(F.col(x) / cell).alias("_bx"), F.floor(F.col(y) / cell).alias("_by"))
+        levels = sorted(r._j for r in todo.select("_j").distinct().collect())  # HALVINGS + 1 at most at first
+        grid = shown.select(*bucket, *([F.col(apart).alias("_apart")] if apart else []), F.col(key).alias("partner"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.explode(F.array(*map(F.lit, levels or [0]))).alias("_j"))
+        grid = grid.withColumn("_cx", at("_x", "_j")).withColumn("_cy", at("_y", "_j"))
+        around = todo.withColumn("_bx", at(x, "_j")).withColumn("_by", at(y, "_j"))
         around = around.withColumn("_dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("_dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
         around = around.withColumn("_cx", F.col("_bx") + F.col("_dx")).withColumn("_cy", F.col("_by") + F.col("_dy"))
         d = F.sqrt(F.pow(F.col(x) - F.col("_x"), 2) + F.pow(F.col(y) - F.col("_y"), 2))
-        near = around.join(grid, [*bucket, "_cx", "_cy"]).withColumn("distance", d).filter("distance > 0")
+        n = parts_of(pts.sparkSession, 18 * todo.count())  # nine cells a site, with a few points each
+        around = around.drop("_bx", "_by", "_dx", "_dy").repartition(n, *cells)
+        near = around.join(grid.repartition(n, *cells), cells).withColumn("distance", d).filter("distance > 0")
+        near = near.filter((F.col("distance") <= size("_j")) | (F.col("_span") <= size("_j")))
         if apart:
             near = near.filter(F.col(apart) != F.col("_apart"))
         w = Window.partitionBy("_site").orderBy("distance", "partner")
         near = written(near.select("_site", "partner", "distance", F.row_number().over(w).alias("rank")).filter(F.col("rank") <= k))
         # certain: k within one cell, or everything there is was compared
         full = near.groupBy("_site").agg(F.count(F.lit(1)).alias("_c"), F.max("distance").alias("_far"))
-        state = todo.join(span, bucket).join(full, "_site", "left")
-        sure = ((F.coalesce("_c", F.lit(0)) >= k) & (F.col("_far") <= cell)) | (F.col("_span") <= cell)
-        state = written(state.select("_site", F.coalesce(sure, F.lit(False)).alias("_sure")))
+        sure = ((F.coalesce("_c", F.lit(0)) >= k) & (F.col("_far") <= size("_j"))) | (F.col("_span") <= size("_j"))
+        state = written(todo.join(full, "_site", "left").select("_site", F.coalesce(sure, F.lit(False)).alias("_sure")))
         got = written(near.join(state.filter("_sure"), "_site", "left_semi"))
         out = got if out is None else out.unionByName(got)
-        todo = written(todo.join(state.filter("not _sure"), "_site", "left_semi"))
+        todo = written(todo.join(state.filter("not _sure"), "_site", "left_semi").withColumn("_j", F.col("_j") - 1))
         if todo.isEmpty():
             break
-        cell *= 2
     askers = pts if asking is None else pts.join(asking.select(key), key, "left_semi")
     return askers.select(key, F.xxhash64(*site).alias("_site")).join(out, "_site").select(key, "partner", "distance", "rank")
 

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that one task of a shuffle whose parts are numbered gets on average.
+TASK_ROWS = 500_000
+
 _own: list[str] = []
 
 
@@ -29,6 +32,14 @@ def until_exit(spark: SparkSession, path: str) -> str:
     return path
 
 
+def parts_of(spark: SparkSession, rows: int) -> int:
+    """Parts to shuffle ``rows`` rows into: a part has TASK_ROWS rows at most on average, however many there are.
+
+    A number that is given is kept: parts that compress well are not merged to tasks of many times the rows.
+    """
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as Parquet in the scratch folder, read back."""
     spark = df.sparkSession
