@@ -15,7 +15,7 @@ from blockweave.plans import town
 from blockweave.plans.catalog_tables import UNI, Tables, r
 from blockweave.sources import blocks as table_blocks
 from blockweave.sources import households
-from blockweave.sources.scratch import written
+from blockweave.sources.scratch import parts_of, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -685,7 +685,8 @@ RACE_SQL = "CASE code WHEN 6 THEN 4 WHEN 11 THEN 7 ELSE code END"
 
 
 def _people(t: Tables) -> DataFrame:
-    return town.people_of(t.orders, t.lineitem)
+    """Lines of an order that have the same number follow each other as in their file."""
+    return town.people_of(t.orders, t.lineitem.select("*", F.col("_metadata.row_index").alias("at")))
 
 
 def _list(column: str):

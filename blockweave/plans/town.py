@@ -13,7 +13,7 @@ from blockweave.operators.assemble import conserved, persons
 from blockweave.plans.generate import generate
 from blockweave.sources.blocks import ADULT_TABLES, HISPANIC_ADULT_TABLE, check_identifiers, read_blocks, type_column
 from blockweave.sources.households import parse_households, people_by_type, read_lines
-from blockweave.sources.scratch import scratch_path, until_exit, written
+from blockweave.sources.scratch import parts_of, scratch_path, until_exit, written
 from blockweave.sources.shards import write_csv
 
 #: Race codes of the file, by the number that an order's rule gives: most are 1.
@@ -22,8 +22,9 @@ MAX_PEOPLE = 7
 
 
 def people_of(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
-    """(o_orderkey, o_custkey, nth from 1, code, eth, age, family): at most MAX_PEOPLE lines of an order are its people.
+    """(o_orderkey, o_custkey, nth from 1, at, code, eth, age, family): at most MAX_PEOPLE line numbers of an order are its people.
 
+    Line numbers may occur again in an order: ``at`` of the lines (0 where they have none) says which of them comes first.
     All have the household's race, but for one in 29 lines; the first, and in every other order the second, are grown up, and so are all in
     every fifth.
     """
@@ -32,8 +33,10 @@ def people_of(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     code = F.when(F.col("l_partkey") % 29 == 0, 2).otherwise(code)
     adult = (F.col("l_linenumber") <= 1 + o % 2) | (o % 5 == 0)
     age = F.when(adult, 20 + F.col("l_partkey") % 60).otherwise(F.col("l_partkey") % 18)
-    lines = orders.join(lineitem.filter(F.col("l_linenumber") <= MAX_PEOPLE), o == F.col("l_orderkey"))
-    return lines.select("o_orderkey", "o_custkey", F.col("l_linenumber").cast("int").alias("nth"), code.cast("int").alias("code"), (o % 8 == 0).cast("int").alias("eth"), age.cast("int").alias("age"), (o % 4 + 1).cast("int").alias("family"))
+    n = parts_of(orders.sparkSession, lineitem.count())
+    at = F.col("at") if "at" in lineitem.columns else F.lit(0)
+    lines = orders.repartition(n, "o_orderkey").join(lineitem.filter(F.col("l_linenumber") <= MAX_PEOPLE).repartition(n, "l_orderkey"), o == F.col("l_orderkey"))
+    return lines.select("o_orderkey", "o_custkey", F.col("l_linenumber").cast("int").alias("nth"), at.cast("long").alias("at"), code.cast("int").alias("code"), (o % 8 == 0).cast("int").alias("eth"), age.cast("int").alias("age"), (o % 4 + 1).cast("int").alias("family"))
 
 
 def _placed(*fields: tuple[int, Column]) -> Column:
@@ -48,19 +51,21 @@ def _placed(*fields: tuple[int, Column]) -> Column:
 
 
 def records(people: DataFrame) -> DataFrame:
-    """(o_orderkey, nth, line): a header (nth 0) and a line for each person.  A header counts no children in every ninth order."""
+    """(o_orderkey, nth, at, line): a header (nth 0) and a line for each person.  A header counts no children in every ninth order."""
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     homes = people.groupBy("o_orderkey").agg(F.min("family").alias("family"), F.sum((F.col("age") < 18).cast("int")).alias("children"))
     children = F.when(F.col("o_orderkey") % 9 == 0, 0).otherwise(F.col("children"))
-    heads = homes.select("o_orderkey", F.lit(0).alias("nth"), _placed((1, F.lit("H")), (48, F.lit("10")), (58, F.col("family").cast("string")), (63, two(children))).alias("line"))
-    rows = people.select("o_orderkey", "nth", _placed((1, F.lit("P")), (22, two(F.col("age"))), (28, F.col("eth").cast("string")), (37, two(F.col("code")))).alias("line"))
+    heads = homes.select("o_orderkey", F.lit(0).alias("nth"), F.lit(0).cast("long").alias("at"), _placed((1, F.lit("H")), (48, F.lit("10")), (58, F.col("family").cast("string")), (63, two(children))).alias("line"))
+    rows = people.select("o_orderkey", "nth", "at", _placed((1, F.lit("P")), (22, two(F.col("age"))), (28, F.col("eth").cast("string")), (37, two(F.col("code")))).alias("line"))
     return heads.unionByName(rows)
 
 
 def write_records(people: DataFrame) -> str:
     """The records as text files, each household's lines together and in order; the path."""
     path = scratch_path(people.sparkSession, "records")
-    rows = records(people).repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey", "nth")
+    people = written(people)
+    n = parts_of(people.sparkSession, people.count())
+    rows = records(people).repartitionByRange(n, "o_orderkey").sortWithinPartitions("o_orderkey", "nth", "at")
     rows.select("line").write.text(path)
     return until_exit(people.sparkSession, path)
 
@@ -77,7 +82,8 @@ def block_table(people: DataFrame) -> DataFrame:
     """The wide block table: counts of each customer's households.  Every seventh customer's adults are counted at one more than there are people of."""
     race = F.when(F.col("code") == 6, 4).when(F.col("code") == 11, 7).otherwise(F.col("code"))
     p = people.withColumn("race", race).withColumn("adult", (F.col("age") >= 18).cast("int"))
-    homes = p.groupBy("o_custkey", "o_orderkey").agg(F.min_by("race", "nth").alias("holder"), F.min("eth").alias("eth"), F.min("family").alias("family"), F.count(F.lit(1)).alias("size"), F.sum("adult").alias("adults"), *[F.sum((F.col("race") == r).cast("int")).alias(f"r{r}") for r in range(1, 8)])
+    p = p.repartition(parts_of(people.sparkSession, people.count()), "o_custkey")  # of both groupings
+    homes = p.groupBy("o_custkey", "o_orderkey").agg(F.min_by("race", F.struct("nth", "at")).alias("holder"), F.min("eth").alias("eth"), F.min("family").alias("family"), F.count(F.lit(1)).alias("size"), F.sum("adult").alias("adults"), *[F.sum((F.col("race") == r).cast("int")).alias(f"r{r}") for r in range(1, 8)])
     family = (F.col("family") <= 3) & (F.col("size") > 1)
     n = lambda c, where=F.lit(True): F.sum(F.when(where, c).otherwise(0)).cast("int")
     hispanic = F.col("eth") == 1
