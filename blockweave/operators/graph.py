@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockweave.sources.scratch import written
+from blockweave.sources.scratch import parts_of, written
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component = smallest node reachable): labels take the least of their neighbours' and then of their label's own."""
-    e = written(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    edges = written(edges.select("src", "dst"))
+    n = parts_of(edges.sparkSession, 2 * edges.count())
+    e = written(edges.union(edges.select("dst", "src")).repartition(n, "src", "dst").distinct())
     labels = written(e.groupBy(F.col("src").alias("node")).agg(F.least(F.col("node"), F.min("dst")).alias("component")))
     for _ in range(max_rounds):
-        near = e.join(labels, e["dst"] == labels["node"]).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
+        near = e.repartition(n, "dst").join(labels.repartition(n, "node"), F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("component").alias("over"))
         step = written(step.join(jump, "to").select("node", F.least("to", "over").alias("next"), (F.least("to", "over") != F.col("component")).alias("moved")))
