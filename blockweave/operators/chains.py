@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockweave.functions import chance
-from blockweave.sources.scratch import written
+from blockweave.sources.scratch import parts_of, written
 
 from .dist import empirical, tvd
 from .solve import MAX_NODES, element_list, search, solution_probs
@@ -96,10 +96,12 @@ def layer_conductance(edges: DataFrame, group: list[str], product_form: bool = F
 
 
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """Nodes reachable from ``start`` (node): the frontier joins the edges until it is empty; each frontier is written once."""
-    fronts = [start.select("node").distinct()]
+    """Nodes reachable from ``start`` (node): the frontier joins the edges until it is empty; the edges and each frontier are written once."""
+    fronts, edges = [start.select("node").distinct()], written(edges.select("src", "dst"))
+    n = parts_of(edges.sparkSession, edges.count())
     while True:
-        step = fronts[-1].join(edges, fronts[-1]["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        near = fronts[-1].repartition(n, "node").join(edges.repartition(n, "src"), F.col("node") == F.col("src"))
+        step = near.select(F.col("dst").alias("node")).distinct()
         front = written(step.join(reduce(DataFrame.union, fronts), "node", "left_anti"))
         if front.isEmpty():
             return reduce(DataFrame.union, fronts)

@@ -465,14 +465,15 @@ EDGE_SQL = "SELECT 2 * l_partkey AS src, 2 * l_suppkey + 1 AS dst FROM lineitem"
 
 def _bipartite(t: Tables) -> DataFrame:
     """Parts (even nodes) and the suppliers they were bought from (odd ones)."""
-    return t.lineitem.select((2 * F.col("l_partkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst")).distinct()
+    pairs = t.lineitem.select((2 * F.col("l_partkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst"))
+    return pairs.repartition(parts_of(t.spark, t.lineitem.count()), "src", "dst").distinct()
 
 
 @query(f"WITH RECURSIVE e AS (SELECT src, dst FROM ({EDGE_SQL}) UNION SELECT dst, src FROM ({EDGE_SQL})), w AS (SELECT 2::BIGINT AS node UNION SELECT dst FROM w JOIN e ON src = node) SELECT node FROM w")
 def reachability(t):
     e = _bipartite(t)
-    both = e.union(e.select("dst", "src")).distinct()
-    return chains.reachable(both, t.spark.range(2, 3).withColumnRenamed("id", "node"))
+    e = written(e)
+    return chains.reachable(e.union(e.select("dst", "src")), t.spark.range(2, 3).withColumnRenamed("id", "node"))
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT src, dst FROM ({EDGE_SQL}) UNION SELECT dst, src FROM ({EDGE_SQL})), w(node, component) USING KEY (node) AS (SELECT DISTINCT src, src FROM e
