@@ -307,11 +307,17 @@ def level_relaxation(t):
 # -- chains
 
 
+def _distinct_areas(t: Tables) -> DataFrame:
+    """(counts, area) of the distinct counts, which name the area; worked out from the lines once for all graphs of a query."""
+    if "_areas_once" not in t.__dict__:
+        c = F.col("counts")
+        t._areas_once = written(_areas(t).select("counts", (c[0] * 100 + c[1]).cast("long").alias("area")).distinct())
+    return t._areas_once
+
+
 def _area_graph(t: Tables, kind: str, param: float) -> DataFrame:
     """The graphs of all areas; areas with the same counts have the same graph, named by the counts."""
-    c = F.col("counts")
-    targets = _areas(t).select("counts", (c[0] * 100 + c[1]).cast("long").alias("area")).distinct()
-    return transitions.transition_graphs(targets, _parcels(t), "area", "counts", kind, param)
+    return transitions.transition_graphs(_distinct_areas(t), _parcels(t), "area", "counts", kind, param)
 
 
 def _only(i: int):
@@ -419,8 +425,7 @@ def layer_conductance(t):
 @query(f"SELECT DISTINCT area, 400::BIGINT AS n_steps, true AS near FROM ({AREA_SQL}) WHERE c2 <= c1")
 def empirical_steps(t):
     """400 seeded steps of the sampler out of the likeliest solution of each area, against that state's row of the graph."""
-    c = F.col("counts")
-    targets = _areas(t).select("counts", (c[0] * 100 + c[1]).cast("long").alias("area")).distinct()
+    targets = _distinct_areas(t)
     graph = _area_graph(t, "reduced", 2)
     expand = lambda x: F.flatten(F.transform(x, lambda e: F.array_repeat(e.elem_id, e.n)))
     start = solve.enumerate_solutions(targets, _parcels(t), "area", "counts", n_best=1).select("area", expand("elems").alias("src"))
@@ -436,8 +441,7 @@ def empirical_steps(t):
     FROM p, range(0, 4) u(rx), range(0, 4) v(ry), range(0, 4) w(rz) WHERE rx + ry + rz = 3 AND rx <= x AND ry <= y AND rz <= z AND x - rx <= bx AND y - ry <= bY2 AND z - rz <= bz""")
 def consistent_removals(t):
     """Removals of three parcels that lead from one solution of an area to another, for all pairs of solutions."""
-    c = F.col("counts")
-    targets = _areas(t).select("counts", (c[0] * 100 + c[1]).cast("long").alias("area")).distinct()
+    targets = _distinct_areas(t)
     found = solve.enumerate_solutions(targets, _parcels(t), "area", "counts")
     one = written(found.select("area", F.flatten(F.transform("elems", lambda e: F.array_repeat(e.elem_id, e.n))).alias("a")))
     pairs = one.join(one.withColumnRenamed("a", "b"), "area").filter("a <> b")
