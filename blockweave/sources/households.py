@@ -12,6 +12,8 @@ LAYOUT = {"race": (37, 2), "eth": (28, 1), "age": (22, 2), "family": (58, 1), "u
 RACE_OF_CODE = {1: 1, 2: 2, 3: 3, 4: 3, 5: 3, 6: 4, 7: 5, 8: 5, 9: 5, 10: 6, 11: 7}
 FAMILY_CODES_UP_TO = 3
 MAX_SIZE = 7
+#: Lines of a split that are numbered together.
+PIECE = 1 << 17
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -27,15 +29,21 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def number_households(lines: DataFrame) -> DataFrame:
     """``lines`` with ``person`` and ``hh``, the number of the last header of the file up to this line (0 before the first).
 
-    Headers are numbered within each split and moved on by the headers of the splits before, so a household that goes on in the next split
-    keeps its number.  What is in one task is a split; the splits of a file, one row each, meet in a window.
+    Headers are numbered within pieces of a split and moved on by the headers of the pieces before, so a household that goes on in the next
+    piece keeps its number.  A piece has PIECE lines at most; the pieces of a file, one row each, meet in a window.
     """
-    d = lines.withColumn("person", F.col("line").startswith("P"))
+    d = lines.withColumn("person", F.col("line").startswith("P")).withColumn("piece", F.floor(F.col("at") / PIECE))
     header = (~F.col("person")).cast("long")
-    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = d.groupBy("file", "split").agg(F.sum(header).alias("headers")).select("file", "split", F.coalesce(F.sum("headers").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("file", "split").orderBy("at")
-    return d.withColumn("hh", F.sum(header).over(inside)).join(starts, ["file", "split"]).withColumn("hh", F.col("hh") + F.col("first")).drop("first")
+    before = Window.partitionBy("file").orderBy("split", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = d.groupBy("file", "split", "piece").agg(F.sum(header).alias("headers")).select("file", "split", "piece", F.coalesce(F.sum("headers").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy("file", "split", "piece").orderBy("at")
+    dealt = d.repartition(_parts(lines), "file", "split", "piece")
+    return dealt.withColumn("hh", F.sum(header).over(inside)).join(starts, ["file", "split", "piece"]).withColumn("hh", F.col("hh") + F.col("first")).drop("first", "piece")
+
+
+def _parts(lines: DataFrame) -> int:
+    """Parts for a shuffle of ``lines``: four for each split that is read, so that a part is a quarter of a split however long the files are."""
+    return max(lines.sparkSession.sparkContext.defaultParallelism, 4 * lines.rdd.getNumPartitions())
 
 
 def field(name: str) -> Column:
@@ -54,7 +62,7 @@ def parse_households(lines: DataFrame) -> DataFrame:
     race = codes[field("race")]
     race = F.when(F.col("person") & race.isNull(), F.raise_error(F.lit("unknown race code"))).otherwise(race)
     person = F.struct(F.col("split"), F.col("at"), race.alias("race"), field("eth").alias("eth"), field("age").alias("age"))
-    g = d.groupBy("file", "hh").agg(
+    g = d.repartition(_parts(lines), "file", "hh").groupBy("file", "hh").agg(
         F.array_sort(F.collect_list(F.when(F.col("person"), person))).alias("p"),
         F.max(F.when(~F.col("person"), field("family"))).alias("family"),
         F.max(F.when(~F.col("person"), field("under_18"))).alias("under_18"),

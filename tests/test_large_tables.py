@@ -30,7 +30,7 @@ def test_lines_of_one_number_follow_the_file(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     orders.write.parquet(f"{tmp_path}/orders.parquet")
     people = catalog_models._people(catalog_models.Tables(spark, str(tmp_path)))
-    homes = households.parse_households(town.record_lines(spark, people)).orderBy("hh").collect()
+    homes = households.parse_households(town.record_lines(spark, people)).orderBy("file", "hh").collect()
     race = [households.RACE_OF_CODE[c] for c in town.CODES]
     assert [h.holder.race for h in homes] == [2 if k % 2 else race[k % 10] for k in range(1, 41)]
 
