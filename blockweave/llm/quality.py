@@ -73,14 +73,14 @@ def _segments(text: str | None) -> list[bytes]:
 
 
 def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a whole text and how often each occurs."""
+    """Distinct buckets of a whole text and how often each occurs, in 32 bits each: all texts that are learned from are held at once."""
     count = np.zeros(BUCKETS + 2, np.int64)
     for part in _segments(text):
         for _, bucket in feature_blocks([part]):
             count += np.bincount(bucket, minlength=BUCKETS + 2)
     count[END] = 1
     at = np.flatnonzero(count)
-    return at, count[at]
+    return at.astype(np.int32), count[at].astype(np.int32)
 
 
 def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 3) -> QualityModel:
@@ -117,6 +117,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     marked = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_label"))
     picked = marked.orderBy(shuffle_key(5, F.col("_id")), "_id").limit(max_docs)  # max_docs rows: may be broadcast
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id").repartition(1)
+    small_batches(docs.sparkSession)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = []
