@@ -216,6 +216,15 @@ def load_bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
+def encode_text(bpe: Bpe, text: str | None, window: int = WINDOW_CHARS) -> bytes:
+    return b"".join(encode_stream(bpe, text or "", window))
+
+
+def decode_ids(bpe: Bpe, ids: bytes | None, window: int = WINDOW_CHARS) -> str:
+    raw = ids or b""
+    return "".join(decode_stream(bpe, (raw[i : i + 4 * window] for i in range(0, len(raw), 4 * window))))
+
+
 def bpe_encode(text: Column | str, tokenizer_path: str, window_chars: int = WINDOW_CHARS) -> Column:
     """Ids of the whole text as binary: little-endian unsigned 32-bit numbers.
 
@@ -226,7 +235,7 @@ def bpe_encode(text: Column | str, tokenizer_path: str, window_chars: int = WIND
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load_bpe(tokenizer_path)
         for texts in batches:
-            yield pa.array([b"".join(encode_stream(bpe, t.as_py() or "", window_chars)) for t in texts], pa.binary())
+            yield pa.array([encode_text(bpe, t.as_py(), window_chars) for t in texts], pa.binary())
 
     return F.arrow_udf(run, "binary", F.ArrowUDFType.SCALAR_ITER)(text)
 
@@ -240,10 +249,22 @@ def bpe_decode(ids: Column | str, tokenizer_path: str, window_ids: int = WINDOW_
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load_bpe(tokenizer_path)
         for many in batches:
-            out = []
-            for x in many:
-                raw = x.as_py() or b""
-                out.append("".join(decode_stream(bpe, (raw[i : i + 4 * window_ids] for i in range(0, len(raw), 4 * window_ids)))))
-            yield pa.array(out, pa.string())
+            yield pa.array([decode_ids(bpe, x.as_py(), window_ids) for x in many], pa.string())
 
     return F.arrow_udf(run, "string", F.ArrowUDFType.SCALAR_ITER)(ids)
+
+
+def bpe_round_trip(text: Column | str, tokenizer_path: str, window: int = WINDOW_CHARS) -> Column:
+    """Struct of ids, as bpe_encode gives them, and decoded, as bpe_decode gives it of these ids.
+
+    A task has one Python worker for both; bpe_decode on top of bpe_encode has two at a time, each with the tokenizer's tables.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = load_bpe(tokenizer_path)
+        for texts in batches:
+            ids = [encode_text(bpe, t.as_py(), window) for t in texts]
+            decoded = pa.array([decode_ids(bpe, x, window) for x in ids], pa.string())
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), decoded], ["ids", "decoded"])
+
+    return F.arrow_udf(run, "struct<ids binary, decoded string>", F.ArrowUDFType.SCALAR_ITER)(text)

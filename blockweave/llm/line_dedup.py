@@ -57,6 +57,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     shared = materialize(shared.filter(F.col("n") >= min_docs).select("_k1", "_k2"), "shared-lines")
     drops = lines.join(shared, ["_k1", "_k2"], "left_semi").groupBy("_h1", "_h2").agg(F.collect_set("_at").alias("_drop"))
     drops = materialize(drops, "drops")
-    rebuild = F.arrow_udf(_reassemble, "struct<text string, n_lines bigint, n_dropped bigint>", F.ArrowUDFType.SCALAR_ITER)
+    # called nondeterministic, it is not made again for a filter that the caller puts on its result
+    rebuild = F.arrow_udf(_reassemble, "struct<text string, n_lines bigint, n_dropped bigint>", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
     out = docs.select(F.struct(*docs.columns).alias("_row"), *name).join(drops, ["_h1", "_h2"], "left")
     return out.select("_row", rebuild(F.coalesce(F.col("_row")[text_col], F.lit("")), "_drop").alias("lines")).select("_row.*", "lines")

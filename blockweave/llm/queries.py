@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe_codec import bpe_decode, bpe_encode
+from .bpe_codec import bpe_round_trip
 from .embed_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .filter_audit import failing_sets, filter_audit
@@ -65,8 +65,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    out = _docs(spark, sf_dir).select("doc_id", bpe_encode("text", path).alias("ids")).withColumn("decoded", bpe_decode("ids", path))
+    out = _docs(spark, sf_dir).select("doc_id", bpe_round_trip("text", tokenizer_path()).alias("coded")).select("doc_id", "coded.ids", "coded.decoded")
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockweave.llm._shared import materialize
-from blockweave.llm.bpe_codec import bpe_decode, bpe_encode
+from blockweave.llm.bpe_codec import bpe_round_trip
 from blockweave.llm.line_dedup import BLANK, line_dedup
 from blockweave.llm.mixing import mix_sources
 from blockweave.llm.ngram_join import ngram_join
@@ -71,8 +71,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's packed token ids, their number, and whether decoding gives the text again."""
-    path = tokenizer_path()
-    out = docs.select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text")).withColumn("ids", bpe_encode("text", path)).withColumn("decoded", bpe_decode("ids", path))
+    out = docs.select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    out = out.withColumn("coded", bpe_round_trip("text", tokenizer_path())).select("*", "coded.ids", "coded.decoded")
     return out.select("doc_id", "source", "lang", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
 
 
