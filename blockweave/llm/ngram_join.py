@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import mix, shingles, word_hashes
-from ._shared import connected_components, discard, likely_in, materialize, nearby_least
+from ._shared import connected_components, discard, likely_in, materialize, nearby_least, told_broadcasts
 
 #: A token is frequent if so many sets or more hold it.  This decides cost, never results.
 FREQUENT = 64
@@ -206,6 +206,14 @@ def ngram_join(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str
     if not 50 < percent <= 100:
         raise ValueError("percent is over 50 and at most 100")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("at"))
+    with told_broadcasts(docs.sparkSession):
+        each, classes = _classes(rows, n_words, percent)
+    out = each.select("id", "n", F.when(F.col("n") > 0, F.col("h1")).alias("h1"), F.when(F.col("n") > 0, F.col("h2")).alias("h2")).join(classes.hint("merge"), ["h1", "h2"], "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("component_id"))
+
+
+def _classes(rows: DataFrame, n_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (id, text, at): each one's set (id, n, h1, h2), and each set's (h1, h2, class)."""
     every = max(1, -(-50 // max(1, 100 - percent)))  # of 100 tokens of one set only, so many still show twice what may be missed
     each = materialize(rows.mapInArrow(_scan(n_words, every), "id long, at long, n long, h1 long, h2 long, sample array<bigint>"), "sets")
     known = each.filter("id is not null and n > 0")
@@ -295,5 +303,4 @@ def ngram_join(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str
     joined = known.join(several, "id").select("id", "h1", "h2").distinct().join(copies, ["h1", "h2"]).select(F.col("id").alias("u"), F.col("rep").alias("v"))
     labels = connected_components(edges.union(joined))
     classes = copies.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component_id", "rep").alias("class"))
-    out = each.select("id", "n", F.when(F.col("n") > 0, F.col("h1")).alias("h1"), F.when(F.col("n") > 0, F.col("h2")).alias("h2")).join(classes, ["h1", "h2"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("component_id"))
+    return each, materialize(classes, "classes")

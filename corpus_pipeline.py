@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweave.llm._shared import materialize
+from blockweave.llm._shared import counted_broadcast, materialize
 from blockweave.llm.bpe_codec import bpe_round_trip
 from blockweave.llm.line_dedup import BLANK, line_dedup
 from blockweave.llm.mixing import mix_sources
@@ -54,8 +54,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
         rows = materialize(rows.select(*COLUMNS, "_row"), "numbered")
     classes = ngram_join(rows.select("_row", "text"), n_words=5, percent=80, id_col="_row")
-    gone = classes.filter("component_id is not null and _row <> component_id").select("_row").distinct()
-    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
+    gone = materialize(classes.filter("component_id is not null and _row <> component_id").select("_row").distinct(), "gone")
+    return rows.join(counted_broadcast(gone), "_row", "left_anti").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
