@@ -690,8 +690,8 @@ RACE_SQL = "CASE code WHEN 6 THEN 4 WHEN 11 THEN 7 ELSE code END"
 
 
 def _people(t: Tables) -> DataFrame:
-    """Lines of an order that have the same number follow each other as in their file."""
-    return town.people_of(t.orders, t.lineitem.select("*", F.col("_metadata.row_index").alias("at")))
+    """Lines of an order that have the same number follow each other as in the table: its files by name, then their rows."""
+    return town.people_of(t.orders, t.lineitem.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("at")))
 
 
 def _list(column: str):

@@ -24,7 +24,8 @@ MAX_PEOPLE = 7
 def people_of(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """(o_orderkey, o_custkey, nth from 1, at, code, eth, age, family): at most MAX_PEOPLE line numbers of an order are its people.
 
-    Line numbers may occur again in an order: ``at`` of the lines (0 where they have none) says which of them comes first.
+    Line numbers may occur again in an order: ``at`` of the lines (of any type that has an order; 0 where they have none) says which of them
+    comes first.
     All have the household's race, but for one in 29 lines; the first, and in every other order the second, are grown up, and so are all in
     every fifth.
     """
@@ -34,9 +35,9 @@ def people_of(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     adult = (F.col("l_linenumber") <= 1 + o % 2) | (o % 5 == 0)
     age = F.when(adult, 20 + F.col("l_partkey") % 60).otherwise(F.col("l_partkey") % 18)
     n = parts_of(orders.sparkSession, lineitem.count())
-    at = F.col("at") if "at" in lineitem.columns else F.lit(0)
+    at = F.col("at") if "at" in lineitem.columns else F.lit(0).cast("long")
     lines = orders.repartition(n, "o_orderkey").join(lineitem.filter(F.col("l_linenumber") <= MAX_PEOPLE).repartition(n, "l_orderkey"), o == F.col("l_orderkey"))
-    return lines.select("o_orderkey", "o_custkey", F.col("l_linenumber").cast("int").alias("nth"), at.cast("long").alias("at"), code.cast("int").alias("code"), (o % 8 == 0).cast("int").alias("eth"), age.cast("int").alias("age"), (o % 4 + 1).cast("int").alias("family"))
+    return lines.select("o_orderkey", "o_custkey", F.col("l_linenumber").cast("int").alias("nth"), at.alias("at"), code.cast("int").alias("code"), (o % 8 == 0).cast("int").alias("eth"), age.cast("int").alias("age"), (o % 4 + 1).cast("int").alias("family"))
 
 
 def _placed(*fields: tuple[int, Column]) -> Column:
@@ -55,7 +56,7 @@ def records(people: DataFrame) -> DataFrame:
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     homes = people.groupBy("o_orderkey").agg(F.min("family").alias("family"), F.sum((F.col("age") < 18).cast("int")).alias("children"))
     children = F.when(F.col("o_orderkey") % 9 == 0, 0).otherwise(F.col("children"))
-    heads = homes.select("o_orderkey", F.lit(0).alias("nth"), F.lit(0).cast("long").alias("at"), _placed((1, F.lit("H")), (48, F.lit("10")), (58, F.col("family").cast("string")), (63, two(children))).alias("line"))
+    heads = homes.select("o_orderkey", F.lit(0).alias("nth"), F.lit(None).cast(people.schema["at"].dataType).alias("at"), _placed((1, F.lit("H")), (48, F.lit("10")), (58, F.col("family").cast("string")), (63, two(children))).alias("line"))
     rows = people.select("o_orderkey", "nth", "at", _placed((1, F.lit("P")), (22, two(F.col("age"))), (28, F.col("eth").cast("string")), (37, two(F.col("code")))).alias("line"))
     return heads.unionByName(rows)
 

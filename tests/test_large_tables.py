@@ -35,6 +35,21 @@ def test_lines_of_one_number_follow_the_file(spark, tmp_path):
     assert [h.holder.race for h in homes] == [2 if k % 2 else race[k % 10] for k in range(1, 41)]
 
 
+def test_lines_of_one_number_follow_the_table_s_files(spark, tmp_path):
+    """A household's first line may lie far down in the first file and its second at the head of the next."""
+    orders = spark.createDataFrame([(k, 0) for k in range(1, 41)], "o_orderkey long, o_custkey long")
+    lines = [(0, 1, 1)] * 10 + [(k, 29 if k % 2 else 1, 1) for k in range(1, 41)], [(k, 1 if k % 2 else 29, 1) for k in range(40, 0, -1)]
+    for i, rows in enumerate(lines):  # of one table, file by file
+        spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int").coalesce(1).write.parquet(f"{tmp_path}/{i}")
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        next((tmp_path / str(i)).glob("*.parquet")).rename(tmp_path / f"lineitem.parquet/part-{i}.parquet")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    people = catalog_models._people(catalog_models.Tables(spark, str(tmp_path)))
+    homes = households.parse_households(town.record_lines(spark, people)).orderBy("file", "hh").collect()
+    race = [households.RACE_OF_CODE[c] for c in town.CODES]
+    assert [h.holder.race for h in homes] == [2 if k % 2 else race[k % 10] for k in range(1, 41)]
+
+
 def test_parts_grow_with_the_rows(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(scratch, "TASK_ROWS", 100)
     assert scratch.parts_of(spark, 100_001) == 1001 and scratch.parts_of(spark, 0) == spark.sparkContext.defaultParallelism
